@@ -1,0 +1,36 @@
+"""Every registered query against its SQL, on the smallest tables or those of LAKEWRIGHT_SF."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as contract
+from tests.oracle import compare, connect
+
+FOLDER = os.environ.get("LAKEWRIGHT_SF", "/root/testdata/sf0.001")
+QUERIES, SQL = contract.queries(), contract.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(FOLDER)
+
+
+def test_every_sql_has_a_query():
+    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) - set(SQL) == {"file_inventory"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, db, name):
+    assert compare(QUERIES[name](spark, FOLDER), db, SQL[name]) == []
+
+
+def test_file_inventory_lists_every_table(spark):
+    rows = QUERIES["file_inventory"](spark, FOLDER).collect()
+    assert {r.path.rsplit("/", 1)[-1] for r in rows} == set(os.listdir(FOLDER))
+    assert all(r.bytes == os.path.getsize(r.path.removeprefix("file:")) for r in rows)
+
+
+def test_entry(spark):
+    assert contract.entry(spark).columns == ["order_date", "order_count", "revenue"]
