@@ -23,7 +23,7 @@ def human_size(size: Column) -> Column:
         F.when(size < KIB, F.format_string("%d B", size.cast("long")))
         .when(size < MIB, scaled(KIB, 1, "KB"))
         .when(size < GIB, scaled(MIB, 1, "MB"))
-        .otherwise(scaled(GIB, 2, "GB"))
+        .when(size >= GIB, scaled(GIB, 2, "GB"))
     )
 
 

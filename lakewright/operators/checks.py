@@ -47,8 +47,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Child rows whose reference (child column -> parent column) has no parent; null references pass."""
-    parents = parent.select(*[F.col(p).alias(c) for c, p in on.items()]).distinct()
+    """Child rows whose reference (child column -> parent column) has no parent; null references pass.
+
+    The parent's columns are its primary key, so they are joined as they are;
+    AQE can then split a parent that very many children refer to.
+    """
+    parents = parent.select(*[F.col(p).alias(c) for c, p in on.items()])
     return child.dropna(subset=list(on)).join(parents, list(on), "left_anti").select(*child.columns)
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions.formats import format_mtime, human_size, type_symbol
+from lakewright.operators.ordering import sized
 
 # Target file size of a compaction and default retention of a vacuum.
 TARGET_BYTES = 134217728
 RETAIN_HOURS = 168
 
+MAX_TASKS = 100_000
+
 
 def list_status(status: DataFrame, include_hidden: bool = False, long: bool = False) -> DataFrame:
     """Listing rows from file-status rows (pathSuffix, type, length, owner, ...).
@@ -110,14 +113,15 @@ def compact_files(
     needed = partition_files(spark, src, cols).select(
         *[F.col(c).alias(f"_p_{c}") for c in cols], F.greatest(writers, F.lit(1)).alias("_writers")
     )
-    tasks = int(needed.agg(F.sum("_writers")).first()[0] or 1)
+    partitions, tasks = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_writers"), F.lit(1))).first()
+    needed = sized(needed, partitions)
     same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in cols]
     rows = spark.read.parquet(src)
     spread = rows.join(needed, same).withColumn(
         "_writer", F.pmod(F.monotonically_increasing_id(), F.col("_writers"))
     )
     (
-        spread.repartition(min(tasks, 100_000), *cols, "_writer")
+        spread.repartition(min(int(tasks), MAX_TASKS), *cols, "_writer")
         .select(*rows.columns)
         .write.mode("errorifexists")
         .partitionBy(*cols)

@@ -1,58 +1,95 @@
 """MERGE, change capture and delete as functions from table states to a new state.
 
 A merge is a left join for the rows that stay plus an anti join for the rows
-that arrive. Both keep the big side on the left: Catalyst can broadcast a small
-source, and AQE can split a frequent key, neither of which a full outer join
-allows. Null keys never match, as in SQL.
+that arrive. One job first measures the source. If it is small it is broadcast
+and the target is not shuffled at all. Otherwise both sides are shuffled, with
+nothing between shuffle and join on the left, so that AQE can split a frequent
+key there, which it cannot do in a full outer join. Null keys never match, as in
+SQL. The source is read several times; checkpoint one that is costly to compute.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType
 
 MANY_MATCHES = "several source rows match one target row"
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+COPIES_PER_KEY = 64
 
 
-def _like(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Source columns in the target's names, order and types; other columns are dropped."""
-    return source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+@dataclass(frozen=True)
+class _Measured:
+    small: bool
+    repeats: bool
 
 
-def _one_row_per_key(source: DataFrame, keys: Sequence[str], payload: Sequence[str], unique: bool) -> DataFrame:
-    """(keys, _rows, _new) with one row per non-null key.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: eight per fixed-width field, the real length of the others."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif not isinstance(field.dataType, AtomicType):
+            total = total + F.octet_length(F.to_json(F.struct(field.name)))
+    return total
 
-    The count is combined before the shuffle, so a repeated key travels once per
-    task. `unique` skips it for sources known to hold each key once.
-    """
-    source = source.dropna(subset=list(keys))
-    new = F.struct(*payload)
+
+def _measure(rows: DataFrame, keys: Sequence[str], unique: bool) -> _Measured:
+    """Row count, bytes and repeated keys of the source, from one job with map-side sums."""
+    size = F.sum(_row_bytes(rows)).alias("_bytes")
+    count = F.count(F.lit(1)).alias("_rows")
     if unique:
-        return source.select(*keys, F.lit(1).cast("long").alias("_rows"), new.alias("_new"))
-    return source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.first(new).alias("_new"))
+        found = rows.agg(count, size, F.lit(1).alias("_most")).first()
+    else:
+        per_key = rows.groupBy(*keys).agg(count, size)
+        found = per_key.agg(F.sum("_rows").alias("_rows"), F.sum("_bytes").alias("_bytes"), F.max("_rows").alias("_most")).first()
+    count, size, most = found["_rows"] or 0, found["_bytes"] or 0, found["_most"] or 0
+    return _Measured(count <= BROADCAST_ROWS and size <= BROADCAST_BYTES, most > 1)
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
-def _matched_keys(target: DataFrame, source_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys present on both sides, each once.
+def _matched_keys(target: DataFrame, source_keys: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Keys of the target that the anti join needs, reading only its key columns.
 
-    Reads only key columns of the target. Per-task deduplication comes before any
-    shuffle of the join result, so a key that fills much of the target stays small.
+    For a small source these are the keys on both sides, no more than the source
+    has. Otherwise they are the target's keys with at most COPIES_PER_KEY copies
+    each: repeats are dropped within tasks before the first shuffle, and the salt
+    leaves the second shuffle to the join.
     """
-    return (
-        target.select(*keys)
-        .join(source_keys, list(keys), "left_semi")
-        .withColumn("_task", F.spark_partition_id())
-        .distinct()
-        .select(*keys)
-        .distinct()
+    if small:
+        return F.broadcast(target.select(*keys).join(F.broadcast(source_keys), list(keys), "left_semi").distinct())
+    salted = target.dropna(subset=list(keys)).select(
+        *keys, F.pmod(F.spark_partition_id(), F.lit(COPIES_PER_KEY)).alias("_salt")
     )
+    return salted.distinct().select(*keys)
+
+
+def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], measured: _Measured) -> Column:
+    """True, or an error when a target row meets more than one source row."""
+    if not measured.repeats:
+        return F.lit(True)
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(*keys)
+    met = target.select(*keys).join(_sized(repeated, measured.small), list(keys), "left_semi")
+    many = met.agg(F.count(F.lit(1))).scalar() > 0
+    return F.when(many, F.raise_error(F.lit(MANY_MATCHES)).cast("boolean")).otherwise(F.lit(True))
 
 
-def _single_match() -> Column:
-    """True, or an error when a target row met more than one source row."""
-    return F.when(F.col("_rows") > 1, F.raise_error(F.lit(MANY_MATCHES)).cast("boolean")).otherwise(F.lit(True))
+def _joined(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], payload: Sequence[str], measured: _Measured
+) -> DataFrame:
+    """Target rows with `_new`, the payload of their source row, or null."""
+    incoming = rows.select(*keys, F.struct(*payload).alias("_new"))
+    both = target.join(_sized(incoming, measured.small), list(keys), "left")
+    return both.filter(_single_match(target, rows, keys, measured)) if measured.repeats else both
 
 
 def merge_upsert(
@@ -64,24 +101,24 @@ def merge_upsert(
 ) -> DataFrame:
     """Target after `WHEN MATCHED UPDATE SET set_cols / WHEN NOT MATCHED INSERT *`.
 
-    `set_cols` defaults to every non-key column. Merging the same source again
-    changes nothing unless it has null keys, which are inserted every time.
+    `set_cols` defaults to every non-key column. Source columns are matched by
+    name and cast to the target's types; other columns are ignored. Merging the
+    same source again changes nothing unless it has null keys, which are inserted
+    every time. `unique_source` promises one row per key and saves the check.
     """
     set_cols = [c for c in target.columns if c not in keys] if set_cols is None else list(set_cols)
-    rows = _like(source, target)
-    incoming = _one_row_per_key(rows, keys, set_cols or keys, unique_source)
-    matched = F.col("_rows").isNotNull()
-    stayed = (
-        target.join(incoming, list(keys), "left")
-        .filter(_single_match())
-        .select(
-            *[
-                F.when(matched, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
-                for c in target.columns
-            ]
-        )
+    rows = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    keyed = rows.dropna(subset=list(keys))
+    measured = _measure(keyed, keys, unique_source)
+    new = F.col("_new")
+    stayed = _joined(target, keyed, keys, set_cols or keys, measured).select(
+        *[
+            F.when(new.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
+            for c in target.columns
+        ]
     )
-    arrived = rows.join(_matched_keys(target, incoming.select(*keys), keys), list(keys), "left_anti")
+    matched = _matched_keys(target, keyed.select(*keys), keys, measured.small)
+    arrived = rows.join(matched, list(keys), "left_anti")
     return stayed.unionByName(arrived.select(*target.columns))
 
 
@@ -102,21 +139,22 @@ def merge_cdc(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields],
         F.col(op).alias("_op"),
     )
-    incoming = _one_row_per_key(rows, keys, ["_op", *cols], unique_source)
-    action = F.col("_new")["_op"]
-    updated = F.coalesce(action == "U", F.lit(False))
+    keyed = rows.dropna(subset=list(keys))
+    measured = _measure(keyed, keys, unique_source)
+    new = F.col("_new")
+    updated = F.coalesce(new["_op"] == "U", F.lit(False))
     stayed = (
-        target.join(incoming, list(keys), "left")
-        .filter(_single_match() & ~F.coalesce(action == "D", F.lit(False)))
+        _joined(target, keyed, keys, ["_op", *cols], measured)
+        .filter(~F.coalesce(new["_op"] == "D", F.lit(False)))
         .select(
             *[
-                F.when(updated, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                F.when(updated, new[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                 for c in target.columns
             ]
         )
     )
     inserts = rows.filter(F.col("_op") == "I")
-    matched = _matched_keys(target, inserts.select(*keys), keys)
+    matched = _matched_keys(target, keyed.filter(F.col("_op") == "I").select(*keys), keys, measured.small)
     arrived = inserts.join(matched, list(keys), "left_anti")
     return stayed.unionByName(arrived.select(*target.columns))
 

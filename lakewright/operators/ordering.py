@@ -17,6 +17,7 @@ from lakewright.session import ensure_checkpoint_dir
 
 DEFAULT_GROUP_ROWS = 5_000_000
 DEFAULT_HEAP_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _orderable(kind: DataType) -> bool:
@@ -59,24 +60,34 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for broadcast if its known bound of `rows` allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def split_by_group_size(
     df: DataFrame, group: Sequence[str], max_group_rows: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to `max_group_rows`, and rows of larger groups (None if there are none).
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups up to `max_group_rows`, rows of larger groups (or None), number of larger groups.
 
-    One job counts rows per group with map-side partial sums. At most
-    rows / max_group_rows groups can be large, so the list joined back is short.
+    One job counts rows per group with map-side partial sums. There are at most
+    rows / max_group_rows large groups, so their list is short.
     """
     if not group:
-        large = df.limit(max_group_rows + 1).count() > max_group_rows
-        return (df.limit(0), df) if large else (df, None)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > max_group_rows).select(*group)
-    if large.isEmpty():
-        return df, None
+        large = df.count() > max_group_rows
+        return (df.limit(0), df, 1) if large else (df, None, 0)
     ensure_checkpoint_dir(df.sparkSession)
-    large = large.checkpoint()
-    return join_null_safe(df, large, group, "left_anti"), join_null_safe(df, large, group, "left_semi")
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.filter(F.col("_size") > max_group_rows).select(*group).checkpoint()
+    groups = large.count()
+    if groups == 0:
+        return df, None, 0
+    large = sized(large, groups)
+    return (
+        join_null_safe(df, large, group, "left_anti"),
+        join_null_safe(df, large, group, "left_semi"),
+        groups,
+    )
 
 
 def drop_consecutive_duplicates(
@@ -93,7 +104,7 @@ def drop_consecutive_duplicates(
     """
     order = [c for c in total_order(df, order) if c not in partition]
     current = F.struct(*cols)
-    small, large = split_by_group_size(df, partition, max_group_rows)
+    small, large, groups = split_by_group_size(df, partition, max_group_rows)
 
     # With no partition column this window is one task, of at most max_group_rows rows.
     window = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
@@ -118,6 +129,8 @@ def drop_consecutive_duplicates(
         .withColumn("_carried", F.lag("_last").over(across))
         .drop("_last")
     )
+    # A chunk border or a group border starts a row of `borders`.
+    borders = sized(borders, groups + rows.rdd.getNumPartitions())
     heads = rows.withColumn("_previous", F.lag(current).over(inside))
     previous = F.coalesce(F.col("_previous"), F.col("_carried"))
     spread = join_null_safe(heads, borders, chunk_keys, "left").filter(

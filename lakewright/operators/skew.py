@@ -11,6 +11,7 @@ from lakewright.operators.ordering import (
     DEFAULT_GROUP_ROWS,
     join_null_safe,
     sorted_chunks,
+    sized,
     split_by_group_size,
 )
 
@@ -48,8 +49,8 @@ def _small_groups(values: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _large_groups(counts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Same statistics from (group, _value, _count) rows, for groups of any size.
+def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataFrame:
+    """Same statistics from (group, _value, _count) rows of `groups` groups, each of any size.
 
     The distinct values are sorted over the whole cluster. Counts per chunk say
     which chunk holds each position, and only those chunks are looked at again.
@@ -88,7 +89,7 @@ def _large_groups(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     )
     running = Window.partitionBy(*chunk_keys, "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        join_null_safe(rows, picks, chunk_keys, "inner")
+        join_null_safe(rows, sized(picks, len(QUARTERS) * groups), chunk_keys, "inner")
         .withColumn("_upto", F.col("_before") + F.sum("_count").over(running))
         .filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_count")))
         .groupBy(*group)
@@ -122,12 +123,11 @@ def skew_report(
     """
     group = [group] if isinstance(group, str) else list(group)
     values = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_value"))
-    small, large = split_by_group_size(values, group, max_group_rows)
+    small, large, groups = split_by_group_size(values, group, max_group_rows)
     stats = _small_groups(small, group)
     if large is not None:
         counts = large.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_count"))
-        big = _large_groups(counts, group)
-        stats = stats.unionByName(big)
+        stats = stats.unionByName(_large_groups(counts, group, groups))
     return _report(stats, group, threshold)
 
 

@@ -61,14 +61,13 @@ def run_gold(
     A `gold_path` without a table counts as an empty table.
     """
     gold = read_or_empty(spark, gold_path, GOLD_SCHEMA)
-    mine = F.col("table_name") == "daily_revenue"
-    # Listed now, so the commit below is not in it.
-    known = read_log(spark, log_path).filter(mine)
     merged = merge_daily_revenue(gold, daily_revenue(spark.read.parquet(orders_path)))
     replace_table(merged, new_gold_path, ["order_date"])
-    record_commit(spark, log_path, "daily_revenue", OPERATIONS["merge"], as_of)
+    commit = record_commit(spark, log_path, "daily_revenue", OPERATIONS["merge"], as_of)
     if compact_to:
         compact_files(spark, new_gold_path, compact_to, partition_by=["order_date"])
     written = spark.read.parquet(compact_to or new_gold_path)
-    more = increase_check(known, read_log(spark, log_path).filter(mine), "snapshots_increased")
+    commits = read_log(spark, log_path).filter(F.col("table_name") == "daily_revenue")
+    earlier = commits.join(commit, "snapshot_id", "left_anti")
+    more = increase_check(earlier, commits, "snapshots_increased")
     return row_count_check(merged, written).unionByName(more)

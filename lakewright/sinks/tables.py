@@ -12,12 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakewright.operators.merge import merge_upsert
 
 LOG_SCHEMA = "table_name string, snapshot_id bigint, committed_at timestamp, operation string"
 
+MAX_TOUCHED = 1000
+
 # The operation a commit log shows for each way of writing.
 OPERATIONS = {
     "append": "append",
@@ -98,13 +101,22 @@ def merge_partitions(
     """Upsert into a partitioned table, reading and rewriting only partitions the source touches.
 
     Possible when the partition columns are part of the key: a row can then only
-    match inside its own partition, and all other partitions stay as they are.
+    match inside its own partition, and all other partitions stay as they are. The
+    touched values become a filter, so untouched directories are not even listed
+    as input. Beyond MAX_TOUCHED values the whole table is merged instead.
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must be part of the key")
     target = spark.read.parquet(path)
-    touched = source.select(*partition_by).distinct()
-    inside = target.join(touched, list(partition_by), "left_semi").select(*target.columns)
-    merged = merge_upsert(inside, source, keys, set_cols)
-    overwrite(merged, path, partition_by, dynamic=True)
+    touched = source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in partition_by])
+    values = touched.distinct().limit(MAX_TOUCHED + 1).collect()
+    if len(values) <= MAX_TOUCHED:
+        inside = F.lit(False)
+        for row in values:
+            match = F.lit(True)
+            for column in partition_by:
+                match = match & F.col(column).eqNullSafe(F.lit(row[column]))
+            inside = inside | match
+        target = target.filter(inside)
+    overwrite(merge_upsert(target, source, keys, set_cols), path, partition_by, dynamic=True)
     return OPERATIONS["merge"]

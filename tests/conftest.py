@@ -20,3 +20,18 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def settings(spark):
+    """Sets session configuration for one test."""
+    old = {}
+
+    def apply(values):
+        for key, value in values.items():
+            old[key] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+
+    yield apply
+    for key, value in old.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
