@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, BinaryType, StringType
 
+from lakewright.session import ensure_checkpoint_dir
+
 MANY_MATCHES = "several source rows match one target row"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-COPIES_PER_KEY = 64
+SAMPLE_ROWS = 5_000_000
+FREQUENT_SHARE = 0.005
 
 
 @dataclass(frozen=True)
@@ -57,20 +60,42 @@ def _sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _matched_keys(target: DataFrame, source_keys: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Keys of the target that the anti join needs, reading only its key columns.
+def _target_keys(target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the target for the build side of an anti join, frequent ones only once.
 
-    For a small source these are the keys on both sides, no more than the source
-    has. Otherwise they are the target's keys with at most COPIES_PER_KEY copies
-    each: repeats are dropped within tasks before the first shuffle, and the salt
-    leaves the second shuffle to the join.
+    AQE cannot split that side, so in a large target keys that fill more than
+    FREQUENT_SHARE of a sample are reduced to distinct ones. A missed key costs
+    time, never rows.
     """
-    if small:
-        return F.broadcast(target.select(*keys).join(F.broadcast(source_keys), list(keys), "left_semi").distinct())
-    salted = target.dropna(subset=list(keys)).select(
-        *keys, F.pmod(F.spark_partition_id(), F.lit(COPIES_PER_KEY)).alias("_salt")
+    held = target.select(*keys).dropna()
+    rows = held.count()
+    if rows <= SAMPLE_ROWS:
+        return held
+    ensure_checkpoint_dir(target.sparkSession)
+    frequent = (
+        held.sample(SAMPLE_ROWS / rows, seed=1)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_seen"))
+        .filter(F.col("_seen") > FREQUENT_SHARE * SAMPLE_ROWS)
+        .select(*keys)
+        .checkpoint()
     )
-    return salted.distinct().select(*keys)
+    if frequent.isEmpty():
+        return held
+    # About 1 / FREQUENT_SHARE keys at most.
+    frequent = F.broadcast(frequent)
+    rare = held.join(frequent, list(keys), "left_anti")
+    return rare.unionByName(held.join(frequent, list(keys), "left_semi").distinct())
+
+
+def _matched_keys(target: DataFrame, source_keys: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Keys that stop source rows from being inserted, from the target's key columns alone.
+
+    For a small source they are the keys on both sides, no more than the source has.
+    """
+    if not small:
+        return _target_keys(target, keys)
+    return F.broadcast(target.select(*keys).join(F.broadcast(source_keys), list(keys), "left_semi").distinct())
 
 
 def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], measured: _Measured) -> Column:

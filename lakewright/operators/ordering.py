@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from lakewright.functions.literals import typed_literal
 from lakewright.session import ensure_checkpoint_dir
 
 DEFAULT_GROUP_ROWS = 5_000_000
@@ -152,42 +153,74 @@ def page(
     size: int = 100,
     max_heap_rows: int = DEFAULT_HEAP_ROWS,
 ) -> DataFrame:
-    """Rows `start` up to `start + size` of `df` in `order`.
+    """Rows `start` up to `start + size` of `df` in `order`; ties go by the other columns.
 
-    Near the front this is Spark's top-k with an offset. Further in, a top-k
-    would keep `start` rows per task, so the rows are sorted over the cluster
-    and only chunks that overlap the page are read.
+    Near the front this is Spark's top-k with an offset. Further in, a top-k would
+    keep `start` rows per task, so the keys alone are sorted over the cluster to
+    find those on the page, and only rows between its first and last key are read.
     """
-    order = total_order(df, order)
     if start + size <= max_heap_rows:
-        return df.orderBy(*order).offset(start).limit(size)
-    rows = sorted_chunks(df, order)
+        return df.orderBy(*total_order(df, order)).offset(start).limit(size)
+    order = list(order)
+    keys = _page_keys(df.groupBy(*order).agg(F.count(F.lit(1)).alias("_count")), order, start, size)
+    if set(order) == set(df.columns):
+        copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+        return keys.withColumn("_copy", copies).orderBy(*order).select(*df.columns)
+    first = F.col(order[0])
+    before, nulls, lowest, highest = keys.agg(
+        F.min("_position"), F.count_if(first.isNull()), F.min(first), F.max(first)
+    ).first()
+    if before is None:
+        return df.limit(0)
+    key = F.struct(*order)
+    low, high = keys.agg(F.min(key)).scalar(), keys.agg(F.max(key)).scalar()
+    rows = df.filter((key >= low) & (key <= high))
+    if not nulls:
+        # The bounds of the first column once more as literals, which the scan can use.
+        kind = df.schema[order[0]].dataType
+        rows = rows.filter(first.between(typed_literal(lowest, kind), typed_literal(highest, kind)))
+    everything = total_order(df, order)
+    if start - before + size <= max_heap_rows or order == everything:
+        return rows.orderBy(*everything).offset(start - before).limit(size)
+    # Very many rows share the first key of the page: page among them by all columns.
+    return page(rows, everything, start - before, size, max_heap_rows)
+
+
+def _page_keys(counts: DataFrame, order: Sequence[str], start: int, size: int) -> DataFrame:
+    """Keys with rows on the page, `_copies` of them there, and `_position`, the rows before each key."""
+    rows = sorted_chunks(counts, order)
     # One row per chunk: the running count needs no partition column.
     running = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
         rows.groupBy("_chunk")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
+        .agg(F.sum("_count").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
         .filter((F.col("_before") < start + size) & (F.col("_before") + F.col("_rows") > start))
-        .select("_chunk", "_first", "_before")
+        .select("_chunk", "_before")
     )
-    position = F.col("_before") + F.col("_row") - F.col("_first")
+    inside = Window.partitionBy("_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(chunks, "_chunk")
-        .filter((position >= start) & (position < start + size))
-        .orderBy(*order)
-        .select(*df.columns)
+        rows.join(F.broadcast(chunks), "_chunk")
+        .withColumn("_position", F.col("_before") + F.sum("_count").over(inside) - F.col("_count"))
+        .filter((F.col("_position") < start + size) & (F.col("_position") + F.col("_count") > start))
+        .withColumn(
+            "_copies",
+            F.least(F.col("_position") + F.col("_count"), F.lit(start + size)) - F.greatest("_position", F.lit(start)),
+        )
+        .select(*order, "_position", "_copies")
+        .checkpoint()
     )
 
 
 def page_after(df: DataFrame, order: Sequence[str], last_key: Sequence[object], size: int = 100) -> DataFrame:
     """The next `size` rows after `last_key`, for walking pages without offsets.
 
-    The bound on the first column reaches the scan; `order` must be unique.
+    The bound on the first column reaches the scan; `order` must be unique and
+    free of nulls.
     """
-    bound = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, last_key)])
-    first = F.col(order[0]) >= F.lit(last_key[0])
-    return df.filter(first & (F.struct(*order) > bound)).orderBy(*order).limit(size)
+    values = [typed_literal(v, df.schema[c].dataType) for c, v in zip(order, last_key)]
+    bound = F.struct(*[v.alias(c) for c, v in zip(order, values)])
+    return df.filter((F.col(order[0]) >= values[0]) & (F.struct(*order) > bound)).orderBy(*order).limit(size)
 
 
 def page_state(df: DataFrame, start: int, size: int = 100) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakewright.functions.literals import typed_literal
 from lakewright.operators.merge import merge_upsert
 
 LOG_SCHEMA = "table_name string, snapshot_id bigint, committed_at timestamp, operation string"
@@ -115,7 +116,7 @@ def merge_partitions(
         for row in values:
             match = F.lit(True)
             for column in partition_by:
-                match = match & F.col(column).eqNullSafe(F.lit(row[column]))
+                match = match & F.col(column).eqNullSafe(typed_literal(row[column], target.schema[column].dataType))
             inside = inside | match
         target = target.filter(inside)
     overwrite(merge_upsert(target, source, keys, set_cols), path, partition_by, dynamic=True)

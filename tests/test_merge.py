@@ -180,7 +180,8 @@ def test_change_summary_of_empty_tables(spark):
     assert got == {"inserted": 0, "updated": 0, "deleted": 0, "unchanged": 0}
 
 
-def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch):
+@pytest.mark.parametrize("sample_rows", [2000, 5_000_000])
+def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch, sample_rows):
     """A third of the target shares one key and nothing may be broadcast."""
     settings(
         {
@@ -192,6 +193,7 @@ def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch):
         }
     )
     monkeypatch.setattr("lakewright.operators.merge.BROADCAST_ROWS", -1)
+    monkeypatch.setattr("lakewright.operators.merge.SAMPLE_ROWS", sample_rows)
     ids = spark.range(0, 30000, 1, 8)
     key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
     target = ids.select(key.alias("k"), F.col("id").alias("v"))
@@ -207,6 +209,8 @@ def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch):
     merged.explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin(skew=true)" in plan and "FullOuter" not in plan
+    # With a sample, the frequent key reaches the anti join once.
+    assert ("LeftSemi" in plan) == (sample_rows == 2000)
 
 
 def test_a_small_source_is_broadcast_and_the_target_is_not_shuffled(spark, capsys):

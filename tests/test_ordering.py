@@ -78,6 +78,34 @@ def test_page_orders_ties_by_the_other_columns(spark, heap):
     assert [r.id for r in page(df, ["k"], 700, 5, max_heap_rows=heap).collect()] == [700, 701, 702, 703, 704]
 
 
+@pytest.mark.parametrize("heap", [0, 300, 1_000_000])
+@pytest.mark.parametrize("start", [0, 190, 380, 590, 890])
+def test_page_with_nulls_strings_and_repeated_keys(spark, heap, start):
+    df = spark.range(0, 900, 1, 8).selectExpr(
+        "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE CONCAT('k', id % 7) END AS k",
+        "IF(id % 11 = 0, NULL, id % 4) AS n", "id",
+    ).repartition(8)
+    def nulls_first(value):
+        return (value is not None, value)
+
+    everything = sorted(map(tuple, df.collect()), key=lambda r: tuple(map(nulls_first, r)))
+    got = [tuple(r) for r in page(df, ["k", "n"], start, 30, max_heap_rows=heap).collect()]
+    assert got == everything[start : start + 30]
+
+
+def test_far_page_reads_only_rows_of_its_key_range(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    spark.range(0, 3000, 1, 8).selectExpr("id AS line_no", "CAST(id AS STRING) AS line").write.parquet(path)
+    page(spark.read.parquet(path), ["line_no"], 2000, 10, max_heap_rows=0).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(line_no" in plan and "LessThanOrEqual(line_no" in plan
+
+
+def test_far_page_of_equal_rows(spark):
+    df = spark.range(0, 900, 1, 8).selectExpr("IF(id < 700, 5, 9) AS k")
+    assert [r.k for r in page(df, ["k"], 690, 20, max_heap_rows=0).collect()] == [5] * 10 + [9] * 10
+
+
 def test_page_after_walks_all_rows(spark):
     df = spark.range(0, 25).selectExpr("id % 3 AS a", "id AS b")
     seen, key = [], [-1, -1]
