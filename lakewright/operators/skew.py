@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, IntegralType
 
 from lakewright.operators.ordering import (
     DEFAULT_GROUP_ROWS,
@@ -43,7 +44,7 @@ def _small_groups(values: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_value").alias("min"),
-        F.avg("_value").alias("mean"),
+        F.sum("_value").cast("double").alias("_sum"),
         F.max("_value").alias("max"),
         *picks,
     )
@@ -55,6 +56,8 @@ def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataF
     The distinct values are sorted over the whole cluster. Counts per chunk say
     which chunk holds each position, and only those chunks are looked at again.
     """
+    exact = isinstance(counts.schema["_value"].dataType, DecimalType)
+    weight = "decimal(20,0)" if exact else "double"
     rows = sorted_chunks(counts, [*group, "_value"])
     chunk_keys = [*group, "_chunk"]
     in_order = Window.partitionBy(*group).orderBy("_chunk")
@@ -63,7 +66,7 @@ def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataF
         rows.groupBy(*chunk_keys)
         .agg(
             F.sum("_count").alias("_rows"),
-            F.sum(F.col("_value") * F.col("_count")).alias("_sum"),
+            F.sum(F.col("_value") * F.col("_count").cast(weight)).alias("_sum"),
             F.min("_value").alias("_min"),
             F.max("_value").alias("_max"),
         )
@@ -73,7 +76,7 @@ def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataF
     summary = chunks.groupBy(*group).agg(
         F.sum("_rows").alias("n"),
         F.min("_min").alias("min"),
-        (F.sum("_sum") / F.sum("_rows")).alias("mean"),
+        F.sum("_sum").cast("double").alias("_sum"),
         F.max("_max").alias("max"),
     )
     wanted = F.array(
@@ -99,9 +102,13 @@ def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataF
 
 
 def _report(stats: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
+    names = ["min", "p25", "median", "p75", "max"]
+    stats = stats.withColumns({name: F.col(name).cast("double") for name in names})
     ratio = F.when(F.col("median") > 0, F.col("max") / F.col("median")).otherwise(F.lit(0.0))
     return stats.select(
-        *group, "n", "min", "p25", "median", "mean", "p75", "max",
+        *group, "n", "min", "p25", "median",
+        (F.col("_sum") / F.col("n")).alias("mean"),
+        "p75", "max",
         ratio.alias("ratio"),
         (ratio >= F.lit(threshold)).alias("skewed"),
     )
@@ -120,9 +127,16 @@ def skew_report(
     counted from zero), so the median of two values is the larger one. The ratio
     is max / median, 0 when the median is not positive, and a group is skewed
     from `threshold` on. Null values are left out; a group without values gives no row.
+    Whole and decimal numbers are summed exactly. The input is read twice, so
+    checkpoint one that is costly to compute.
     """
     group = [group] if isinstance(group, str) else list(group)
-    values = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_value"))
+    kind = df.schema[value].dataType
+    if isinstance(kind, IntegralType):
+        kind = DecimalType(20, 0)
+    elif not isinstance(kind, DecimalType):
+        kind = DoubleType()
+    values = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast(kind).alias("_value"))
     small, large, groups = split_by_group_size(values, group, max_group_rows)
     stats = _small_groups(small, group)
     if large is not None:
@@ -159,7 +173,7 @@ def key_skew(df: DataFrame, key: str | Sequence[str], threshold: float = DEFAULT
     stats = ranked.agg(
         F.sum("_count").alias("n"),
         F.min("_value").alias("min"),
-        (F.sum(F.col("_value") * F.col("_count")) / F.sum("_count")).alias("mean"),
+        F.sum(F.col("_value") * F.col("_count")).alias("_sum"),
         F.max("_value").alias("max"),
         *picks,
     ).filter(F.col("n").isNotNull())

@@ -17,7 +17,7 @@ from lakewright.functions import formats
 from lakewright.operators import aggregates, checks, files, merge, ordering, skew, snapshots
 from lakewright.operators.timeline import stage_times, timeline
 from lakewright.plans import curate, sync
-from lakewright.session import scratch_path
+from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import export as exports
 from lakewright.sinks import tables
 from lakewright.sources import generated, logs, metrics
@@ -333,14 +333,14 @@ def page_state(spark, folder):
 
 @query
 def skew_report(spark, folder):
-    report = skew.skew_report(table(spark, folder, "lineitem"), "l_suppkey", "l_extendedprice", 2.0)
-    return report.withColumn("mean", F.round("mean", 4))
+    items = table(spark, folder, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    return skew.skew_report(items, "l_suppkey", "price", 2.0)
 
 
 @query
 def skew_report_events(spark, folder):
-    report = skew.skew_report(table(spark, folder, "events"), "user_id", "value")
-    return report.withColumn("mean", F.round("mean", 4))
+    events = table(spark, folder, "events").select("user_id", F.col("value").cast("decimal(12,2)").alias("value"))
+    return skew.skew_report(events, "user_id", "value")
 
 
 @query
@@ -426,8 +426,9 @@ def skew_from_event_log(spark, folder):
             F.lit('},"Task Metrics":{"Executor Run Time":'), price, F.lit("}}"),
         ).alias("value")
     )
-    report = skew.skew_report(metrics.task_metrics_from_event_log(lines), "stage_id", "run_time_ms", 2.0)
-    return report.withColumn("mean", F.round("mean", 4))
+    tasks = metrics.task_metrics_from_event_log(lines).withColumn("run_time_ms", F.col("run_time_ms").cast("decimal(12,2)"))
+    ensure_checkpoint_dir(spark)
+    return skew.skew_report(tasks.checkpoint(), "stage_id", "run_time_ms", 2.0)
 
 
 @query

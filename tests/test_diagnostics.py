@@ -62,6 +62,16 @@ def test_skew_report_matches_brute_force(spark, limit):
     check_report(skew_report(df, "g", "v", 3.0, max_group_rows=limit), groups, 3.0)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "decimal(12,2)", "float"])
+@pytest.mark.parametrize("limit", [100, 10_000_000])
+def test_skew_report_of_other_number_types(spark, kind, limit):
+    df = spark.range(0, 1000, 1, 8).selectExpr("id % 2 AS g", f"CAST(id * 7 % 101 AS {kind}) AS v")
+    groups = {g: [float(i * 7 % 101) for i in range(1000) if i % 2 == g] for g in (0, 1)}
+    report = skew_report(df, "g", "v", 1.5, max_group_rows=limit)
+    assert {f.dataType.simpleString() for f in report.schema.fields[2:-1]} == {"double"}
+    check_report(report, groups, 1.5)
+
+
 def test_skew_report_of_two_tasks_takes_the_larger_as_median(spark):
     df = spark.createDataFrame([(2, 100.0), (2, 800.0)], "stage bigint, run_time double")
     row = skew_report(df, "stage", "run_time").first()

@@ -96,7 +96,7 @@ def test_page_with_nulls_strings_and_repeated_keys(spark, heap, start):
 def test_far_page_reads_only_rows_of_its_key_range(spark, tmp_path, capsys):
     path = str(tmp_path / "t")
     spark.range(0, 3000, 1, 8).selectExpr("id AS line_no", "CAST(id AS STRING) AS line").write.parquet(path)
-    page(spark.read.parquet(path), ["line_no"], 2000, 10, max_heap_rows=0).explain("formatted")
+    page(spark.read.parquet(path), ["line_no"], 2000, 10, max_heap_rows=100).explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(line_no" in plan and "LessThanOrEqual(line_no" in plan
 

@@ -103,6 +103,15 @@ def test_partitioned_write_gives_one_file_per_small_partition(spark, tmp_path):
     assert len(parts(path)) == 10
 
 
+def test_partitioned_write_splits_a_large_partition(spark, settings, tmp_path):
+    settings({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB"})
+    path = str(tmp_path / "t")
+    hot = F.when(F.col("id") % 50 == 0, F.col("id") % 3).otherwise(F.lit(9))
+    tables.replace_table(spark.range(0, 200000, 1, 8).select("id", F.rand(1).alias("v"), hot.alias("p")), path, ["p"])
+    assert len(parts(f"{path}/p=9")) > 3
+    assert spark.read.parquet(path).count() == 200000
+
+
 def test_create_if_absent(spark, tmp_path):
     path = str(tmp_path / "t")
     for _ in range(2):
