@@ -117,8 +117,12 @@ def compact_files(
     needed = sized(needed, partitions)
     same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in cols]
     rows = spark.read.parquet(src)
-    spread = rows.join(needed, same).withColumn(
-        "_writer", F.pmod(F.monotonically_increasing_id(), F.col("_writers"))
+    # A row's place in its file: spreads equal rows too, and stays the same when a task runs again.
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    spread = (
+        rows.select("*", place.alias("_place"))
+        .join(needed, same)
+        .withColumn("_writer", F.pmod(F.col("_place"), F.col("_writers")))
     )
     (
         spread.repartition(min(int(tasks), MAX_TASKS), *cols, "_writer")

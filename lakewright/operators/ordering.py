@@ -17,7 +17,7 @@ from lakewright.functions.literals import typed_literal
 from lakewright.session import ensure_checkpoint_dir
 
 DEFAULT_GROUP_ROWS = 5_000_000
-DEFAULT_HEAP_ROWS = 1_000_000
+DEFAULT_HEAP_ROWS = 10_000
 BROADCAST_ROWS = 500_000
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, FractionalType, StringType, TimestampNTZType, TimestampType
 
+from lakewright.functions.literals import typed_literal
 from lakewright.operators.merge import merge_upsert
 from lakewright.sinks.tables import OPERATIONS, append, overwrite, read_or_empty, record_commit, replace_table
-from lakewright.sources.relational import read_source
+from lakewright.sources.relational import jdbc_from_dsn, read_source
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class SyncJob:
     partition_by: Sequence[str] = field(default_factory=tuple)
     watermark_column: str | None = None
     batch_size: int | None = None
+    partition_column: str | None = None
+    num_partitions: int | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in ("full", "incremental"):
@@ -67,11 +70,34 @@ def high_water_mark(target: DataFrame, watermark_col: str) -> object:
     return target.agg(F.max(watermark_col)).first()[0]
 
 
+def jobs_from_spec(spec: Mapping, warehouse: str) -> list[SyncJob]:
+    """Jobs from a spec with `sources` (type, dsn) and `sync_jobs`, targets below `warehouse`.
+
+    A job names its source, namespace, table, sql, mode, and optionally
+    watermark_column, batch_size, partition_column and num_partitions.
+    """
+    sources = {name: jdbc_from_dsn(s["type"], s["dsn"]) for name, s in spec["sources"].items()}
+    return [
+        SyncJob(
+            name=job["name"],
+            fmt="jdbc",
+            options=sources[job["source"]],
+            target=f"{warehouse.rstrip('/')}/{job['namespace']}/{job['table']}",
+            query=job["sql"].strip(),
+            mode=job.get("mode") or "full",
+            watermark_column=job.get("watermark_column"),
+            batch_size=job.get("batch_size"),
+            partition_column=job.get("partition_column"),
+            num_partitions=job.get("num_partitions"),
+        )
+        for job in spec["sync_jobs"]
+    ]
+
+
 def read_job(spark: SparkSession, job: SyncJob) -> DataFrame:
-    options = dict(job.options)
-    if job.batch_size and job.fmt == "jdbc":
-        options["fetchsize"] = str(job.batch_size)
-    return read_source(spark, job.fmt, options, job.query)
+    return read_source(
+        spark, job.fmt, job.options, job.query, job.batch_size, job.partition_column, job.num_partitions
+    )
 
 
 def sync_one(spark: SparkSession, job: SyncJob, log_path: str, as_of: dt.datetime) -> None:
@@ -83,7 +109,9 @@ def sync_one(spark: SparkSession, job: SyncJob, log_path: str, as_of: dt.datetim
         existing = read_or_empty(spark, job.target, rows.schema)
         if job.fmt == "jdbc":
             mark = high_water_mark(existing, job.watermark_column)
-            fresh = rows if mark is None else rows.filter(F.col(job.watermark_column) > F.lit(mark))
+            column = job.watermark_column
+            bound = typed_literal(mark, rows.schema[column].dataType)
+            fresh = rows if mark is None else rows.filter(F.col(column) > bound)
         else:
             fresh = incremental_extract(rows, existing, job.watermark_column)
         operation = append(fresh, job.target, job.partition_by)

@@ -7,17 +7,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_source(spark: SparkSession, fmt: str, options: Mapping[str, str], query: str | None = None) -> DataFrame:
+def read_source(
+    spark: SparkSession,
+    fmt: str,
+    options: Mapping[str, str],
+    query: str | None = None,
+    batch_size: int | None = None,
+    partition_column: str | None = None,
+    num_partitions: int | None = None,
+) -> DataFrame:
     """Rows of a source: `jdbc` with a query, or any file format with a `path`.
 
-    For file formats `query` is a Spark SQL text over the view `source`.
+    For file formats `query` is a Spark SQL text over the view `{source}`.
     """
     if fmt == "jdbc":
-        return read_jdbc(spark, options["url"], query or options["dbtable"], options)
+        text = query or f"SELECT * FROM {options['dbtable']}"
+        return read_jdbc(spark, options["url"], text, options, batch_size, partition_column, num_partitions)
     rows = spark.read.format(fmt).options(**{k: v for k, v in options.items() if k != "path"}).load(options["path"])
     return spark.sql(query, source=rows) if query else rows
 
 
+def jdbc_from_dsn(kind: str, dsn: str) -> dict[str, str]:
+    """Reader options from a `host=... port=... dbname=... user=... password=...` text."""
+    if kind != "postgres":
+        raise ValueError(f"unknown source type {kind!r}")
+    parts = dict(item.split("=", 1) for item in dsn.split())
+    url = f"jdbc:postgresql://{parts['host']}:{parts.get('port', '5432')}/{parts['dbname']}"
+    if "sslmode" in parts:
+        url += f"?sslmode={parts['sslmode']}"
+    login = {name: parts[name] for name in ("user", "password") if name in parts}
+    return {"url": url, "driver": "org.postgresql.Driver", **login}
+
+
 def jdbc_options(
     url: str,
     query: str,

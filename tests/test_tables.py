@@ -13,7 +13,7 @@ from lakewright.operators import files, snapshots
 from lakewright.plans import curate, sync
 from lakewright.session import scratch_path
 from lakewright.sinks import tables
-from lakewright.sources.relational import jdbc_options, read_source
+from lakewright.sources.relational import jdbc_from_dsn, jdbc_options, read_source
 
 NOW = dt.datetime(2026, 1, 10, 12, 0, 0)
 
@@ -229,6 +229,22 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", "SELECT 1", partition_column="id")
 
 
+def test_sync_spec():
+    spec = {
+        "sources": {"pg": {"type": "postgres", "dsn": "host=db port=5432 dbname=shop user=app password=x sslmode=disable"}},
+        "sync_jobs": [
+            {"name": "orders", "source": "pg", "destination": "warehouse", "namespace": "demo", "table": "orders",
+             "sql": "SELECT id FROM orders\n", "watermark_column": None, "batch_size": 1000, "mode": "full"},
+        ],
+    }
+    (job,) = sync.jobs_from_spec(spec, "/lake/")
+    assert job.options["url"] == "jdbc:postgresql://db:5432/shop?sslmode=disable"
+    assert (job.options["user"], job.options["password"]) == ("app", "x")
+    assert (job.target, job.query, job.batch_size, job.mode) == ("/lake/demo/orders", "SELECT id FROM orders", 1000, "full")
+    with pytest.raises(ValueError, match="source type"):
+        jdbc_from_dsn("other", "")
+
+
 def test_file_source_without_query(spark, orders, tmp_path):
     orders.write.parquet(str(tmp_path / "src"))
     assert read_source(spark, "parquet", {"path": str(tmp_path / "src")}).count() == 5
