@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions.formats import format_mtime, human_size, type_symbol
 from lakewright.operators.ordering import sized
+from lakewright.session import ensure_checkpoint_dir
 
 # Target file size of a compaction and default retention of a vacuum.
 TARGET_BYTES = 134217728
@@ -109,10 +110,13 @@ def compact_files(
         return spark.read.parquet(dst)
 
     cols = list(partition_by)
-    writers = F.ceil(F.col("bytes") / target_bytes).cast("long")
-    needed = partition_files(spark, src, cols).select(
-        *[F.col(c).alias(f"_p_{c}") for c in cols], F.greatest(writers, F.lit(1)).alias("_writers")
-    )
+    # Sizes come from the listing, so this opens no file.
+    listed = spark.read.format("binaryFile").load(src).groupBy(*cols).agg(F.sum("length").alias("_bytes"))
+    ensure_checkpoint_dir(spark)
+    needed = listed.select(
+        *[F.col(c).alias(f"_p_{c}") for c in cols],
+        F.greatest(F.ceil(F.col("_bytes") / target_bytes), F.lit(1)).cast("long").alias("_writers"),
+    ).checkpoint()
     partitions, tasks = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_writers"), F.lit(1))).first()
     needed = sized(needed, partitions)
     same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in cols]

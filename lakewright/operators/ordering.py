@@ -71,18 +71,19 @@ def split_by_group_size(
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of groups up to `max_group_rows`, rows of larger groups (or None), number of larger groups.
 
-    One job counts rows per group with map-side partial sums. There are at most
-    rows / max_group_rows large groups, so their list is short.
+    One job counts rows per group with map-side partial sums, a second one keeps the
+    list of large groups if there are any. They are at most rows / max_group_rows.
     """
     if not group:
         large = df.count() > max_group_rows
         return (df.limit(0), df, 1) if large else (df, None, 0)
-    ensure_checkpoint_dir(df.sparkSession)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > max_group_rows).select(*group).checkpoint()
+    large = sizes.filter(F.col("_size") > max_group_rows).select(*group)
     groups = large.count()
     if groups == 0:
         return df, None, 0
+    ensure_checkpoint_dir(df.sparkSession)
+    large = large.checkpoint()
     large = sized(large, groups)
     return (
         join_null_safe(df, large, group, "left_anti"),

@@ -1,6 +1,9 @@
 """Merge, change capture and delete on small fixtures, and on a target with one very frequent key."""
 
 import pytest
+from hypothesis import HealthCheck, given
+from hypothesis import settings as hypothesis_settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -221,3 +224,37 @@ def test_a_small_source_is_broadcast_and_the_target_is_not_shuffled(spark, capsy
     merged.collect()
     merged.explain()
     assert "BroadcastHashJoin [k" in capsys.readouterr().out
+
+
+KEYS = st.one_of(st.none(), st.integers(0, 6))
+STATE = st.dictionaries(st.integers(0, 6), st.sampled_from("abc"), max_size=6)
+CHANGES = st.lists(st.tuples(KEYS, st.sampled_from("xyz"), st.sampled_from(["I", "U", "D", None])), max_size=6, unique_by=lambda c: c[0])
+
+
+@pytest.mark.parametrize("broadcast_rows", [-1, 1_000_000])
+@hypothesis_settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(state=STATE, changes=CHANGES)
+def test_random_changes(spark, monkeypatch, broadcast_rows, state, changes):
+    monkeypatch.setattr("lakewright.operators.merge.BROADCAST_ROWS", broadcast_rows)
+    target = spark.createDataFrame(sorted(state.items()), "k int, v string")
+    outbox = spark.createDataFrame(changes, "k int, v string, op string")
+    after, upserted = dict(state), list(state.items())
+    extra = []
+    for k, v, op in changes:
+        if op == "D":
+            after.pop(k, None)
+        elif op == "U" and k in state:
+            after[k] = v
+        elif op == "I" and k is None:
+            extra.append((k, v))
+        elif op == "I" and k not in state:
+            after[k] = v
+    assert rows(merge_cdc(target, outbox, ["k"])) == sorted([*after.items(), *extra], key=repr)
+    expected = {**state, **{k: v for k, v, _ in changes if k is not None}}
+    nulls = [(None, v) for k, v, _ in changes if k is None]
+    got = merge_upsert(target, outbox.drop("op"), ["k"])
+    assert rows(got) == sorted([*expected.items(), *nulls], key=repr)
+    counts = {r.change: r.row_count for r in change_summary(target, got, ["k"]).collect()}
+    assert counts["unchanged"] + counts["updated"] == len(state)
+    assert counts["inserted"] == len(expected) - len(state) + len(nulls)
+    assert counts["updated"] == sum(expected[k] != v for k, v in upserted)
