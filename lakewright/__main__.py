@@ -34,12 +34,12 @@ def _spec(path: str) -> dict:
 
 
 def _stages(spark: SparkSession, path: str, event_log: bool) -> DataFrame:
-    return metrics.stages_from_event_log(spark.read.text(path)) if event_log else metrics.read_stages(spark, path)
+    return metrics.stages_from_event_log(metrics.read_event_log(spark, path)) if event_log else metrics.read_stages(spark, path)
 
 
 def _tasks(spark: SparkSession, path: str, event_log: bool) -> DataFrame:
     if event_log:
-        return metrics.task_metrics_from_event_log(spark.read.text(path))
+        return metrics.task_metrics_from_event_log(metrics.read_event_log(spark, path))
     return metrics.task_metrics(metrics.read_stages(spark, path))
 
 

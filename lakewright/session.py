@@ -29,19 +29,20 @@ def build_session(app_name: str, master: str | None = None, **conf: object) -> S
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The folder every executor can see: `spark.checkpoint.dir`.
+    """The folder every executor can see: `spark.checkpoint.dir`, or the checkpoint
+    folder the application has set.
 
-    Only a local session without that setting gets a temporary folder; a
-    machine-local path would not survive the loss of an executor.
+    Only a local session without either gets a temporary folder; a machine-local
+    path would not survive the loss of an executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="lakewright-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakewright-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

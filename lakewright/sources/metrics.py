@@ -31,6 +31,11 @@ def read_stages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STAGE_SCHEMA).option("multiLine", True).json(path)
 
 
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the event logs below `path`, compressed or not, in a text column `value`."""
+    return spark.read.option("recursiveFileLookup", True).text(path)
+
+
 def parse_stages(lines: DataFrame, column: str = "value") -> DataFrame:
     """Stage rows from a text column with one JSON stage per row."""
     return lines.select(F.from_json(column, STAGE_SCHEMA).alias("_s")).select("_s.*")

@@ -1,7 +1,10 @@
 """Skew reports, timelines, metric sources and log parsing."""
 
 import json
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from lakewright.operators.timeline import stage_times, timeline
 from lakewright.sources.logs import parse_driver_log
 from lakewright.sources.metrics import (
     parse_stages,
+    read_event_log,
     read_stages,
     stages_from_event_log,
     task_metrics,
@@ -162,12 +166,27 @@ def test_event_log_lines(spark):
     ]
 
 
-def test_a_real_event_log_can_be_read(spark, tmp_path):
-    """Spark's own log of a finished job, when the session writes one."""
-    folder = spark.conf.get("spark.eventLog.dir", None)
-    if spark.conf.get("spark.eventLog.enabled", "false") != "true" or not folder:
-        pytest.skip("the session writes no event log")
-    assert task_metrics_from_event_log(spark.read.text(folder)).count() >= 0
+def test_the_event_log_of_a_finished_job(spark, tmp_path):
+    """Another session runs 5 + 2 tasks with its event log on; the log is read here."""
+    job = f"""
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "{tmp_path}").getOrCreate())
+spark.range(0, 1000, 1, 5).rdd.map(lambda r: (r.id % 3, 1)).reduceByKey(lambda a, b: a + b, 2).collect()
+spark.stop()
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"}
+    subprocess.run([sys.executable, "-c", job], check=True, timeout=120, env=environment, capture_output=True)
+    lines = read_event_log(spark, str(tmp_path))
+    tasks = task_metrics_from_event_log(lines)
+    per_stage = {r.stage_id: r["count"] for r in tasks.groupBy("stage_id").count().collect()}
+    assert sorted(per_stage.values()) == [2, 5]
+    assert tasks.filter("run_time_ms IS NULL OR run_time_ms < 0 OR task_id IS NULL").count() == 0
+    report = skew_report(tasks, "stage_id", "run_time_ms").collect()
+    assert {r.stage_id: r.n for r in report} == per_stage
+    bars = timeline(stage_times(stages_from_event_log(lines))).collect()
+    assert [(r.status, r.num_tasks) for r in bars] == [("COMPLETE", 5), ("COMPLETE", 2)]
+    assert bars[0].offset_cols == 0 and all(1 <= r.bar_cols <= 55 for r in bars)
 
 
 def test_driver_log(spark):

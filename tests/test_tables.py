@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewright.operators import files, snapshots
 from lakewright.plans import curate, sync
-from lakewright.session import scratch_path
+from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import tables
 from lakewright.sources.relational import jdbc_from_dsn, jdbc_options, read_source
 
@@ -334,6 +334,34 @@ def test_vacuum_candidates(spark):
 
 
 def test_scratch_paths_lie_in_the_shared_folder(spark):
-    shared = spark.conf.get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert first != second and first.startswith(shared.rstrip("/") + "/")
+    assert first != second
+    if shared:
+        assert first.startswith(shared.rstrip("/") + "/")
+
+
+def test_a_session_without_checkpoint_folder_gets_one_only_locally():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), Context(master)
+
+    local = Session("local[2]")
+    ensure_checkpoint_dir(local)
+    assert local.sparkContext.folder and scratch_path(local, "x").startswith(local.sparkContext.folder)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session("yarn"), "x")
