@@ -103,6 +103,9 @@ def compact_files(
     if not partition_by:
         # A session of its own keeps the scan settings out of the caller's session.
         packing = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+                packing.conf.set(key, value)
         packing.conf.set("spark.sql.files.maxPartitionBytes", target_bytes)
         packing.conf.set("spark.sql.files.openCostInBytes", 0)
         packing.conf.set("spark.sql.files.minPartitionNum", 1)

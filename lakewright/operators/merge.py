@@ -32,28 +32,33 @@ class _Measured:
     repeats: bool
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: eight per fixed-width field, the real length of the others."""
-    total = F.lit(8 * len(df.columns)).cast("long")
-    for field in df.schema.fields:
+def _bytes(rows: DataFrame, count: int) -> int:
+    """About the bytes of `count` rows: eight per fixed-width field, the real length of the others."""
+    fixed = 8 * len(rows.columns) * count
+    lengths = []
+    for field in rows.schema.fields:
         if isinstance(field.dataType, (StringType, BinaryType)):
-            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+            lengths.append(F.octet_length(field.name))
         elif not isinstance(field.dataType, AtomicType):
-            total = total + F.octet_length(F.to_json(F.struct(field.name)))
-    return total
+            lengths.append(F.octet_length(F.to_json(F.struct(field.name))))
+    if not lengths:
+        return fixed
+    return fixed + sum(n or 0 for n in rows.agg(*[F.sum(x) for x in lengths]).first())
 
 
 def _measure(rows: DataFrame, keys: Sequence[str], unique: bool) -> _Measured:
-    """Row count, bytes and repeated keys of the source, from one job with map-side sums."""
-    size = F.sum(_row_bytes(rows)).alias("_bytes")
-    count = F.count(F.lit(1)).alias("_rows")
+    """Size and repeated keys of the source.
+
+    The first job reads key columns only, with map-side sums; the other columns
+    are measured only when there are few rows.
+    """
     if unique:
-        found = rows.agg(count, size, F.lit(1).alias("_most")).first()
+        count, most = rows.count(), 1
     else:
-        per_key = rows.groupBy(*keys).agg(count, size)
-        found = per_key.agg(F.sum("_rows").alias("_rows"), F.sum("_bytes").alias("_bytes"), F.max("_rows").alias("_most")).first()
-    count, size, most = found["_rows"] or 0, found["_bytes"] or 0, found["_most"] or 0
-    return _Measured(count <= BROADCAST_ROWS and size <= BROADCAST_BYTES, most > 1)
+        per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        count, most = per_key.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    small = count <= BROADCAST_ROWS and _bytes(rows, count) <= BROADCAST_BYTES
+    return _Measured(small, most > 1)
 
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:

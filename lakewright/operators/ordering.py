@@ -98,13 +98,16 @@ def drop_consecutive_duplicates(
     partition: Sequence[str],
     order: Sequence[str],
     max_group_rows: int = DEFAULT_GROUP_ROWS,
+    unique_order: bool = False,
 ) -> DataFrame:
     """Keep a row only if `cols` differ from the row before it in its partition.
 
     Nulls equal nulls, and the first row of a partition is kept. Ties in `order`
     are broken by the remaining columns, so the result does not depend on layout.
+    `unique_order` promises that there are none and saves a shuffle of large groups.
     """
-    order = [c for c in total_order(df, order) if c not in partition]
+    order = list(order) if unique_order else total_order(df, order)
+    order = [c for c in order if c not in partition]
     current = F.struct(*cols)
     small, large, groups = split_by_group_size(df, partition, max_group_rows)
 
@@ -119,7 +122,7 @@ def drop_consecutive_duplicates(
         return kept
 
     # Equal rows stand next to each other, so one of each is enough.
-    if all(_orderable(f.dataType) for f in df.schema.fields):
+    if not unique_order and all(_orderable(f.dataType) for f in df.schema.fields):
         large = large.distinct()
     rows = sorted_chunks(large, [*partition, *order])
     chunk_keys = [*partition, "_chunk"]

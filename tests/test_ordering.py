@@ -49,6 +49,14 @@ def test_consecutive_duplicates_match_brute_force(spark, limit):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_consecutive_duplicates_with_unique_order(spark, limit):
+    df = spark.range(0, 1000, 1, 8).selectExpr("id % 3 AS g", "id AS at", "id % 12 DIV 6 AS v").repartition(8)
+    got = drop_consecutive_duplicates(df, ["v"], ["g"], ["at"], limit, unique_order=True)
+    kept = [i for i in range(1000) if i < 3 or i % 12 // 6 != (i - 3) % 12 // 6]
+    assert sorted(r.at for r in got.collect()) == kept
+
+
 def test_sorted_chunks_split_a_frequent_leading_value(spark):
     df = spark.range(0, 50000, 1, 8).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id")
     chunks = sorted_chunks(df, ["k", "id"])

@@ -260,7 +260,14 @@ def test_compaction_packs_small_files(spark, tmp_path):
     assert rows(packed) == [(i, f"batch-{i}") for i in range(5)]
 
 
-def test_compaction_keeps_to_the_target_size(spark, tmp_path, capsys):
+def test_compaction_uses_the_settings_of_the_session(spark, settings, tmp_path):
+    settings({"spark.sql.parquet.compression.codec": "zstd"})
+    spark.range(10).write.parquet(str(tmp_path / "small"))
+    files.compact_files(spark, str(tmp_path / "small"), str(tmp_path / "packed"))
+    assert all(f.endswith(".zstd.parquet") for f in parts(str(tmp_path / "packed")))
+
+
+def test_compaction_keeps_to_the_target_size(spark, tmp_path):
     src, dst = str(tmp_path / "small"), str(tmp_path / "packed")
     spark.range(0, 200000, 1, 40).withColumn("v", F.rand(1)).write.parquet(src)
     target = sum(os.path.getsize(f) for f in parts(src)) // 4
