@@ -118,6 +118,24 @@ ORACLES: dict[str, str] = {
         SELECT l.user_id, l.event_id, l.ts, l.value,
                CASE WHEN l.op = 'D' THEN 'D' WHEN f.op = 'I' THEN 'I' ELSE 'U' END AS op
         FROM outbox l JOIN outbox f ON l.user_id = f.user_id AND l.down = 1 AND f.up = 1""",
+    "cdc_collapse_merge": """
+        WITH outbox AS (
+            SELECT user_id, value,
+                   CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
+                   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up,
+                   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS down
+            FROM events
+        ), net AS (
+            SELECT l.user_id, l.value,
+                   CASE WHEN l.op = 'D' THEN 'D' WHEN f.op = 'I' THEN 'I' ELSE 'U' END AS op
+            FROM outbox l JOIN outbox f ON l.user_id = f.user_id AND l.down = 1 AND f.up = 1
+        ), held AS (
+            SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_mktsegment <> 'BUILDING'
+        )
+        SELECT coalesce(t.user_id, s.user_id) AS user_id,
+               CASE WHEN t.user_id IS NULL OR s.op = 'U' THEN s.value ELSE t.value END AS value
+        FROM held t FULL JOIN net s ON t.user_id = s.user_id
+        WHERE CASE WHEN t.user_id IS NULL THEN s.op = 'I' WHEN s.op = 'D' THEN FALSE ELSE TRUE END""",
     "latest_change": """
         SELECT event_id, ts, user_id, event_type, value, props FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
@@ -137,6 +155,7 @@ ORACLES: dict[str, str] = {
     "incremental_extract": """
         SELECT * FROM events
         WHERE ts > (SELECT MAX(ts) FROM events WHERE ts < TIMESTAMP '2024-01-16')""",
+    "incremental_upsert": "SELECT * FROM events",
     "change_summary": f"""
         {CDC}, compared AS (
             SELECT CASE WHEN t.o_orderkey IS NULL THEN 'inserted'
@@ -171,6 +190,9 @@ ORACLES: dict[str, str] = {
     "last_n": """
         SELECT * FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) ORDER BY ts, event_id""",
     "page_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 1000",
+    "page_after_key": """
+        SELECT * FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-01-01', 0)
+        ORDER BY o_orderdate, o_orderkey LIMIT 100""",
     "page_state": """
         WITH counted AS (SELECT COUNT(*) AS total FROM events),
         sized AS (SELECT total, greatest(least(total - 950, 100), 0) AS returned FROM counted)
@@ -214,6 +236,12 @@ ORACLES: dict[str, str] = {
     "task_metrics": """
         SELECT l_orderkey AS stage_id, l_partkey AS task_id, l_extendedprice AS run_time_ms FROM lineitem""",
     "skew_from_event_log": skew("l_suppkey", "l_extendedprice", "lineitem", 2.0, "stage_id"),
+    "stages_from_event_log": """
+        SELECT o_orderkey AS stage_id, o_orderpriority AS name,
+               CASE WHEN o_orderstatus = 'P' THEN 'FAILED' ELSE 'COMPLETE' END AS status,
+               CAST(o_custkey AS INTEGER) AS num_tasks, epoch_ms(o_orderdate) AS start_ms,
+               greatest(o_custkey, 1) AS duration_ms
+        FROM orders""",
     "parse_driver_log": """
         SELECT CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS ts,
                CASE WHEN event_type <> 'error' THEN upper(event_type) END AS level,
@@ -245,6 +273,9 @@ ORACLES: dict[str, str] = {
         FROM status WHERE name NOT LIKE '.%'""",
     "compact_files": "SELECT * FROM lineitem",
     "compact_partitions": "SELECT * FROM lineitem",
+    "partition_files": """
+        SELECT l_returnflag, l_linestatus, COUNT(*) AS row_count, TRUE AS has_files, TRUE AS has_bytes
+        FROM lineitem GROUP BY 1, 2""",
     "vacuum_candidates": """
         SELECT 'part-' || o_orderkey AS path, o_orderdate AS modified FROM orders
         WHERE o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '2000-01-01' - INTERVAL 168 HOURS""",

@@ -203,6 +203,17 @@ def cdc_collapse(spark, folder):
     return merge.collapse_changes(outbox, ["user_id"], "op", ["ts", "event_id"])
 
 
+@query
+def cdc_collapse_merge(spark, folder):
+    """Net changes of the users' events applied to the customers of all but one segment."""
+    op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+    outbox = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", op.alias("op"))
+    net = merge.collapse_changes(outbox, ["user_id"], "op", ["ts", "event_id"])
+    customers = table(spark, folder, "customer").filter(F.col("c_mktsegment") != "BUILDING")
+    known = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    return merge.merge_cdc(known, net, ["user_id"], unique_source=True)
+
+
 @query
 def latest_change(spark, folder):
     return merge.latest_change(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"])
@@ -274,6 +285,15 @@ def incremental_extract(spark, folder):
     return sync.incremental_extract(events, events.filter(F.col("ts") < ntz(SYNCED_UNTIL)), "ts")
 
 
+@query
+def incremental_upsert(spark, folder):
+    """Events known up to a day, brought up to date through the high-water mark."""
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "upsert")
+    sync.incremental_upsert(events, events.filter(F.col("ts") < ntz(SYNCED_UNTIL)), ["event_id"], "ts", path)
+    return spark.read.parquet(path)
+
+
 @query
 def change_summary(spark, folder):
     orders = table(spark, folder, "orders")
@@ -323,6 +343,11 @@ def page_rows(spark, folder):
     return ordering.page(table(spark, folder, "orders"), ["o_orderkey"], 1000, 100)
 
 
+@query
+def page_after_key(spark, folder):
+    return ordering.page_after(table(spark, folder, "orders"), ["o_orderdate", "o_orderkey"], [dt.datetime(1998, 1, 1), 0], 100)
+
+
 @query
 def page_state(spark, folder):
     return ordering.page_state(table(spark, folder, "events"), 950, 100)
@@ -431,6 +456,23 @@ def skew_from_event_log(spark, folder):
     return skew.skew_report(tasks.checkpoint(), "stage_id", "run_time_ms", 2.0)
 
 
+@query
+def stages_from_event_log(spark, folder):
+    """Event-log lines made from orders, one finished stage each; status P is a failure."""
+    ms = formats.utc_millis(F.col("o_orderdate"))
+    failed = F.when(F.col("o_orderstatus") == "P", F.lit(',"Failure Reason":"lost"')).otherwise(F.lit(""))
+    lines = table(spark, folder, "orders").select(
+        F.concat(
+            F.lit('{"Event":"SparkListenerStageCompleted","Stage Info":{"Stage ID":'), F.col("o_orderkey").cast("string"),
+            F.lit(',"Stage Name":"'), F.col("o_orderpriority"),
+            F.lit('","Number of Tasks":'), F.col("o_custkey").cast("string"),
+            F.lit(',"Submission Time":'), ms.cast("string"),
+            F.lit(',"Completion Time":'), (ms + F.col("o_custkey")).cast("string"), failed, F.lit("}}"),
+        ).alias("value")
+    )
+    return stage_times(metrics.stages_from_event_log(lines))
+
+
 @query
 def parse_driver_log(spark, folder):
     """Log lines made from events; errors become lines that do not fit the form."""
@@ -487,11 +529,17 @@ def list_status(spark, folder):
     return files.list_status(status.unionByName(folders), long=True)
 
 
+def write_small_files(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Several files per scan task, the state a compaction starts from."""
+    rows = max(df.count() // (8 * df.rdd.getNumPartitions()), 1)
+    df.write.option("maxRecordsPerFile", rows).partitionBy(*partition_by).parquet(path)
+
+
 @query
 def compact_files(spark, folder):
     """Line items in many small files, packed into large ones; all rows must survive."""
     src, dst = scratch_path(spark, "small"), scratch_path(spark, "packed")
-    table(spark, folder, "lineitem").repartition(16).write.parquet(src)
+    write_small_files(table(spark, folder, "lineitem"), src)
     return files.compact_files(spark, src, dst)
 
 
@@ -499,10 +547,22 @@ def compact_files(spark, folder):
 def compact_partitions(spark, folder):
     src, dst = scratch_path(spark, "small"), scratch_path(spark, "packed")
     items = table(spark, folder, "lineitem")
-    items.repartition(16).write.partitionBy("l_returnflag").parquet(src)
+    write_small_files(items, src, "l_returnflag")
     return files.compact_files(spark, src, dst, partition_by=["l_returnflag"]).select(*items.columns)
 
 
+@query
+def partition_files(spark, folder):
+    """Rows per partition of a table on disk; files and bytes depend on the writer, so only their presence is shown."""
+    path = scratch_path(spark, "parts")
+    tables.replace_table(table(spark, folder, "lineitem"), path, ["l_returnflag", "l_linestatus"])
+    found = files.partition_files(spark, path, ["l_returnflag", "l_linestatus"])
+    return found.select(
+        "l_returnflag", "l_linestatus", "row_count",
+        (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"),
+    )
+
+
 @query
 def vacuum_candidates(spark, folder):
     """Orders as files, the orders with urgent items kept as live ones."""
