@@ -1,11 +1,15 @@
 """MERGE, change capture and delete as functions from table states to a new state.
 
-A merge is a left join for the rows that stay plus an anti join for the rows
-that arrive. One job first measures the source. If it is small it is broadcast
-and the target is not shuffled at all. Otherwise both sides are shuffled, with
-nothing between shuffle and join on the left, so that AQE can split a frequent
-key there, which it cannot do in a full outer join. Null keys never match, as in
-SQL. The source is read several times; checkpoint one that is costly to compute.
+Both merges are projections of one pairing of target and source rows by key, a
+full outer join in meaning. Short jobs measure both sides and choose how it runs:
+
+* a small source is broadcast, and the target is not shuffled;
+* two large sides without frequent keys are joined by one full outer join;
+* with a frequent key, which AQE cannot split in a full outer join, a left join
+  and an anti join take its place, where it can.
+
+Null keys never match, as in SQL. The source is read more than once; checkpoint
+one that is costly to compute.
 """
 
 from __future__ import annotations
@@ -22,14 +26,17 @@ from lakewright.session import ensure_checkpoint_dir
 MANY_MATCHES = "several source rows match one target row"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SAMPLE_ROWS = 5_000_000
+LARGE_TARGET = 5_000_000
+SAMPLE_ROWS = 1_000_000
 FREQUENT_SHARE = 0.005
+EVEN_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class _Measured:
     small: bool
     repeats: bool
+    most: int
 
 
 def _bytes(rows: DataFrame, count: int) -> int:
@@ -47,79 +54,97 @@ def _bytes(rows: DataFrame, count: int) -> int:
 
 
 def _measure(rows: DataFrame, keys: Sequence[str], unique: bool) -> _Measured:
-    """Size and repeated keys of the source.
+    """Size of the source, whether keys repeat, and the most rows with equal or null keys.
 
     The first job reads key columns only, with map-side sums; the other columns
     are measured only when there are few rows.
     """
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
     if unique:
-        count, most = rows.count(), 1
+        count, nulls = rows.agg(F.count_if(keyed), F.count_if(~keyed)).first()
+        repeated, most = 1, max(nulls, 1)
     else:
         per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        count, most = per_key.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+        count, repeated, most = per_key.agg(
+            *[
+                F.coalesce(value, F.lit(0))
+                for value in (F.sum(F.when(keyed, F.col("_rows"))), F.max(F.when(keyed, F.col("_rows"))), F.max("_rows"))
+            ]
+        ).first()
     small = count <= BROADCAST_ROWS and _bytes(rows, count) <= BROADCAST_BYTES
-    return _Measured(small, most > 1)
-
-
-def _sized(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+    return _Measured(small, repeated > 1, most)
 
 
-def _target_keys(target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of the target for the build side of an anti join, frequent ones only once.
+def _frequent_keys(target: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys, null included, that fill more than FREQUENT_SHARE of a sample of a large target.
 
-    AQE cannot split that side, so in a large target keys that fill more than
-    FREQUENT_SHARE of a sample are reduced to distinct ones. A missed key costs
-    time, never rows.
+    At most about 1 / FREQUENT_SHARE rows. A missed key costs time, never rows.
     """
-    held = target.select(*keys).dropna()
+    held = target.select(*keys)
     rows = held.count()
-    if rows <= SAMPLE_ROWS:
-        return held
+    if rows <= LARGE_TARGET:
+        return None
     ensure_checkpoint_dir(target.sparkSession)
     frequent = (
-        held.sample(SAMPLE_ROWS / rows, seed=1)
+        held.sample(min(1.0, SAMPLE_ROWS / rows), seed=1)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_seen"))
         .filter(F.col("_seen") > FREQUENT_SHARE * SAMPLE_ROWS)
         .select(*keys)
         .checkpoint()
     )
-    if frequent.isEmpty():
+    return None if frequent.isEmpty() else frequent
+
+
+def _build_keys(target: DataFrame, frequent: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Keys of the target for the build side of an anti join, frequent ones once."""
+    held = target.select(*keys).dropna()
+    if frequent is None:
         return held
-    # About 1 / FREQUENT_SHARE keys at most.
     frequent = F.broadcast(frequent)
     rare = held.join(frequent, list(keys), "left_anti")
     return rare.unionByName(held.join(frequent, list(keys), "left_semi").distinct())
 
 
-def _matched_keys(target: DataFrame, source_keys: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Keys that stop source rows from being inserted, from the target's key columns alone.
-
-    For a small source they are the keys on both sides, no more than the source has.
-    """
-    if not small:
-        return _target_keys(target, keys)
-    return F.broadcast(target.select(*keys).join(F.broadcast(source_keys), list(keys), "left_semi").distinct())
-
-
-def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], measured: _Measured) -> Column:
+def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], small: bool) -> Column:
     """True, or an error when a target row meets more than one source row."""
-    if not measured.repeats:
-        return F.lit(True)
-    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(*keys)
-    met = target.select(*keys).join(_sized(repeated, measured.small), list(keys), "left_semi")
+    repeated = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = repeated.filter("_rows > 1").select(*keys)
+    met = target.select(*keys).join(F.broadcast(repeated) if small else repeated, list(keys), "left_semi")
     many = met.agg(F.count(F.lit(1))).scalar() > 0
     return F.when(many, F.raise_error(F.lit(MANY_MATCHES)).cast("boolean")).otherwise(F.lit(True))
 
 
-def _joined(
-    target: DataFrame, rows: DataFrame, keys: Sequence[str], payload: Sequence[str], measured: _Measured
-) -> DataFrame:
-    """Target rows with `_new`, the payload of their source row, or null."""
-    incoming = rows.select(*keys, F.struct(*payload).alias("_new"))
-    both = target.join(_sized(incoming, measured.small), list(keys), "left")
-    return both.filter(_single_match(target, rows, keys, measured)) if measured.repeats else both
+def _pair(target: DataFrame, rows: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
+    """Target and source rows by key: target columns, `_held` (null without target row), `_new` (or null)."""
+    keys = list(keys)
+    measured = _measure(rows, keys, unique)
+    held = target.withColumn("_held", F.lit(True))
+    payload = F.struct(F.lit(True).alias("_row"), *[c for c in rows.columns if c not in keys])
+    incoming = rows.select(*keys, payload.alias("_new"))
+    checked = _single_match(target, rows, keys, measured.small) if measured.repeats else None
+
+    if measured.small:
+        keyed = F.broadcast(incoming.dropna(subset=keys))
+        # Keys on both sides: no more than the source has.
+        on_both = target.select(*keys).join(F.broadcast(rows.select(*keys).dropna()), keys, "left_semi").distinct()
+        matched = F.broadcast(on_both)
+    else:
+        frequent = _frequent_keys(target, keys)
+        if frequent is None and measured.most <= EVEN_ROWS:
+            pairs = held.join(incoming, keys, "full")
+            return pairs if checked is None else pairs.filter(checked)
+        keyed = incoming.dropna(subset=keys)
+        matched = _build_keys(target, frequent, keys)
+
+    found = held.join(keyed, keys, "left")
+    if checked is not None:
+        found = found.filter(checked)
+    alone = incoming.join(matched, keys, "left_anti")
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields if f.name not in keys]
+    return found.unionByName(alone.select(*keys, *absent, "_new"))
 
 
 def merge_upsert(
@@ -134,22 +159,20 @@ def merge_upsert(
     `set_cols` defaults to every non-key column. Source columns are matched by
     name and cast to the target's types; other columns are ignored. Merging the
     same source again changes nothing unless it has null keys, which are inserted
-    every time. `unique_source` promises one row per key and saves the check.
+    every time. `unique_source` promises one row per key and saves a shuffle.
     """
     set_cols = [c for c in target.columns if c not in keys] if set_cols is None else list(set_cols)
     rows = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
-    keyed = rows.dropna(subset=list(keys))
-    measured = _measure(keyed, keys, unique_source)
     new = F.col("_new")
-    stayed = _joined(target, keyed, keys, set_cols or keys, measured).select(
-        *[
-            F.when(new.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
-            for c in target.columns
-        ]
-    )
-    matched = _matched_keys(target, keyed.select(*keys), keys, measured.small)
-    arrived = rows.join(matched, list(keys), "left_anti")
-    return stayed.unionByName(arrived.select(*target.columns))
+    inserted, matched_or_inserted = F.col("_held").isNull(), new.isNotNull()
+
+    def value(name: str) -> Column:
+        if name in keys:
+            return F.col(name)
+        taken = matched_or_inserted if name in set_cols else inserted
+        return F.when(taken, new[name]).otherwise(F.col(name)).alias(name)
+
+    return _pair(target, rows, keys, unique_source).select(*[value(c) for c in target.columns])
 
 
 def merge_cdc(
@@ -164,29 +187,24 @@ def merge_cdc(
     D and U act only on keys that exist, I only on keys that do not; every other
     combination, and a null op, changes nothing.
     """
-    cols = [c for c in target.columns if c not in keys]
     rows = outbox.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields],
         F.col(op).alias("_op"),
     )
-    keyed = rows.dropna(subset=list(keys))
-    measured = _measure(keyed, keys, unique_source)
-    new = F.col("_new")
-    updated = F.coalesce(new["_op"] == "U", F.lit(False))
-    stayed = (
-        _joined(target, keyed, keys, ["_op", *cols], measured)
-        .filter(~F.coalesce(new["_op"] == "D", F.lit(False)))
+    new, inserted = F.col("_new"), F.col("_held").isNull()
+    action = new["_op"]
+    kept = F.when(inserted, action.eqNullSafe("I")).otherwise(~action.eqNullSafe("D"))
+    taken = inserted | action.eqNullSafe("U")
+    return (
+        _pair(target, rows, keys, unique_source)
+        .filter(kept)
         .select(
             *[
-                F.when(updated, new[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                F.col(c) if c in keys else F.when(taken, new[c]).otherwise(F.col(c)).alias(c)
                 for c in target.columns
             ]
         )
     )
-    inserts = rows.filter(F.col("_op") == "I")
-    matched = _matched_keys(target, keyed.filter(F.col("_op") == "I").select(*keys), keys, measured.small)
-    arrived = inserts.join(matched, list(keys), "left_anti")
-    return stayed.unionByName(arrived.select(*target.columns))
 
 
 def latest_change(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

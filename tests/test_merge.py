@@ -65,7 +65,10 @@ def test_null_keys_never_match(spark):
     assert rows(merge_upsert(target, source, ["entity_id"])) == [(None, "new", "x"), (None, "old", "x")]
 
 
-def test_two_source_rows_for_one_target_row_raise(spark, entities):
+@pytest.mark.parametrize("broadcast_rows, even_rows", [(1_000_000, 1_000_000), (-1, 1_000_000), (-1, 0)])
+def test_two_source_rows_for_one_target_row_raise(spark, entities, monkeypatch, broadcast_rows, even_rows):
+    monkeypatch.setattr("lakewright.operators.merge.BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr("lakewright.operators.merge.EVEN_ROWS", even_rows)
     source = spark.createDataFrame([(1, "a", "x"), (1, "b", "x")], ENTITY)
     with pytest.raises(PySparkException, match="several source rows"):
         merge_upsert(entities, source, ["entity_id"]).count()
@@ -183,8 +186,8 @@ def test_change_summary_of_empty_tables(spark):
     assert got == {"inserted": 0, "updated": 0, "deleted": 0, "unchanged": 0}
 
 
-@pytest.mark.parametrize("sample_rows", [2000, 5_000_000])
-def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch, sample_rows):
+@pytest.mark.parametrize("strategy", ["sampled", "repeated source", "even"])
+def test_large_sides(spark, settings, capsys, monkeypatch, strategy):
     """A third of the target shares one key and nothing may be broadcast."""
     settings(
         {
@@ -195,25 +198,30 @@ def test_a_frequent_key_is_split(spark, settings, capsys, monkeypatch, sample_ro
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
         }
     )
-    monkeypatch.setattr("lakewright.operators.merge.BROADCAST_ROWS", -1)
-    monkeypatch.setattr("lakewright.operators.merge.SAMPLE_ROWS", sample_rows)
+    module = "lakewright.operators.merge"
+    monkeypatch.setattr(f"{module}.BROADCAST_ROWS", -1)
+    monkeypatch.setattr(f"{module}.LARGE_TARGET", 1000 if strategy == "sampled" else 10**9)
+    monkeypatch.setattr(f"{module}.SAMPLE_ROWS", 2000)
+    monkeypatch.setattr(f"{module}.EVEN_ROWS", 10**9 if strategy == "even" else 0)
     ids = spark.range(0, 30000, 1, 8)
     key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
     target = ids.select(key.alias("k"), F.col("id").alias("v"))
     source = spark.range(0, 60000, 2, 8).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("v"))
-    source = source.unionByName(spark.sql("SELECT 7L AS k, -2L AS v"))
+    source = source.unionByName(spark.sql("SELECT 7L AS k, -2L AS v UNION ALL SELECT NULL, -3L"))
     merged = merge_upsert(target, source, ["k"])
     values = [r.v for r in merged.collect()]
     # Key 7 stands on every third row and on row 7; every even key of the source ends up once.
     assert values.count(-2) == 10001
     assert values.count(-1) == 30000
+    assert values.count(-3) == 1
     kept = [i for i in range(30000) if i % 3 and i % 2 and i != 7]
     assert sorted(v for v in values if v >= 0) == kept
     merged.explain()
     plan = capsys.readouterr().out
-    assert "SortMergeJoin(skew=true)" in plan and "FullOuter" not in plan
-    # With a sample, the frequent key reaches the anti join once.
-    assert ("LeftSemi" in plan) == (sample_rows == 2000)
+    assert ("FullOuter" in plan) == (strategy == "even")
+    assert ("SortMergeJoin(skew=true)" in plan) == (strategy != "even")
+    # A sampled frequent key reaches the anti join once.
+    assert ("LeftSemi" in plan) == (strategy == "sampled")
 
 
 def test_a_small_source_is_broadcast_and_the_target_is_not_shuffled(spark, capsys):
@@ -231,11 +239,12 @@ STATE = st.dictionaries(st.integers(0, 6), st.sampled_from("abc"), max_size=6)
 CHANGES = st.lists(st.tuples(KEYS, st.sampled_from("xyz"), st.sampled_from(["I", "U", "D", None])), max_size=6, unique_by=lambda c: c[0])
 
 
-@pytest.mark.parametrize("broadcast_rows", [-1, 1_000_000])
+@pytest.mark.parametrize("broadcast_rows, even_rows", [(1_000_000, 1_000_000), (-1, 1_000_000), (-1, 0)])
 @hypothesis_settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(state=STATE, changes=CHANGES)
-def test_random_changes(spark, monkeypatch, broadcast_rows, state, changes):
+def test_random_changes(spark, monkeypatch, broadcast_rows, even_rows, state, changes):
     monkeypatch.setattr("lakewright.operators.merge.BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr("lakewright.operators.merge.EVEN_ROWS", even_rows)
     target = spark.createDataFrame(sorted(state.items()), "k int, v string")
     outbox = spark.createDataFrame(changes, "k int, v string, op string")
     after, upserted = dict(state), list(state.items())
