@@ -77,7 +77,7 @@ def _step(p: list[float], s: list[float], pick: random.Random) -> None:
             p[i] = float(p[i] > 0.5)
 
 
-def flight(prob: np.ndarray, size: np.ndarray, seed: int, left: int = 2) -> np.ndarray:
+def flight(prob: np.ndarray, size: np.ndarray, seed: int, left: int = LANDING) -> np.ndarray:
     """Probabilities after the flight phase: all 0 or 1 but for `left` units at most.
 
     Both the sum of the probabilities and the expected tokens stay as they were, up to
@@ -177,7 +177,7 @@ def mix(
         block = F.pmod(F.xxhash64("_key", F.lit(level)), F.col("_blocks"))
         units = units.withColumn("_block", block)
         flown = pin(
-            units.groupBy("source", "_block").applyInPandas(lambda pdf: _fly(pdf, 2, False), units.schema),
+            units.groupBy("source", "_block").applyInPandas(lambda pdf: _fly(pdf, LANDING, False), units.schema),
             f"mix-flight-{level}",
         )
         decided = F.col("_p").isin(0.0, 1.0)
