@@ -7,28 +7,82 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.llm import pii
+from lakewright.llm.ann import nearest
+from lakewright.llm.binary_ids import NO_KEY, documents_in, store_ids
 from lakewright.llm.common import table
+from lakewright.llm.exact_topk import top_k
+from lakewright.llm.language import held_out, identify, train
 from lakewright.llm.mixing import mix
 from lakewright.llm.packing import pack
 from lakewright.llm.simhash import near_duplicates
 
 
+def op1_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    keys = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_KEY)).alias("key"))
+    return documents_in(store_ids(docs), keys)
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", pii.report(F.col("text"), pii.train(docs)).alias("found"))
+    return found.select("doc_id", "found.*")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = near_duplicates(table(spark, folder, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.accepted", "found.entropy")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents")).drop("loss")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_binary_ids": op1_binary_ids,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op6_mixing": op6_mixing,
+    "op7_ann": op7_ann,
+    "op8_exact_topk": op8_exact_topk,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_topk": """
+        WITH clean AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM clean q JOIN clean c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
