@@ -34,7 +34,8 @@ from lakewright.session import scratch_path
 NO_KEY = -(1 << 63)
 SHARD_TEXT_BYTES = 24 << 20
 BUCKET_KEYS = 16_384
-FOOTER = struct.Struct("<4sIQQQ")
+FOOTER = "<4sIQQQ"
+FOOTER_BYTES = struct.calcsize(FOOTER)
 MAGIC = b"IDS1"
 ENTRY = np.dtype([("key", "<i8"), ("n", "<u4")])
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n_ids", "<u8")])
@@ -134,7 +135,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, shard_text_bytes: int
                 yield pa.record_batch([pa.array(values, pa.binary())], names=["value"])
         if entries:
             directory = np.concatenate(entries)
-            footer = FOOTER.pack(MAGIC, width, TaskContext.get().partitionId(), len(directory), payload)
+            footer = struct.pack(FOOTER, MAGIC, width, TaskContext.get().partitionId(), len(directory), payload)
             yield pa.record_batch([pa.array([directory.tobytes() + footer], pa.binary())], names=["value"])
 
     ordered = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
@@ -147,9 +148,9 @@ def parse_shard(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray] | Non
     """Shard number, width, directory, and all ids of one file; None for an empty file."""
     if not content:
         return None
-    width = next(w for w in (2, 4) if content[-w - FOOTER.size : -w][:4] == MAGIC and not any(content[-w:]))
-    _, width, shard, n, payload = FOOTER.unpack(content[-width - FOOTER.size : -width])
-    begin = len(content) - width - FOOTER.size - n * ENTRY.itemsize
+    width = next(w for w in (2, 4) if content[-w - FOOTER_BYTES : -w][:4] == MAGIC and not any(content[-w:]))
+    _, width, shard, n, payload = struct.unpack(FOOTER, content[-width - FOOTER_BYTES : -width])
+    begin = len(content) - width - FOOTER_BYTES - n * ENTRY.itemsize
     directory = np.frombuffer(content, ENTRY, n, begin)
     return shard, width, directory, np.frombuffer(content, f"<u{width}", payload // width)
 
