@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -16,8 +19,24 @@ from lakewright.session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's code to the Python workers of a running application, once, as
+    `spark-submit --py-files` would."""
+    context = spark.sparkContext
+    if getattr(context, "_lakewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="lakewright-")) / "lakewright.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lakewright_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder."""
+    """One table of a folder; the code that works on it goes to the workers first."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -15,6 +15,7 @@ from lakewright.llm.exact_topk import top_k
 from lakewright.llm.language import held_out, identify, train
 from lakewright.llm.mixing import mix
 from lakewright.llm.packing import pack
+from lakewright.llm.repeats import remove_repeats
 from lakewright.llm.simhash import near_duplicates
 
 
@@ -54,6 +55,11 @@ def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents")).drop("loss")
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_ann": op7_ann,
     "op8_exact_topk": op8_exact_topk,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
