@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import pii
+from lakewright.llm import licences, pii
 from lakewright.llm.ann import nearest
 from lakewright.llm.binary_ids import NO_KEY, documents_in, store_ids
 from lakewright.llm.common import table
@@ -43,6 +43,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.accepted", "found.entropy")
 
 
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
     "op7_ann": op7_ann,
     "op8_exact_topk": op8_exact_topk,
