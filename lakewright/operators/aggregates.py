@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def average_over(df: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -12,8 +13,16 @@ def average_over(df: DataFrame, column: str, threshold: float) -> DataFrame:
 
 
 def bucket_histogram(df: DataFrame, column: str, width: int) -> DataFrame:
-    """Row count per bucket of `width`, labelled by the lower bound, in order."""
-    bucket = (F.floor(F.col(column) / width) * width).cast("long")
+    """Row count per bucket of `width`, labelled by the lower bound, in order.
+
+    Whole numbers never become floating-point on the way, so large ones keep all digits.
+    """
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, IntegralType) and float(width).is_integer():
+        value = value.cast("long")
+        bucket = value - F.pmod(value, F.lit(int(width)).cast("long"))
+    else:
+        bucket = (F.floor(value / width) * width).cast("long")
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("row_count")).orderBy("bucket")
 
 

@@ -21,6 +21,8 @@ DEFAULT_THRESHOLD = 3.0
 # The zero-based position read for each statistic is n * numerator div 4.
 QUARTERS = {"p25": 1, "median": 2, "p75": 3}
 
+STATISTICS = {"n", "min", "p25", "median", "mean", "p75", "max", "ratio", "skewed"}
+
 
 def _position(n: Column, numerator: int) -> Column:
     """n * numerator div 4 in whole numbers."""
@@ -51,13 +53,11 @@ def _small_groups(values: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataFrame:
-    """Same statistics from (group, _value, _count) rows of `groups` groups, each of any size.
+    """Same statistics from (group, _value, _count, _total) rows of `groups` groups, each of any size.
 
     The distinct values are sorted over the whole cluster. Counts per chunk say
     which chunk holds each position, and only those chunks are looked at again.
     """
-    exact = isinstance(counts.schema["_value"].dataType, DecimalType)
-    weight = "decimal(20,0)" if exact else "double"
     rows = sorted_chunks(counts, [*group, "_value"])
     chunk_keys = [*group, "_chunk"]
     in_order = Window.partitionBy(*group).orderBy("_chunk")
@@ -66,7 +66,7 @@ def _large_groups(counts: DataFrame, group: Sequence[str], groups: int) -> DataF
         rows.groupBy(*chunk_keys)
         .agg(
             F.sum("_count").alias("_rows"),
-            F.sum(F.col("_value") * F.col("_count").cast(weight)).alias("_sum"),
+            F.sum("_total").alias("_sum"),
             F.min("_value").alias("_min"),
             F.max("_value").alias("_max"),
         )
@@ -128,21 +128,29 @@ def skew_report(
     is max / median, 0 when the median is not positive, and a group is skewed
     from `threshold` on. Null values are left out; a group without values gives no row.
     Whole and decimal numbers are summed exactly. The input is read twice, so
-    checkpoint one that is costly to compute.
+    checkpoint one that is costly to compute. A group column may not be named like
+    one of these statistics.
     """
     group = [group] if isinstance(group, str) else list(group)
+    clash = sorted(set(group) & STATISTICS)
+    if clash:
+        raise ValueError(f"group columns named like a statistic: {', '.join(clash)}")
+    own = {name: f"_group_{i}" for i, name in enumerate(group)}
     kind = df.schema[value].dataType
     if isinstance(kind, IntegralType):
         kind = DecimalType(20, 0)
     elif not isinstance(kind, DecimalType):
         kind = DoubleType()
-    values = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast(kind).alias("_value"))
+    values = df.filter(F.col(value).isNotNull()).select(
+        *[F.col(name).alias(inner) for name, inner in own.items()], F.col(value).cast(kind).alias("_value")
+    )
+    names, group = group, list(own.values())
     small, large, groups = split_by_group_size(values, group, max_group_rows)
     stats = _small_groups(small, group)
     if large is not None:
-        counts = large.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_count"))
+        counts = large.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_count"), F.sum("_value").alias("_total"))
         stats = stats.unionByName(_large_groups(counts, group, groups))
-    return _report(stats, group, threshold)
+    return _report(stats, group, threshold).withColumnsRenamed(dict(zip(group, names)))
 
 
 def key_skew(df: DataFrame, key: str | Sequence[str], threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

@@ -14,12 +14,14 @@ STAGE_SCHEMA = """
 """
 
 TASK_END_SCHEMA = """
+    `Event` string,
     `Stage ID` bigint,
     `Task Info` struct<`Task ID`: bigint, `Index`: bigint, `Executor ID`: string>,
     `Task Metrics` struct<`Executor Run Time`: double>
 """
 
 STAGE_END_SCHEMA = """
+    `Event` string,
     `Stage Info` struct<
         `Stage ID`: bigint, `Stage Name`: string, `Number of Tasks`: int,
         `Submission Time`: string, `Completion Time`: string, `Failure Reason`: string>
@@ -51,9 +53,10 @@ def task_metrics(stages: DataFrame) -> DataFrame:
 
 
 def _events(lines: DataFrame, column: str, event: str, schema: str) -> DataFrame:
-    """Parsed events of one kind; lines of other kinds are dropped before JSON parsing."""
-    wanted = F.startswith(F.col(column), F.lit(f'{{"Event":"{event}"'))
-    return lines.filter(wanted).select(F.from_json(column, schema).alias("_e"))
+    """Parsed events of one kind. Lines without its name are dropped before JSON parsing;
+    of the others the parsed `Event` decides, whatever the spacing and order of fields."""
+    named = lines.filter(F.contains(F.col(column), F.lit(event)))
+    return named.select(F.from_json(column, schema).alias("_e")).filter(F.col("_e.Event") == event)
 
 
 def task_metrics_from_event_log(lines: DataFrame, column: str = "value") -> DataFrame:
