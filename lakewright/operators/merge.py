@@ -8,8 +8,8 @@ full outer join in meaning. Short jobs measure both sides and choose how it runs
 * with a frequent key, which AQE cannot split in a full outer join, a left join
   and an anti join take its place, where it can.
 
-Null keys never match, as in SQL. The source is read more than once; checkpoint
-one that is costly to compute.
+Null keys never match, as in SQL. A small source is pinned; a large one is read more than
+once, so checkpoint one that is costly to compute.
 """
 
 from __future__ import annotations
@@ -108,6 +108,14 @@ def _build_keys(target: DataFrame, frequent: DataFrame | None, keys: Sequence[st
     return rare.unionByName(held.join(frequent, list(keys), "left_semi").distinct())
 
 
+def _own(name: str, *sides: DataFrame) -> str:
+    """An internal column name that none of the tables has."""
+    taken = {c.lower() for side in sides for c in side.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], small: bool) -> Column:
     """True, or an error when a target row meets more than one source row."""
     repeated = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -117,13 +125,22 @@ def _single_match(target: DataFrame, rows: DataFrame, keys: Sequence[str], small
     return F.when(many, F.raise_error(F.lit(MANY_MATCHES)).cast("boolean")).otherwise(F.lit(True))
 
 
-def _pair(target: DataFrame, rows: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
-    """Target and source rows by key: target columns, `_held` (null without target row), `_new` (or null)."""
+def _pair(target: DataFrame, rows: DataFrame, keys: Sequence[str], unique: bool) -> tuple[DataFrame, Column, Column]:
+    """Target and source rows by key with target columns; a column that is null without a
+    target row, and a struct of the source row, null without one.
+
+    A small source, and what it has that the target lacks, are pinned by checkpoints, so
+    the result reads target and source once each and chained merges grow linearly.
+    """
     keys = list(keys)
     measured = _measure(rows, keys, unique)
-    held = target.withColumn("_held", F.lit(True))
-    payload = F.struct(F.lit(True).alias("_row"), *[c for c in rows.columns if c not in keys])
-    incoming = rows.select(*keys, payload.alias("_new"))
+    here, new = _own("_held", target, rows), _own("_new", target, rows)
+    if measured.small:
+        ensure_checkpoint_dir(target.sparkSession)
+        rows = rows.checkpoint()
+    held = target.withColumn(here, F.lit(True))
+    payload = F.struct(F.lit(True).alias(_own("_row", rows)), *[c for c in rows.columns if c not in keys])
+    incoming = rows.select(*keys, payload.alias(new))
     checked = _single_match(target, rows, keys, measured.small) if measured.repeats else None
 
     if measured.small:
@@ -135,7 +152,7 @@ def _pair(target: DataFrame, rows: DataFrame, keys: Sequence[str], unique: bool)
         frequent = _frequent_keys(target, keys)
         if frequent is None and measured.most <= EVEN_ROWS:
             pairs = held.join(incoming, keys, "full")
-            return pairs if checked is None else pairs.filter(checked)
+            return pairs if checked is None else pairs.filter(checked), F.col(here), F.col(new)
         keyed = incoming.dropna(subset=keys)
         matched = _build_keys(target, frequent, keys)
 
@@ -143,8 +160,10 @@ def _pair(target: DataFrame, rows: DataFrame, keys: Sequence[str], unique: bool)
     if checked is not None:
         found = found.filter(checked)
     alone = incoming.join(matched, keys, "left_anti")
+    if measured.small:
+        alone = alone.checkpoint()
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields if f.name not in keys]
-    return found.unionByName(alone.select(*keys, *absent, "_new"))
+    return found.unionByName(alone.select(*keys, *absent, new)), F.col(here), F.col(new)
 
 
 def merge_upsert(
@@ -163,8 +182,8 @@ def merge_upsert(
     """
     set_cols = [c for c in target.columns if c not in keys] if set_cols is None else list(set_cols)
     rows = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
-    new = F.col("_new")
-    inserted, matched_or_inserted = F.col("_held").isNull(), new.isNotNull()
+    pairs, held, new = _pair(target, rows, keys, unique_source)
+    inserted, matched_or_inserted = held.isNull(), new.isNotNull()
 
     def value(name: str) -> Column:
         if name in keys:
@@ -172,7 +191,7 @@ def merge_upsert(
         taken = matched_or_inserted if name in set_cols else inserted
         return F.when(taken, new[name]).otherwise(F.col(name)).alias(name)
 
-    return _pair(target, rows, keys, unique_source).select(*[value(c) for c in target.columns])
+    return pairs.select(*[value(c) for c in target.columns])
 
 
 def merge_cdc(
@@ -189,15 +208,14 @@ def merge_cdc(
     """
     rows = outbox.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields],
-        F.col(op).alias("_op"),
+        F.col(op).alias(change := _own("_op", target)),
     )
-    new, inserted = F.col("_new"), F.col("_held").isNull()
-    action = new["_op"]
+    pairs, held, new = _pair(target, rows, keys, unique_source)
+    inserted, action = held.isNull(), new[change]
     kept = F.when(inserted, action.eqNullSafe("I")).otherwise(~action.eqNullSafe("D"))
     taken = inserted | action.eqNullSafe("U")
     return (
-        _pair(target, rows, keys, unique_source)
-        .filter(kept)
+        pairs.filter(kept)
         .select(
             *[
                 F.col(c) if c in keys else F.when(taken, new[c]).otherwise(F.col(c)).alias(c)

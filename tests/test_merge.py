@@ -26,12 +26,12 @@ def rows(df):
 
 @pytest.fixture
 def entities(spark):
-    return spark.createDataFrame([(1, "alpha", "active"), (2, "beta", "active")], ENTITY)
+    return spark.createDataFrame([(1, "oak", "open"), (2, "elm", "open")], ENTITY)
 
 
 def test_upsert_updates_inserts_and_keeps(spark, entities):
-    source = spark.createDataFrame([(1, "alpha", "inactive"), (3, "gamma", "active")], ENTITY)
-    expected = [(1, "alpha", "inactive"), (2, "beta", "active"), (3, "gamma", "active")]
+    source = spark.createDataFrame([(2, "elm", "shut"), (7, "fir", "open")], ENTITY)
+    expected = [(1, "oak", "open"), (2, "elm", "shut"), (7, "fir", "open")]
     once = merge_upsert(entities, source, ["entity_id"])
     assert rows(once) == expected
     assert rows(merge_upsert(once, source, ["entity_id"])) == expected
@@ -39,11 +39,25 @@ def test_upsert_updates_inserts_and_keeps(spark, entities):
 
 
 def test_upsert_sets_only_listed_columns_and_ignores_extra_ones(spark, entities):
-    source = spark.createDataFrame([("ignored", 1, "renamed", "inactive")], f"extra string, {ENTITY}")
-    assert rows(merge_upsert(entities, source, ["entity_id"], ["status"])) == [
-        (1, "alpha", "inactive"),
-        (2, "beta", "active"),
-    ]
+    source = spark.createDataFrame([("ignored", 1, "renamed", "shut")], f"extra string, {ENTITY}")
+    assert rows(merge_upsert(entities, source, ["entity_id"], ["status"])) == [(1, "oak", "shut"), (2, "elm", "open")]
+
+
+def test_columns_may_be_named_like_internal_ones(spark):
+    target = spark.createDataFrame([(1, "x", 5)], "id int, _held string, _new int")
+    source = spark.createDataFrame([(1, "y", 6), (2, "z", 7)], "id int, _held string, _new int")
+    assert rows(merge_upsert(target, source, ["id"])) == [(1, "y", 6), (2, "z", 7)]
+
+
+def test_chained_merges_grow_linearly(spark, tmp_path):
+    for name in ("target", "source"):
+        spark.range(50).selectExpr("id", f"'{name}' AS v").write.parquet(str(tmp_path / name))
+    state = spark.read.parquet(str(tmp_path / "target"))
+    source, leaves = spark.read.parquet(str(tmp_path / "source")), []
+    for _ in range(3):
+        state = merge_upsert(state, source, ["id"])
+        leaves.append(state._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+    assert leaves[1] - leaves[0] == leaves[2] - leaves[1] <= 3
 
 
 def test_upsert_can_set_null(spark, entities):
@@ -89,33 +103,33 @@ def test_composite_key(spark):
 
 def test_cdc_applies_update_delete_insert(spark):
     target = spark.createDataFrame(
-        [(10, "apple", "active"), (20, "banana", "active"), (30, "cherry", "active")], ENTITY
+        [(5, "rook", "white"), (6, "pawn", "black"), (8, "king", "white")], ENTITY
     )
     outbox = spark.createDataFrame(
         [
-            (10, "apple-v2", "inactive", "U"),
-            (20, "banana", "active", "D"),
-            (40, "durian", "active", "I"),
+            (8, "queen", "black", "U"),
+            (5, "rook", "white", "D"),
+            (9, "knight", "white", "I"),
         ],
         f"{ENTITY}, op string",
     )
     assert rows(merge_cdc(target, outbox, ["entity_id"])) == [
-        (10, "apple-v2", "inactive"),
-        (30, "cherry", "active"),
-        (40, "durian", "active"),
+        (6, "pawn", "black"),
+        (8, "queen", "black"),
+        (9, "knight", "white"),
     ]
 
 
 @pytest.mark.parametrize(
     "change, expected",
     [
-        ((1, "new", "x", "I"), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((9, "new", "x", "U"), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((9, "new", "x", "D"), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((1, "new", "x", None), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((9, "new", "x", None), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((None, "new", "x", "D"), [(1, "alpha", "active"), (2, "beta", "active")]),
-        ((None, "new", "x", "I"), [(1, "alpha", "active"), (2, "beta", "active"), (None, "new", "x")]),
+        ((1, "new", "x", "I"), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((9, "new", "x", "U"), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((9, "new", "x", "D"), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((1, "new", "x", None), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((9, "new", "x", None), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((None, "new", "x", "D"), [(1, "oak", "open"), (2, "elm", "open")]),
+        ((None, "new", "x", "I"), [(1, "oak", "open"), (2, "elm", "open"), (None, "new", "x")]),
     ],
 )
 def test_cdc_pairs_without_effect(spark, entities, change, expected):
