@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions.formats import format_mtime, human_size, type_symbol
-from lakewright.operators.ordering import sized
-from lakewright.session import ensure_checkpoint_dir
 
 # Target file size of a compaction and default retention of a vacuum.
 TARGET_BYTES = 134217728
 RETAIN_HOURS = 168
 
-MAX_TASKS = 100_000
+# How many times larger rows are in a shuffle than in a Parquet file, for tables of numbers and short texts.
+SHUFFLE_PER_FILE = 4.0
 
 
 def list_status(status: DataFrame, include_hidden: bool = False, long: bool = False) -> DataFrame:
@@ -38,10 +37,26 @@ def list_status(status: DataFrame, include_hidden: bool = False, long: bool = Fa
     )
 
 
+def inventory_of(status: DataFrame) -> DataFrame:
+    """The same columns as `file_inventory` from rows of a file-status table (path, type,
+    length, modificationTime in ms), such as a storage system's own inventory.
+
+    It holds every name, hidden ones too, and is read like any table, however long.
+    """
+    files = status.filter(F.col("type") != "DIRECTORY")
+    return files.select(
+        "path",
+        F.col("length").alias("bytes"),
+        human_size(F.col("length")).alias("size"),
+        F.timestamp_millis("modificationTime").alias("modified"),
+    )
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files below `path`: path, size, human size and modification time.
 
-    Only metadata columns are selected, so no file content is read.
+    Only metadata columns are selected, so no file content is read. Spark's file index
+    leaves out names that begin with `.` or `_`; `inventory_of` has them.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.select(
@@ -86,56 +101,66 @@ def vacuum_candidates(
     return old.join(live.select("path").distinct(), "path", "left_anti")
 
 
+def _private_session(spark: SparkSession, settings: dict[str, object]) -> SparkSession:
+    """A session with the caller's SQL settings and some of its own, which stay out of the caller's."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in settings.items():
+        own.conf.set(key, str(value))
+    return own
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The partition columns that the directory layout of the table at `path` shows."""
+    columns = spark.read.parquet(path).columns
+    inside = spark.read.option("recursiveFileLookup", "true").parquet(path).columns
+    return [c for c in columns if c not in inside]
+
+
 def compact_files(
     spark: SparkSession,
     src: str,
     dst: str,
     target_bytes: int = TARGET_BYTES,
-    partition_by: Sequence[str] = (),
+    partition_by: Sequence[str] | None = None,
+    shuffle_per_file: float = SHUFFLE_PER_FILE,
 ) -> DataFrame:
     """Rewrite the Parquet table at `src` into files of about `target_bytes` at the new path `dst`.
 
-    Without partitions the scan itself packs small files into splits of the
-    target size and each split is written as it is: no shuffle. With partitions
-    each one is spread over as many writers as its bytes need, so a partition that
-    holds most of the table is not left to one task. Returns the rewritten table.
+    The layout is kept: `partition_by` defaults to the partition columns of `src`. Without
+    any the scan itself packs small files into splits of the target size and each split is
+    written as it is: no shuffle. With partitions rows are rebalanced by them: adaptive
+    execution brings small ones together and splits large ones, so no partition is left to
+    one task and the number of tasks follows the bytes; `shuffle_per_file` sets their size.
+    A file ends at the number of rows that fill the target, as footers and sizes of the
+    old files tell. Returns the rewritten table.
     """
-    if not partition_by:
-        # A session of its own keeps the scan settings out of the caller's session.
-        packing = spark.newSession()
-        for key, value in spark.conf.getAll.items():
-            if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-                packing.conf.set(key, value)
-        packing.conf.set("spark.sql.files.maxPartitionBytes", target_bytes)
-        packing.conf.set("spark.sql.files.openCostInBytes", 0)
-        packing.conf.set("spark.sql.files.minPartitionNum", 1)
+    cols = partition_columns(spark, src) if partition_by is None else list(partition_by)
+    if not cols:
+        packing = _private_session(
+            spark,
+            {
+                "spark.sql.files.maxPartitionBytes": target_bytes,
+                "spark.sql.files.openCostInBytes": 0,
+                "spark.sql.files.minPartitionNum": 1,
+            },
+        )
         packing.read.parquet(src).write.mode("errorifexists").parquet(dst)
         return spark.read.parquet(dst)
-
-    cols = list(partition_by)
-    # Sizes come from the listing, so this opens no file.
-    listed = spark.read.format("binaryFile").load(src).groupBy(*cols).agg(F.sum("length").alias("_bytes"))
-    ensure_checkpoint_dir(spark)
-    needed = listed.select(
-        *[F.col(c).alias(f"_p_{c}") for c in cols],
-        F.greatest(F.ceil(F.col("_bytes") / target_bytes), F.lit(1)).cast("long").alias("_writers"),
-    ).checkpoint()
-    partitions, tasks = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_writers"), F.lit(1))).first()
-    needed = sized(needed, partitions)
-    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in cols]
-    rows = spark.read.parquet(src)
-    # A row's place in its file: spreads equal rows too, and stays the same when a task runs again.
-    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    spread = (
-        rows.select("*", place.alias("_place"))
-        .join(needed, same)
-        .withColumn("_writer", F.pmod(F.col("_place"), F.col("_writers")))
-    )
-    (
-        spread.repartition(min(int(tasks), MAX_TASKS), *cols, "_writer")
-        .select(*rows.columns)
-        .write.mode("errorifexists")
-        .partitionBy(*cols)
-        .parquet(dst)
+    size = max(1, int(target_bytes * shuffle_per_file))
+    balancing = _private_session(
+        spark,
+        {
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+            "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        },
     )
+    held = file_rows(spark, src).agg(F.sum("bytes").alias("bytes"), F.sum("row_count").alias("row_count")).first()
+    per_file = max(1, round((held.row_count or 0) * target_bytes / (held.bytes or 1)))
+    rows = balancing.read.parquet(src).hint("rebalance", *cols)
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", per_file).partitionBy(*cols).parquet(dst)
     return spark.read.parquet(dst)

@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
                    CASE WHEN l.op = 'D' THEN 'D' WHEN f.op = 'I' THEN 'I' ELSE 'U' END AS op
             FROM outbox l JOIN outbox f ON l.user_id = f.user_id AND l.down = 1 AND f.up = 1
         ), held AS (
-            SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_mktsegment <> 'BUILDING'
+            SELECT c_custkey + 20 AS user_id, c_acctbal AS value FROM customer
         )
         SELECT coalesce(t.user_id, s.user_id) AS user_id,
                CASE WHEN t.user_id IS NULL OR s.op = 'U' THEN s.value ELSE t.value END AS value
@@ -331,10 +331,34 @@ ORACLES: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, COUNT(*) AS row_count
         FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""",
     "orphan_rows": """
-        SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l
-        WHERE l_orderkey IS NOT NULL AND NOT EXISTS (
-            SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P'
-        )""",
+        WITH items AS (
+            SELECT CASE WHEN l_linenumber = 1 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS l_orderkey,
+                   l_linenumber, l_partkey
+            FROM lineitem
+        )
+        SELECT l_orderkey, l_linenumber, l_partkey FROM items l
+        WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)""",
+    "file_inventory": """
+        SELECT unnest([
+            'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+            'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'
+        ]) || '.parquet' AS file_name, TRUE AS has_bytes""",
+    "sync_updated": """
+        SELECT o_orderkey, o_orderstatus,
+               CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+               CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 4000 DAYS ELSE o_orderdate END AS o_orderdate
+        FROM orders""",
+    "commit_history": """
+        WITH n AS (
+            SELECT COUNT(*) AS whole, COUNT(*) FILTER (o_orderstatus = 'P') AS p,
+                   COUNT(*) FILTER (o_orderstatus = 'F') AS f, COUNT(*) FILTER (o_totalprice = 0 AND o_orderstatus <> 'F') AS zero
+            FROM orders
+        )
+        SELECT 0::INTEGER AS commit_no, 'append' AS operation, whole - p AS row_count FROM n
+        UNION ALL SELECT 1, 'overwrite', whole FROM n
+        UNION ALL SELECT 2, 'overwrite', whole + p FROM n
+        UNION ALL SELECT 3, 'delete', whole + p - f - zero FROM n
+        UNION ALL SELECT 4, 'replace', whole + p - f - zero FROM n""",
     "invalid_values": """
         SELECT * FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')""",
     "generated_users": """

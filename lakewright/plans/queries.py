@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions import formats
@@ -205,12 +205,12 @@ def cdc_collapse(spark, folder):
 
 @query
 def cdc_collapse_merge(spark, folder):
-    """Net changes of the users' events applied to the customers of all but one segment."""
+    """Net changes of the users' events applied to all customers; ids are shifted, so some users are unknown."""
     op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
     outbox = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", op.alias("op"))
     net = merge.collapse_changes(outbox, ["user_id"], "op", ["ts", "event_id"])
-    customers = table(spark, folder, "customer").filter(F.col("c_mktsegment") != "BUILDING")
-    known = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    customers = table(spark, folder, "customer")
+    known = customers.select((F.col("c_custkey") + 20).alias("user_id"), F.col("c_acctbal").alias("value"))
     return merge.merge_cdc(known, net, ["user_id"], unique_source=True)
 
 
@@ -279,6 +279,51 @@ def sync_incremental(spark, folder):
     return spark.read.parquet(base)
 
 
+@query
+def sync_updated(spark, folder):
+    """An upserting sync: between two runs the orders of one status change price and mark."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    later = F.col("o_orderdate") + F.expr("INTERVAL 4000 DAYS")
+    changed = F.col("o_orderstatus") == "P"
+    versions = [
+        orders,
+        orders.withColumn("o_totalprice", F.when(changed, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+        .withColumn("o_orderdate", F.when(changed, later).otherwise(F.col("o_orderdate"))),
+    ]
+    target, log = scratch_path(spark, "synced"), scratch_path(spark, "log")
+    for hours, version in enumerate(versions):
+        path = scratch_path(spark, "source")
+        tables.replace_table(version, path)
+        job = sync.SyncJob(
+            "orders", "parquet", {"path": path}, target, mode="incremental", watermark_column="o_orderdate", keys=["o_orderkey"]
+        )
+        sync.sync_one(spark, job, log, AS_OF + dt.timedelta(hours=hours))
+    return spark.read.parquet(target)
+
+
+@query
+def commit_history(spark, folder):
+    """Orders appended, overwritten, merged, deleted from and compacted; the history is that of
+    the log, with the rows of each version."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    log, first = scratch_path(spark, "log"), scratch_path(spark, "history")
+    versions = [first, *(scratch_path(spark, "history") for _ in range(3))]
+    hour = [AS_OF + dt.timedelta(hours=h) for h in range(5)]
+    by = ["o_orderstatus"]
+    tables.record_commit(spark, log, "orders", tables.append(orders.filter("o_orderstatus <> 'P'"), first, by), hour[0])
+    counts = [spark.read.parquet(first).count()]
+    tables.record_commit(spark, log, "orders", tables.overwrite(orders, first, by), hour[1])
+    extra = orders.filter("o_orderstatus = 'P'").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    source = extra.unionByName(orders.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)))
+    tables.merge_table(spark, first, versions[1], source, ["o_orderkey"], by, log, "orders", hour[2])
+    tables.delete_from(spark, versions[1], versions[2], F.col("o_totalprice") == 0, by, log, "orders", hour[3])
+    tables.compact_table(spark, versions[2], versions[3], files.TARGET_BYTES, None, log, "orders", hour[4])
+    counts += [spark.read.parquet(v).count() for v in versions]
+    held = F.element_at(F.array(*[F.lit(n) for n in counts]), F.hour("committed_at") + 1).cast("long")
+    history = snapshots.operation_history(tables.read_log(spark, log))
+    return history.select(F.hour("committed_at").alias("commit_no"), "operation", held.alias("row_count"))
+
+
 @query
 def incremental_extract(spark, folder):
     events = table(spark, folder, "events")
@@ -423,21 +468,15 @@ def stage_times_orders(spark, folder):
 @query
 def task_metrics(spark, folder):
     """Line items as tasks of one JSON stage per order, read back as task rows."""
-    tasks = table(spark, folder, "lineitem").select(
-        F.to_json(
-            F.struct(
-                F.col("l_orderkey").alias("stageId"),
-                F.create_map(
-                    F.col("l_linenumber").cast("string"),
-                    F.struct(
-                        F.col("l_partkey").alias("taskId"),
-                        F.struct(F.col("l_extendedprice").alias("executorRunTime")).alias("taskMetrics"),
-                    ),
-                ).alias("tasks"),
-            )
-        ).alias("value")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    task = F.struct(
+        F.col("l_partkey").alias("taskId"),
+        F.struct(F.col("l_extendedprice").alias("executorRunTime")).alias("taskMetrics"),
     )
-    return metrics.task_metrics(metrics.parse_stages(tasks))
+    numbered = table(spark, folder, "lineitem").withColumn("at", F.row_number().over(place).cast("string"))
+    stages = numbered.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("at", task.alias("task")))).alias("tasks"))
+    lines = stages.select(F.to_json(F.struct(F.col("l_orderkey").alias("stageId"), "tasks")).alias("value"))
+    return metrics.task_metrics(metrics.parse_stages(lines))
 
 
 @query
@@ -504,7 +543,9 @@ def rows_per_file(spark, folder):
 
 @query
 def file_inventory(spark, folder):
-    return files.file_inventory(spark, folder)
+    """Name and presence of bytes for the files of the folder; sizes and times are the writer's."""
+    found = files.file_inventory(spark, folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query
@@ -671,9 +712,11 @@ def duplicate_keys(spark, folder):
 
 @query
 def orphan_rows(spark, folder):
-    settled = table(spark, folder, "orders").filter(F.col("o_orderstatus") != "P")
-    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return checks.orphan_rows(items, settled, {"l_orderkey": "o_orderkey"})
+    """First line items get keys that no order has."""
+    orders = table(spark, folder, "orders")
+    shifted = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey") + 1_000_000_000).otherwise(F.col("l_orderkey"))
+    items = table(spark, folder, "lineitem").select(shifted.alias("l_orderkey"), "l_linenumber", "l_partkey")
+    return checks.orphan_rows(items, orders, {"l_orderkey": "o_orderkey"})
 
 
 @query

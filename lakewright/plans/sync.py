@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, FractionalType, StringType, TimestampNTZType, TimestampType
 
 from lakewright.functions.literals import typed_literal
 from lakewright.operators.merge import merge_upsert
-from lakewright.sinks.tables import OPERATIONS, append, overwrite, read_or_empty, record_commit, replace_table
+from lakewright.sinks.tables import OPERATIONS, append, publish, read_or_empty, record_commit, replace_table
 from lakewright.sources.relational import jdbc_from_dsn, read_source
 
 
@@ -31,6 +31,8 @@ class SyncJob:
     batch_size: int | None = None
     partition_column: str | None = None
     num_partitions: int | None = None
+    predicates: Sequence[str] = field(default_factory=tuple)
+    keys: Sequence[str] = field(default_factory=tuple)
 
     def __post_init__(self) -> None:
         if self.mode not in ("full", "incremental"):
@@ -39,30 +41,19 @@ class SyncJob:
             raise ValueError("an incremental sync needs a watermark column")
 
 
-def _floor(data_type):
-    """A literal below every mark of the type, so that an empty target takes all rows."""
-    if isinstance(data_type, (TimestampType, TimestampNTZType, DateType)):
-        return F.lit("0001-01-01").cast(data_type)
-    if isinstance(data_type, StringType):
-        return F.lit("")
-    if isinstance(data_type, DecimalType):
-        digits = data_type.precision - data_type.scale
-        return F.lit("-" + "9" * digits + "." + "9" * data_type.scale).cast(data_type)
-    if isinstance(data_type, FractionalType):
-        return F.lit("-Infinity").cast(data_type)
-    bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[data_type.simpleString()]
-    return F.lit(-(2 ** (bits - 1))).cast(data_type)
+def incremental_extract(source: DataFrame, target: DataFrame, watermark_col: str, inclusive: bool = False) -> DataFrame:
+    """Source rows above the target's highest `watermark_col`, with `inclusive` also those at it.
 
-
-def incremental_extract(source: DataFrame, target: DataFrame, watermark_col: str) -> DataFrame:
-    """Source rows above the target's highest `watermark_col`.
-
-    The mark is a scalar subquery compared as it is, so the comparison reaches the
-    Parquet scan and skips row groups. Rows with a null mark are not taken.
+    A target without any mark takes every row, null marks too. The mark becomes a
+    literal, so the comparison reaches the source, be it a Parquet scan or a database.
+    Later, rows with a null mark are not taken.
     """
-    floor = _floor(source.schema[watermark_col].dataType)
-    mark = target.agg(F.coalesce(F.max(watermark_col).cast(source.schema[watermark_col].dataType), floor)).scalar()
-    return source.filter(F.col(watermark_col) > mark)
+    mark = high_water_mark(target, watermark_col)
+    if mark is None:
+        return source
+    bound = typed_literal(mark, source.schema[watermark_col].dataType)
+    column = F.col(watermark_col)
+    return source.filter(column >= bound if inclusive else column > bound)
 
 
 def high_water_mark(target: DataFrame, watermark_col: str) -> object:
@@ -74,7 +65,9 @@ def jobs_from_spec(spec: Mapping, warehouse: str) -> list[SyncJob]:
     """Jobs from a spec with `sources` (type, dsn) and `sync_jobs`, targets below `warehouse`.
 
     A job names its source, namespace, table, sql, mode, and optionally
-    watermark_column, batch_size, partition_column and num_partitions.
+    watermark_column, batch_size, partition_column, num_partitions, predicates (one read
+    each) and keys. A job with neither partition_column nor predicates reads its whole
+    query over one connection in one task.
     """
     sources = {name: jdbc_from_dsn(s["type"], s["dsn"]) for name, s in spec["sources"].items()}
     return [
@@ -89,6 +82,8 @@ def jobs_from_spec(spec: Mapping, warehouse: str) -> list[SyncJob]:
             batch_size=job.get("batch_size"),
             partition_column=job.get("partition_column"),
             num_partitions=job.get("num_partitions"),
+            predicates=tuple(job.get("predicates") or ()),
+            keys=tuple(job.get("keys") or ()),
         )
         for job in spec["sync_jobs"]
     ]
@@ -96,25 +91,33 @@ def jobs_from_spec(spec: Mapping, warehouse: str) -> list[SyncJob]:
 
 def read_job(spark: SparkSession, job: SyncJob) -> DataFrame:
     return read_source(
-        spark, job.fmt, job.options, job.query, job.batch_size, job.partition_column, job.num_partitions
+        spark, job.fmt, job.options, job.query, job.batch_size, job.partition_column, job.num_partitions, job.predicates
     )
 
 
 def sync_one(spark: SparkSession, job: SyncJob, log_path: str, as_of: dt.datetime) -> None:
-    """Run one job and record its commit."""
+    """Run one job and record its commit.
+
+    A full copy is written beside the target and takes its place when it is complete. An
+    incremental one with keys upserts: rows at the highest mark are read again, so late
+    rows with an equal mark are not lost, and updated rows replace their old version. Without keys
+    it appends, for sources that never change a row and whose marks only grow.
+    """
     rows = read_job(spark, job)
+    staged = f"{job.target}.new-{uuid.uuid4().hex}"
     if job.mode == "full":
-        operation = overwrite(rows, job.target, job.partition_by)
+        replace_table(rows, staged, job.partition_by)
+        publish(spark, staged, job.target)
+        operation = OPERATIONS["insert_overwrite"]
+    elif job.keys:
+        existing = read_or_empty(spark, job.target, rows.schema)
+        fresh = incremental_extract(rows, existing, job.watermark_column, inclusive=True)
+        replace_table(merge_upsert(existing, fresh, job.keys), staged, job.partition_by)
+        publish(spark, staged, job.target)
+        operation = OPERATIONS["merge"]
     else:
         existing = read_or_empty(spark, job.target, rows.schema)
-        if job.fmt == "jdbc":
-            mark = high_water_mark(existing, job.watermark_column)
-            column = job.watermark_column
-            bound = typed_literal(mark, rows.schema[column].dataType)
-            fresh = rows if mark is None else rows.filter(F.col(column) > bound)
-        else:
-            fresh = incremental_extract(rows, existing, job.watermark_column)
-        operation = append(fresh, job.target, job.partition_by)
+        operation = append(incremental_extract(rows, existing, job.watermark_column), job.target, job.partition_by)
     record_commit(spark, log_path, job.name, operation, as_of)
 
 
@@ -127,7 +130,8 @@ def sync_full(spark: SparkSession, jobs: Iterable[SyncJob], log_path: str, as_of
 def incremental_upsert(
     source: DataFrame, target: DataFrame, keys: Sequence[str], watermark_col: str, new_path: str
 ) -> str:
-    """Upsert the rows above the high-water mark and write the new state to `new_path`."""
-    merged = merge_upsert(target, incremental_extract(source, target, watermark_col), keys)
+    """Upsert the rows from the high-water mark on and write the new state to `new_path`."""
+    fresh = incremental_extract(source, target, watermark_col, inclusive=True)
+    merged = merge_upsert(target, fresh, keys)
     replace_table(merged, new_path)
     return OPERATIONS["merge"]

@@ -11,17 +11,17 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakewright.functions.literals import typed_literal
-from lakewright.operators.merge import merge_upsert
+from lakewright.operators.files import compact_files
+from lakewright.operators.merge import delete_where, merge_upsert
+from lakewright.operators.ordering import join_null_safe
 
 LOG_SCHEMA = "table_name string, snapshot_id bigint, committed_at timestamp, operation string"
 
-MAX_TOUCHED = 1000
-
 # The operation a commit log shows for each way of writing.
 OPERATIONS = {
     "append": "append",
@@ -103,21 +103,73 @@ def merge_partitions(
 
     Possible when the partition columns are part of the key: a row can then only
     match inside its own partition, and all other partitions stay as they are. The
-    touched values become a filter, so untouched directories are not even listed
-    as input. Beyond MAX_TOUCHED values the whole table is merged instead.
+    range of the touched values prunes directories when planning, and a semi-join on the
+    values themselves, which Spark turns into pruning at run time, leaves those between.
+    Only the ends of the ranges come to the driver, for any number of values.
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must be part of the key")
     target = spark.read.parquet(path)
     touched = source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in partition_by])
-    values = touched.distinct().limit(MAX_TOUCHED + 1).collect()
-    if len(values) <= MAX_TOUCHED:
-        inside = F.lit(False)
-        for row in values:
-            match = F.lit(True)
-            for column in partition_by:
-                match = match & F.col(column).eqNullSafe(typed_literal(row[column], target.schema[column].dataType))
-            inside = inside | match
-        target = target.filter(inside)
-    overwrite(merge_upsert(target, source, keys, set_cols), path, partition_by, dynamic=True)
+    ends = touched.agg(*[f(c).alias(f"{name}_{c}") for c in partition_by for name, f in (("low", F.min), ("high", F.max))]).first()
+    whole, missing = F.lit(True), F.lit(False)
+    for c in partition_by:
+        low, high = (typed_literal(ends[f"{name}_{c}"], target.schema[c].dataType) for name in ("low", "high"))
+        whole = whole & F.col(c).between(low, high)
+        missing = missing | F.col(c).isNull()
+    values = touched.distinct()
+    # Null partition values are pruned by their own test; they meet only nulls.
+    inside = target.filter(whole).join(values.filter(whole), list(partition_by), "left_semi").select(*target.columns)
+    nulls = join_null_safe(target.filter(missing), values.filter(missing), list(partition_by), "left_semi")
+    merged = merge_upsert(inside.unionByName(nulls.select(*target.columns)), source, keys, set_cols)
+    overwrite(merged, path, partition_by, dynamic=True)
     return OPERATIONS["merge"]
+
+
+def merge_table(
+    spark: SparkSession, path: str, new_path: str, source: DataFrame, keys: Sequence[str], partition_by: Sequence[str],
+    log_path: str, table: str, as_of: dt.datetime,
+) -> None:
+    """Upsert `source` into the table at `path`, write the new version and record the commit."""
+    replace_table(merge_upsert(spark.read.parquet(path), source, keys), new_path, partition_by)
+    record_commit(spark, log_path, table, OPERATIONS["merge"], as_of)
+
+
+def delete_from(
+    spark: SparkSession, path: str, new_path: str, predicate: Column, partition_by: Sequence[str],
+    log_path: str, table: str, as_of: dt.datetime,
+) -> None:
+    """Write the table at `path` without the rows for which `predicate` is true to
+    `new_path` and record the commit; the old version stays readable."""
+    replace_table(delete_where(spark.read.parquet(path), predicate), new_path, partition_by)
+    record_commit(spark, log_path, table, OPERATIONS["delete"], as_of)
+
+
+def compact_table(
+    spark: SparkSession, path: str, new_path: str, target_bytes: int, partition_by: Sequence[str],
+    log_path: str, table: str, as_of: dt.datetime,
+) -> DataFrame:
+    """Compact the table at `path` into `new_path`, record the commit and return the table."""
+    compacted = compact_files(spark, path, new_path, target_bytes, partition_by)
+    record_commit(spark, log_path, table, OPERATIONS["compaction"], as_of)
+    return compacted
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the finished table at `staged` in the place of the one at `path` by renaming.
+
+    Until the new table is complete nothing happens to the old one, so a write that
+    fails half-way leaves it as it was.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, place, old = (hadoop.Path(p) for p in (staged, path, f"{path}.old-{uuid.uuid4().hex}"))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(place)
+    if there and not files.rename(place, old):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(new, place):
+        if there:
+            files.rename(old, place)
+        raise OSError(f"cannot move {staged} to {path}")
+    if there:
+        files.delete(old, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ def read_source(
     batch_size: int | None = None,
     partition_column: str | None = None,
     num_partitions: int | None = None,
+    predicates: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of a source: `jdbc` with a query, or any file format with a `path`.
 
@@ -22,7 +25,7 @@ def read_source(
     """
     if fmt == "jdbc":
         text = query or f"SELECT * FROM {options['dbtable']}"
-        return read_jdbc(spark, options["url"], text, options, batch_size, partition_column, num_partitions)
+        return read_jdbc(spark, options["url"], text, options, batch_size, partition_column, num_partitions, predicates)
     rows = spark.read.format(fmt).options(**{k: v for k, v in options.items() if k != "path"}).load(options["path"])
     return spark.sql(query, source=rows) if query else rows
 
@@ -39,6 +42,11 @@ def jdbc_from_dsn(kind: str, dsn: str) -> dict[str, str]:
     return {"url": url, "driver": "org.postgresql.Driver", **login}
 
 
+def whole_bound(value: object, rounded: Callable[[object], int]) -> str:
+    """A bound as the range reader takes it: numbers as whole ones, dates and times as they are."""
+    return str(rounded(value)) if isinstance(value, (int, float, Decimal)) else str(value)
+
+
 def jdbc_options(
     url: str,
     query: str,
@@ -59,8 +67,8 @@ def jdbc_options(
         **options,
         "dbtable": f"({query}) q",
         "partitionColumn": partition_column,
-        "lowerBound": str(bounds[0]),
-        "upperBound": str(bounds[1]),
+        "lowerBound": whole_bound(bounds[0], math.floor),
+        "upperBound": whole_bound(bounds[1], math.ceil),
         "numPartitions": str(num_partitions),
     }
 
@@ -81,6 +89,7 @@ def read_jdbc(
     row) and the range is cut into `num_partitions` reads; rows outside cannot be
     lost because the outer ranges are open. For a column with hot ranges give
     `predicates` instead: one read per condition, which must cover every row once.
+    With neither, one connection reads everything in one task.
     """
     extra = {k: v for k, v in (options or {}).items() if k not in ("url", "dbtable", "query")}
     if predicates:

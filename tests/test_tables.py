@@ -4,6 +4,7 @@ import datetime as dt
 import decimal
 import glob
 import os
+from unittest import mock
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -34,11 +35,11 @@ def parts(path):
 def orders(spark):
     money = decimal.Decimal
     data = [
-        (1, 1, "shipped", money("19.98"), day(3), day(2)),
-        (2, 2, "pending", money("19.99"), day(1), day(1)),
-        (3, 3, "shipped", money("22.45"), day(1), day(0)),
-        (4, 1, "cancelled", money("4.49"), day(4), day(3)),
-        (5, 2, "pending", money("44.97"), day(0), day(0)),
+        (1, 71, "shipped", money("310.25"), day(6), day(5)),
+        (2, 72, "pending", money("8.00"), day(2), day(2)),
+        (3, 72, "shipped", money("64.75"), day(2), day(0)),
+        (4, 73, "returned", money("120.10"), day(8), day(7)),
+        (5, 74, "pending", money("0.99"), day(0), day(0)),
     ]
     schema = "id bigint, user_id bigint, status string, total_amount decimal(12,2), created_at timestamp, updated_at timestamp"
     return spark.createDataFrame(data, schema)
@@ -46,7 +47,7 @@ def orders(spark):
 
 def test_append_adds_rows_and_commits(spark, tmp_path):
     table, log = str(tmp_path / "t"), str(tmp_path / "log")
-    for i, label in enumerate(["click", "purchase", "refund"]):
+    for i, label in enumerate(["north", "south", "west"]):
         row = spark.createDataFrame([(i, label, i + 1)], "id bigint, label string, value bigint")
         tables.record_commit(spark, log, "t", tables.append(row, table), day(3 - i))
     assert spark.read.parquet(table).count() == 3
@@ -59,16 +60,20 @@ def test_operation_history_shows_every_kind_of_write(spark, tmp_path):
     log = str(tmp_path / "log")
     schema = "id bigint, val string"
     steps = [
-        tables.append(spark.createDataFrame([(1, "first")], schema), str(tmp_path / "v1")),
-        tables.overwrite(spark.createDataFrame([(1, "overwritten")], schema), str(tmp_path / "v1")),
-        tables.OPERATIONS["merge"],
-        tables.OPERATIONS["delete"],
+        tables.append(spark.createDataFrame([(1, "red")], schema), str(tmp_path / "v1")),
+        tables.overwrite(spark.createDataFrame([(1, "blue"), (2, "grey")], schema), str(tmp_path / "v1")),
     ]
     for i, operation in enumerate(steps):
         tables.record_commit(spark, log, "t", operation, day(9 - i))
+    v = [str(tmp_path / f"v{i}") for i in range(1, 5)]
+    source = spark.createDataFrame([(2, "pink"), (3, "lime")], schema)
+    tables.merge_table(spark, v[0], v[1], source, ["id"], [], log, "t", day(7))
+    tables.delete_from(spark, v[1], v[2], F.col("id") == 1, [], log, "t", day(6))
+    tables.compact_table(spark, v[2], v[3], files.TARGET_BYTES, [], log, "t", day(5))
     history = snapshots.operation_history(tables.read_log(spark, log)).collect()
-    assert [r.operation for r in history] == ["append", "overwrite", "overwrite", "delete"]
-    assert rows(spark.read.parquet(str(tmp_path / "v1"))) == [(1, "overwritten")]
+    assert [r.operation for r in history] == ["append", "overwrite", "overwrite", "delete", "replace"]
+    assert rows(spark.read.parquet(v[0])) == [(1, "blue"), (2, "grey")]
+    assert rows(spark.read.parquet(v[3])) == [(2, "pink"), (3, "lime")]
 
 
 def test_recent_snapshots_keeps_the_newest_twenty(spark):
@@ -132,13 +137,36 @@ def test_merge_partitions_rewrites_only_touched_ones(spark, tmp_path):
     assert {f: os.stat(f).st_mtime_ns for f in parts(path) if "p=1" not in f} == untouched
 
 
-def test_merge_partitions_beyond_the_filter_limit(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_TOUCHED", 1)
+def test_merge_partitions_keeps_rows_without_partition_value(spark, tmp_path):
     path = str(tmp_path / "t")
-    tables.replace_table(spark.sql("SELECT id, id % 4 AS p, 'old' AS v FROM range(40)"), path, ["p"])
-    source = spark.sql("SELECT 5L AS id, 1L AS p, 'new' AS v UNION ALL SELECT 6L, 2L, 'new'")
+    tables.replace_table(spark.sql("SELECT id, IF(id % 4 = 3, NULL, id % 4) AS p, 'old' AS v FROM range(40)"), path, ["p"])
+    untouched = {f: os.stat(f).st_mtime_ns for f in parts(path) if "p=1" in f}
+    source = spark.sql("SELECT 4L AS id, 0L AS p, 'new' AS v UNION ALL SELECT 6L, 2L, 'new' UNION ALL SELECT 900L, NULL, 'new'")
     tables.merge_partitions(spark, path, source, ["id", "p"], ["p"])
-    assert rows(spark.read.parquet(path).groupBy("v").count()) == [("new", 2), ("old", 38)]
+    assert rows(spark.read.parquet(path).groupBy("v").count()) == [("new", 3), ("old", 38)]
+    assert {f: os.stat(f).st_mtime_ns for f in parts(path) if "p=1" in f} == untouched
+
+
+def test_full_sync_that_fails_keeps_the_old_rows(spark, orders, tmp_path):
+    src, dst, log = (str(tmp_path / n) for n in ("src", "dst", "log"))
+    orders.write.parquet(src)
+    sync.sync_one(spark, sync.SyncJob("orders", "parquet", {"path": src}, dst), log, NOW)
+    bad = sync.SyncJob("orders", "parquet", {"path": src}, dst, query="SELECT IF(id > 3, raise_error('lost'), id) AS id FROM {source}")
+    with pytest.raises(Exception, match="lost"):
+        sync.sync_one(spark, bad, log, NOW)
+    assert spark.read.parquet(dst).count() == 5
+    assert not [n for n in os.listdir(tmp_path) if ".old-" in n]
+
+
+def test_sync_with_keys_replaces_updated_rows_and_takes_equal_marks(spark, tmp_path):
+    src, dst, log = (str(tmp_path / n) for n in ("src", "dst", "log"))
+    schema = "id bigint, v string, mark bigint"
+    job = sync.SyncJob("t", "parquet", {"path": src}, dst, mode="incremental", watermark_column="mark", keys=["id"])
+    spark.createDataFrame([(1, "a", 10), (2, "b", None)], schema).write.parquet(src)
+    sync.sync_one(spark, job, log, NOW)
+    spark.createDataFrame([(1, "a2", 11), (3, "c", 10), (4, "d", 9)], schema).write.mode("overwrite").parquet(src)
+    sync.sync_one(spark, job, log, NOW)
+    assert rows(spark.read.parquet(dst)) == [(1, "a2", 11), (2, "b", None), (3, "c", 10)]
 
 
 def test_silver_and_gold_jobs(spark, orders, tmp_path):
@@ -146,9 +174,9 @@ def test_silver_and_gold_jobs(spark, orders, tmp_path):
     orders.write.parquet(raw)
     checks = curate.run_silver(spark, raw, silver, log, day(1))
     assert rows(checks) == [("not_empty", 5, 1, True), ("same_row_count", 5, 5, True)]
-    assert os.path.isdir(f"{silver}/order_date=2026-01-07")
+    assert os.path.isdir(f"{silver}/order_date=2026-01-04")
 
-    expected = [(dt.date(2026, 1, 7), 1, 19.98), (dt.date(2026, 1, 9), 1, 22.45)]
+    expected = [(dt.date(2026, 1, 4), 1, 310.25), (dt.date(2026, 1, 8), 1, 64.75)]
     gold1, gold2, packed = (str(tmp_path / n) for n in ("gold1", "gold2", "packed"))
     first = curate.run_gold(spark, raw, str(tmp_path / "none"), gold1, log, day(0))
     assert all(r.passed for r in first.collect()) and first.count() == 2
@@ -253,11 +281,11 @@ def test_file_source_without_query(spark, orders, tmp_path):
 def test_compaction_packs_small_files(spark, tmp_path):
     src, dst = str(tmp_path / "small"), str(tmp_path / "packed")
     for i in range(5):
-        tables.append(spark.createDataFrame([(i, f"batch-{i}")], "id bigint, value string"), src)
+        tables.append(spark.createDataFrame([(i, f"load {i}")], "id bigint, value string"), src)
     before = len(parts(src))
     packed = files.compact_files(spark, src, dst)
     assert before >= 5 and len(parts(dst)) == 1
-    assert rows(packed) == [(i, f"batch-{i}") for i in range(5)]
+    assert rows(packed) == [(i, f"load {i}") for i in range(5)]
 
 
 def test_compaction_uses_the_settings_of_the_session(spark, settings, tmp_path):
@@ -282,9 +310,9 @@ def test_compaction_spreads_a_large_partition(spark, tmp_path):
     table = spark.range(0, 200000, 1, 20).select("id", F.rand(1).alias("v"), hot.alias("p"))
     table.write.partitionBy("p").parquet(src)
     size = sum(os.path.getsize(f) for f in parts(f"{src}/p=9"))
-    packed = files.compact_files(spark, src, dst, target_bytes=size // 4, partition_by=["p"])
+    packed = files.compact_files(spark, src, dst, target_bytes=size // 4)
     assert packed.count() == 200000 and packed.select("id").distinct().count() == 200000
-    assert 3 <= len(parts(f"{dst}/p=9")) <= 6
+    assert 3 <= len(parts(f"{dst}/p=9")) <= 8
     assert len(parts(f"{dst}/p=0")) == 1
 
 
@@ -313,20 +341,28 @@ def test_listing(spark):
     )
     status = spark.createDataFrame(
         [
-            ("part-0.parquet", "FILE", 44040192, "spark", 1735689600000, "644", 3, 134217728),
-            ("part-1.parquet", "FILE", 43302912, "spark", 1735689600000, "644", 3, 134217728),
-            ("sub", "DIRECTORY", 0, "spark", 1735689600000, "755", 0, 0),
-            (".hidden", "FILE", 5, "spark", 1735689600000, "644", 3, 134217728),
+            ("ledger.orc", "FILE", 3 * 1048576, "ana", 1719792000000, "640", 2, 134217728),
+            ("notes.txt", "FILE", 1536, "ana", 1719792000000, "640", 2, 134217728),
+            ("old", "DIRECTORY", 0, "ana", 1719792000000, "750", 0, 0),
+            (".draft", "FILE", 5, "ana", 1719792000000, "640", 2, 134217728),
         ],
         schema,
     )
     assert [tuple(r) for r in files.list_status(status).orderBy("name").collect()] == [
-        ("-", "part-0.parquet", "42.0 MB", "2025-01-01 00:00", "spark", "644"),
-        ("-", "part-1.parquet", "41.3 MB", "2025-01-01 00:00", "spark", "644"),
-        ("d", "sub", "-", "2025-01-01 00:00", "spark", "755"),
+        ("-", "ledger.orc", "3.0 MB", "2024-07-01 00:00", "ana", "640"),
+        ("-", "notes.txt", "1.5 KB", "2024-07-01 00:00", "ana", "640"),
+        ("d", "old", "-", "2024-07-01 00:00", "ana", "750"),
     ]
     longer = files.list_status(status, include_hidden=True, long=True).orderBy("name").collect()
-    assert (longer[0]["name"], longer[0]["perms"]) == (".hidden", "644 r=3")
+    assert (longer[0]["name"], longer[0]["perms"]) == (".draft", "640 r=2")
+
+
+def test_inventory_of_a_status_table_shows_hidden_files(spark):
+    status = spark.createDataFrame(
+        [("t/_temporary/a", "FILE", 7, 1719792000000), ("t/.b", "FILE", 0, 1719792000000), ("t/c", "DIRECTORY", 0, 1719792000000)],
+        "path string, type string, length bigint, modificationTime bigint",
+    )
+    assert sorted((r.path, r.bytes) for r in files.inventory_of(status).collect()) == [("t/.b", 0), ("t/_temporary/a", 7)]
 
 
 def test_vacuum_candidates(spark):
@@ -357,6 +393,13 @@ def test_a_session_without_checkpoint_folder_gets_one_only_locally():
         def __init__(self, master):
             self.master, self.folder = master, None
 
+        applicationId = "app-1"
+
+        def __getattr__(self, name):
+            if name in ("_jvm", "_jsc"):
+                return mock.MagicMock()
+            raise AttributeError(name)
+
         def getCheckpointDir(self):
             return self.folder
 
@@ -372,3 +415,5 @@ def test_a_session_without_checkpoint_folder_gets_one_only_locally():
     assert local.sparkContext.folder and scratch_path(local, "x").startswith(local.sparkContext.folder)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session("yarn"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session("local-cluster[2,1,1024]"), "x")
