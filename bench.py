@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -60,6 +61,8 @@ def main() -> None:
         master=f"local[{cpus}]",
         spark_sql_shuffle_partitions=cpus,
         spark_driver_memory="8g",
+        spark_checkpoint_dir=f"file://{tempfile.mkdtemp(prefix='bench-')}",
+        spark_cleaner_referenceTracking_cleanCheckpoints="true",
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",
     )

@@ -53,10 +53,24 @@ def _run_sync(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return snapshots.recent_snapshots(read_log(spark, args.log))
 
 
+def _compact(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    columns = args.partition_by.split(",") if args.partition_by else None
+    return files.compact_files(spark, args.src, args.dst, args.target_bytes, columns)
+
+
+def show(result: DataFrame, limit: int) -> None:
+    """Print at most `limit` rows and say so when there are more."""
+    held = result.limit(limit + 1).collect()
+    result.sparkSession.createDataFrame(held[:limit], result.schema).show(limit, truncate=False)
+    if len(held) > limit:
+        print(f"more than {limit} rows: give --limit or --out for the rest")
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lakewright")
     parser.add_argument("--out", help="write the result to this path instead of showing it")
     parser.add_argument("--fmt", choices=["csv", "json", "parquet"], default="csv", help="format for --out")
+    parser.add_argument("--limit", type=int, default=100, help="rows to show without --out")
     parser.add_argument("--master", help="Spark master; left to spark-submit when not given")
     commands = parser.add_subparsers(dest="command", required=True)
 
@@ -82,10 +96,10 @@ def _parser() -> argparse.ArgumentParser:
     command("query", lambda s, a: s.sql(a.sql), "sql")
     command("average", lambda s, a: aggregates.average_over(s.read.parquet(a.table), a.column, a.over), "table", "column", over=0.0)
     command("histogram", lambda s, a: aggregates.bucket_histogram(s.read.parquet(a.table), a.column, a.width), "table", "column", width=10)
-    command("snapshots", lambda s, a: snapshots.recent_snapshots(read_log(s, a.log), a.limit), "log", limit=snapshots.RECENT)
+    command("snapshots", lambda s, a: snapshots.recent_snapshots(read_log(s, a.log), a.last), "log", last=snapshots.RECENT)
     command("files", lambda s, a: files.file_inventory(s, a.path), "path")
     command("vacuum", _vacuum, "path", "live", retain_hours=files.RETAIN_HOURS)
-    command("compact", lambda s, a: files.compact_files(s, a.src, a.dst, a.target_bytes), "src", "dst", target_bytes=files.TARGET_BYTES)
+    command("compact", _compact, "src", "dst", target_bytes=files.TARGET_BYTES, partition_by=None)
     command(
         "skew",
         lambda s, a: skew.skew_report(_tasks(s, a.metrics, a.event_log), "stage_id", "run_time_ms", a.threshold),
@@ -103,8 +117,8 @@ def _parser() -> argparse.ArgumentParser:
     )
     command(
         "history",
-        lambda s, a: ordering.last_n(s.read.text(a.path), a.limit, ["value"]),
-        "path", limit=20,
+        lambda s, a: ordering.last_lines(s, a.path, a.last),
+        "path", last=20,
     )
     return parser
 
@@ -116,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.out:
         export(result, args.out, args.fmt)
     else:
-        result.show(100, truncate=False)
+        show(result, args.limit)
 
 
 if __name__ == "__main__":

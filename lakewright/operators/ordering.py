@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
@@ -150,6 +150,18 @@ def last_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
 
 
+def last_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The last `n` lines of the text file at `path`, in file order (a bounded top-k).
+
+    Of several files those with the last names count. A line's place is its file, the
+    start of its block there and its number within the task that reads the block.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_line"))
+    order = ["_file", "_block", "_line"]
+    return lines.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order).select("value")
+
+
 def page(
     df: DataFrame,
     order: Sequence[str],

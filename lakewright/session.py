@@ -38,7 +38,7 @@ def _shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakewright-"))
         root = context.getCheckpointDir()
@@ -46,8 +46,19 @@ def _shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; every call gives another one."""
-    return f"{_shared_root(spark)}/lakewright/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; every call gives another one.
+
+    The application has a folder of its own there, which is deleted when it ends.
+    """
+    context = spark.sparkContext
+    own = f"{_shared_root(spark)}/lakewright-{context.applicationId}"
+    if getattr(context, "_lakewright_scratch", None) != own:
+        place = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = place.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        context._lakewright_scratch = own
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -9,13 +9,15 @@ from lakewright.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         master="local[8]",
         spark_sql_shuffle_partitions=8,
         spark_ui_enabled="false",
         spark_driver_memory="8g",
+        spark_checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}",
+        spark_cleaner_referenceTracking_cleanCheckpoints="true",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

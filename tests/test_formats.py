@@ -75,14 +75,14 @@ def test_short_name_and_glyph(spark):
 
 def test_csv_quotes_only_where_needed(spark, tmp_path):
     df = spark.createDataFrame(
-        [("plain", "simple"), ("with,comma", "42"), ('with"quote', "yes"), ("multi\nline", "no"), (None, " padded ")],
+        [("tea", "cold"), ("salt, pepper", "7"), ('a "good" one', "x"), ("two\nrows", "y"), (None, " wide ")],
         "name string, value string",
     ).coalesce(1)
     export(df, str(tmp_path / "out"))
     with open(glob.glob(f"{tmp_path}/out/part*.csv")[0], newline="") as file:
         text = file.read()
     assert text == (
-        'name,value\nplain,simple\n"with,comma",42\n"with""quote",yes\n"multi\nline",no\n, padded \n'
+        'name,value\ntea,cold\n"salt, pepper",7\n"a ""good"" one",x\n"two\nrows",y\n, wide \n'
     )
     assert read_csv(spark, str(tmp_path / "out"), df.schema).exceptAll(df).count() == 0
 
