@@ -124,7 +124,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, shard_text_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, payload = [], 0
         for batch in batches:
-            for part in slices([batch], "text"):
+            for part in slices([batch], "text", 4 << 20):
                 texts = part.column("text").to_pylist()
                 values = [ids.astype(kind).tobytes() for ids in encode(texts, path)]
                 lengths = np.fromiter(map(len, values), np.int64, len(values)) // width + 1

@@ -203,7 +203,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[Item]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", 4 << 20):
                 texts = batch.column("text").to_pylist()
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts, path)):
                     ids = np.append(ids, np.uint32(end_id))

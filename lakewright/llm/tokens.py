@@ -8,14 +8,18 @@ so is every text when the tokenizer is of another kind.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-CACHE_UNITS = 800_000
-MARKS = frozenset(".,;:!?")
+CACHE_UNITS = 500_000
+START = "\x01"
+#: A blank at either end of a text or with other white space beside it.
+BESIDE_BLANK = re.compile(r"\A | \Z| \s|\s ")
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s\x01]+)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -26,9 +30,52 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
 
 
+class Units(dict):
+    """Ids of units as bytes, worked out when first asked for.
+
+    A unit stands for itself behind a blank; a unit that begins with START stands for
+    the rest of it at the beginning of a text. Emptied at CACHE_UNITS entries, which changes
+    the time taken alone.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.letters = tokenizer, byte_letters()
+        self.marks: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= CACHE_UNITS:
+            self.clear()
+        own = self._ids(unit)
+        self[unit] = own
+        return own
+
+    def _ids(self, unit: str) -> bytes:
+        """A word goes straight to the merges, marks behind it apart, since the splitting
+        rule makes just these pieces; so does a line feed between two pieces of a unit."""
+        body = unit.removeprefix(START)
+        lead = "" if body is not unit and len(body) < len(unit) else " "
+        if body.isalpha():
+            word = f"{lead}{body}".encode().decode("latin-1").translate(self.letters)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        head, line, rest = body.partition("\n")
+        if line and head and rest and not head[-1].isspace() and not rest[0].isspace():
+            return self[unit[: len(unit) - len(rest) - 1]] + self._marks("\n") + self[f"{START}{rest}"]
+        found = WORD_AND_MARKS.fullmatch(body)
+        if found and found[1].isalpha():
+            return self[unit[: len(unit) - len(found[2])]] + self._marks(found[2])
+        return np.array(self.tokenizer.encode(f"{lead}{body}", add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= CACHE_UNITS:
+                self.marks.clear()
+            self.marks[marks] = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.marks[marks]
+
+
 class Encoder:
-    """One tokenizer file and its cache; the cache lives as long as the Python worker and
-    is emptied at CACHE_UNITS units, which changes the time taken alone."""
+    """One tokenizer file and its cache, which lives as long as the Python worker."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,37 +83,16 @@ class Encoder:
         kind = self.tokenizer.pre_tokenizer
         self.by_unit = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space
         self.by_unit = self.by_unit and self.tokenizer.normalizer is None
-        self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def unit(self, unit: str) -> list[int]:
-        """A word with an optional blank before and one mark behind goes straight to the
-        merges, since the splitting rule makes just these pieces of it."""
-        mark = unit[-1:] if unit[-1:] in MARKS else ""
-        body = unit[: len(unit) - len(mark)]
-        if not body.removeprefix(" ").isalpha():
-            return self.whole(unit)
-        ids = [t.id for t in self.tokenizer.model.tokenize(body.encode().decode("latin-1").translate(self.letters))]
-        return [*ids, self.tokenizer.token_to_id(mark)] if mark else ids
+        self.units = Units(self.tokenizer)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        cut = units(text) if self.by_unit else None
-        if cut is None:
-            return np.array(self.whole(text), "<u4")
-        cache = self.cache
-        missing = [u for u in dict.fromkeys(cut) if u not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_UNITS:
-                cache.clear()
-                missing = list(dict.fromkeys(cut))
-            for u in missing:
-                cache[u] = np.array(self.unit(u), "<u4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, cut)), "<u4")
+        if not self.by_unit or START in text or BESIDE_BLANK.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        units = text.split(" ")
+        units[0] = f"{START}{units[0]}"
+        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -81,17 +107,6 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def units(text: str) -> list[str] | None:
-    """The text in units that can be encoded alone, or None if there is no such cut."""
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    for part in parts:
-        if not part or part[0].isspace() or part[-1].isspace():
-            return None
-    return [parts[0], *[f" {part}" for part in parts[1:]]]
-
-
 def encode(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
     """The ids of each text as unsigned 32-bit integers; null counts as empty."""
     yield from map(encoder(path).encode, texts)
