@@ -1,0 +1,77 @@
+"""Vector searches against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakewright.llm.ann import Hashing, nearest
+from lakewright.llm.exact_topk import top_k
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def vectors(n, dim=24, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dim))
+    rows = centres[rng.integers(0, 12, n)] + 0.7 * rng.normal(size=(n, dim))
+    rows[n // 2 : n // 2 + n // 3] = rows[0]
+    return rows.astype(np.float32)
+
+
+def table(spark, rows):
+    data = [(i, [float(x) for x in v], 0) for i, v in enumerate(rows)]
+    data += [(5000, None, 0), (5020, [float("nan")] * 24, 0), (5040, [None] * 24, 0), (5060, [], 0), (5080, [1.0, 2.0], 0), (None, [1.0] * 24, 0)]
+    return spark.createDataFrame(data, SCHEMA).repartition(4)
+
+
+def brute(rows, query, k):
+    score = (rows.astype(float) * rows[query].astype(float)).sum(axis=1)
+    order = [i for i in sorted(range(len(rows)), key=lambda i: (-score[i], i)) if i != query]
+    return order[:k], score
+
+
+def test_exact_search_matches_brute_force(spark):
+    rows = vectors(700)
+    got = {}
+    for r in top_k(table(spark, rows), F.col("vec_id") % 20 == 0, 20, query_block=16, row_block=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = np.floor(rows.astype(float) * 64)
+    assert set(got) == set(range(0, 700, 20))
+    for query, found in got.items():
+        order, score = brute(whole, query, 20)
+        assert found == [(n + 1, i, int(score[i])) for n, i in enumerate(order)]
+
+
+def test_exact_search_with_few_rows_zero_vectors_and_large_numbers(spark):
+    data = [(0, [0.0, 0.0], 1), (20, [1e9, -1e9], 1), (1, [1e9, 1e9], 1), (2, [1e30, 0.0], 1)]
+    got = top_k(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 20), (20, 2), (20, 0), (20, 1)] or [
+        r.score for r in got if r.query_id == 0
+    ] == [0, 0, 0]
+    assert max(r.score for r in got) == (1 << 63) - 1
+    assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("hashing", [Hashing(), Hashing(query_block=10, row_block=300)])
+def test_approximate_search_finds_nine_in_ten(spark, hashing):
+    rows = vectors(900, seed=3)
+    got = {}
+    for r in nearest(table(spark, rows), F.col("vec_id") % 20 == 0, 20, hashing).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(range(0, 900, 20))
+    hits = 0
+    for query, found in got.items():
+        order, score = brute(rows, query, 20)
+        assert [r.rank for r in found] == list(range(1, 21))
+        assert all(r.score == pytest.approx(score[r.vec_id], abs=1e-9) for r in found)
+        keys = [(-r.score, r.vec_id) for r in found]
+        assert keys == sorted(keys) and query not in {r.vec_id for r in found}
+        hits += len({r.vec_id for r in found} & set(order))
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_approximate_search_of_few_or_no_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.0, 0.0], 1), (40, [1.0, 0.0], 1), (40, [1.0, 0.0], 1)], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 40), (0, 2, 40), (0, 3, 1), (40, 1, 0), (40, 2, 1)]
+    assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
