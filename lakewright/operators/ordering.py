@@ -11,7 +11,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DateType,
+    MapType,
+    NumericType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+    VariantType,
+)
 
 from lakewright.functions.literals import typed_literal
 from lakewright.session import ensure_checkpoint_dir
@@ -19,6 +29,7 @@ from lakewright.session import ensure_checkpoint_dir
 DEFAULT_GROUP_ROWS = 5_000_000
 DEFAULT_HEAP_ROWS = 10_000
 BROADCAST_ROWS = 500_000
+RANGES = 64
 
 
 def _orderable(kind: DataType) -> bool:
@@ -172,12 +183,15 @@ def page(
     """Rows `start` up to `start + size` of `df` in `order`; ties go by the other columns.
 
     Near the front this is Spark's top-k with an offset. Further in, a top-k would
-    keep `start` rows per task, so the keys alone are sorted over the cluster to
-    find those on the page, and only rows between its first and last key are read.
+    keep `start` rows per task. There rows are counted per range of the first column,
+    the keys of the ranges that the page overlaps are sorted over the cluster to find those
+    on the page, and only rows between its first and last key are read.
     """
     if start + size <= max_heap_rows:
         return df.orderBy(*total_order(df, order)).offset(start).limit(size)
     order = list(order)
+    df, passed = _around(df, order[0], start, size)
+    start -= passed
     keys = _page_keys(df.groupBy(*order).agg(F.count(F.lit(1)).alias("_count")), order, start, size)
     if set(order) == set(df.columns):
         copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
@@ -202,6 +216,32 @@ def page(
     return page(rows, everything, start - before, size, max_heap_rows)
 
 
+def _around(df: DataFrame, first: str, start: int, size: int) -> tuple[DataFrame, int]:
+    """Rows in the ranges of column `first` that the page overlaps, and how many come before.
+
+    The ends of the ranges are approximate quantiles, so only types that have them are cut;
+    the counts are exact, and rows are never lost whatever the ends.
+    """
+    if not isinstance(df.schema[first].dataType, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        return df, 0
+    quantiles = [i / RANGES for i in range(1, RANGES)]
+    found = df.agg(F.percentile_approx(first, quantiles, 10 * RANGES)).first()[0]
+    kind, column = df.schema[first].dataType, F.col(first)
+    ends = [typed_literal(v, kind) for v in sorted(set(found or []))]
+    if not ends:
+        return df, 0
+    nulls, *below = df.agg(F.count_if(column.isNull()), *[F.count_if(column < end) for end in ends]).first()
+    before = [nulls + n for n in below]
+    low = max((i for i, n in enumerate(before) if n <= start), default=None)
+    high = min((i for i, n in enumerate(before) if n >= start + size), default=None)
+    rows = df
+    if low is not None:
+        rows = rows.filter(column >= ends[low])
+    if high is not None:
+        rows = rows.filter(column < ends[high] if low is not None else column.isNull() | (column < ends[high]))
+    return rows, 0 if low is None else before[low]
+
+
 def _page_keys(counts: DataFrame, order: Sequence[str], start: int, size: int) -> DataFrame:
     """Keys with rows on the page, `_copies` of them there, and `_position`, the rows before each key."""
     rows = sorted_chunks(counts, order)

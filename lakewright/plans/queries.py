@@ -343,7 +343,9 @@ def incremental_upsert(spark, folder):
 def change_summary(spark, folder):
     orders = table(spark, folder, "orders")
     before = known_orders(orders)
-    return merge.change_summary(before, merge.merge_cdc(before, changed_orders(orders), ["o_orderkey"]), ["o_orderkey"])
+    ensure_checkpoint_dir(spark)
+    after = merge.merge_cdc(before, changed_orders(orders), ["o_orderkey"]).checkpoint()
+    return merge.change_summary(before, after, ["o_orderkey"])
 
 
 # Commit log
@@ -428,6 +430,9 @@ def timeline_users(spark, folder):
         .agg(F.min(ms).alias("start_ms"), F.max(ms).alias("_end"), F.count(F.lit(1)).cast("int").alias("num_tasks"),
              F.max_by("event_type", F.struct("ts", "event_id")).alias("_last"))
     )
+    # The bars and their overall range both need the spans: one pass over the events makes them.
+    ensure_checkpoint_dir(spark)
+    spans = spans.checkpoint()
     status = F.when(F.col("_last") == "error", "FAILED").when(F.col("_last") == "purchase", "COMPLETE").otherwise("ACTIVE")
     stages = spans.select(
         F.col("user_id").alias("stage_id"),
