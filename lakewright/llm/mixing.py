@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import WORD, pin, text_or_empty
+from lakewright.llm.common import WORD, free_name, pin, text_or_empty
 
 BLOCK_ROWS = 4096
 LANDING = 12
@@ -206,11 +206,9 @@ def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows are found by doc_id and text; rows equal in both share one decision.
     """
-    chosen = (
-        mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-        .agg(F.max("copies").alias("_copies"))
-        .where("_copies > 0")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    return docs.join(chosen, same).select(*docs.columns, copies).drop("_copy")
+    own, text, copies, copy = (free_name(docs, name) for name in ("_id", "_text", "_copies", "_copy"))
+    chosen = mixed.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(text)).agg(F.max("copies").alias(copies))
+    chosen = chosen.where(F.col(copies) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)
+    return docs.join(chosen, same).select(*docs.columns, each).drop(copy)

@@ -84,10 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH clean AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
             FROM clean q JOIN clean c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
