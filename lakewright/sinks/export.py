@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write `df` as csv, json (one object per line) or parquet, one file per task.
+#: Rows of one exported file; a CSV file with line breaks in fields is read by one task.
+ROWS_PER_FILE = 1_000_000
+
+
+def export(df: DataFrame, path: str, fmt: str = "csv", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write `df` as csv, json (one object per line) or parquet.
+
+    A task begins a new file after `rows_per_file` rows, so no file grows with the table.
 
     CSV has a header and quotes fields that hold a comma, quote or line break,
     doubling inner quotes. Null is an empty field.
     """
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
         writer.options(
             header=True,

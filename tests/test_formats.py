@@ -104,6 +104,8 @@ def test_export_formats(spark, tmp_path):
         assert file.read().splitlines() == ['{"id":1,"v":null}', '{"id":2,"v":"x"}']
     export(df, str(tmp_path / "parquet"), "parquet")
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+    export(spark.range(0, 10, 1, 1), str(tmp_path / "cut"), "json", rows_per_file=3)
+    assert len(glob.glob(f"{tmp_path}/cut/part*.json")) == 4
     with pytest.raises(ValueError, match="unknown format"):
         export(df, str(tmp_path / "other"), "xml")
 

@@ -253,6 +253,10 @@ def test_jdbc_options():
     cut = jdbc_options("jdbc:x", "SELECT id FROM t", None, "id", (1, 900), 9)
     assert cut["dbtable"] == "(SELECT id FROM t) q" and "query" not in cut
     assert (cut["partitionColumn"], cut["lowerBound"], cut["upperBound"], cut["numPartitions"]) == ("id", "1", "900", "9")
+    cents = jdbc_options("jdbc:x", "SELECT 1", None, "amount", (decimal.Decimal("1.25"), decimal.Decimal("9.01")), 2)
+    assert (cents["lowerBound"], cents["upperBound"]) == ("1", "10")
+    days = jdbc_options("jdbc:x", "SELECT 1", None, "day", (dt.date(2024, 1, 2), dt.date(2024, 3, 4)), 2)
+    assert (days["lowerBound"], days["upperBound"]) == ("2024-01-02", "2024-03-04")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "SELECT 1", partition_column="id")
 
@@ -262,12 +266,14 @@ def test_sync_spec():
         "sources": {"pg": {"type": "postgres", "dsn": "host=db port=5432 dbname=shop user=app password=x sslmode=disable"}},
         "sync_jobs": [
             {"name": "orders", "source": "pg", "destination": "warehouse", "namespace": "demo", "table": "orders",
-             "sql": "SELECT id FROM orders\n", "watermark_column": None, "batch_size": 1000, "mode": "full"},
+             "sql": "SELECT id FROM orders\n", "watermark_column": None, "batch_size": 1000, "mode": "full",
+             "predicates": ["id < 10", "id >= 10"], "keys": ["id"]},
         ],
     }
     (job,) = sync.jobs_from_spec(spec, "/lake/")
     assert job.options["url"] == "jdbc:postgresql://db:5432/shop?sslmode=disable"
     assert (job.options["user"], job.options["password"]) == ("app", "x")
+    assert (job.predicates, job.keys) == (("id < 10", "id >= 10"), ("id",))
     assert (job.target, job.query, job.batch_size, job.mode) == ("/lake/demo/orders", "SELECT id FROM orders", 1000, "full")
     with pytest.raises(ValueError, match="source type"):
         jdbc_from_dsn("other", "")
