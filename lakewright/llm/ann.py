@@ -26,10 +26,10 @@ from lakewright.llm.vectors import best_of, matrix, result, search, usable
 class Hashing:
     """Directions, the share of them that must collide, first radius and its growth."""
 
-    projections: int = 96
-    share: float = 0.65
-    radius: float = 0.5
-    growth: float = 1.1
+    projections: int = 64
+    share: float = 0.66
+    radius: float = 0.9
+    growth: float = 1.12
     seed: int = 7
     query_block: int = 512
     row_block: int = 16_384
@@ -39,23 +39,34 @@ class SortedArrays:
     """The sorted arrays of one block."""
 
     def __init__(self, places: np.ndarray):
-        self.order = np.ascontiguousarray(np.argsort(places, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(places, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.sort(places, axis=0).T)
         self.rows = len(places)
 
-    def rings(self, query: np.ndarray, radius: float, growth: float):
-        """At each radius the rows that newly collide, once for each array that adds them."""
-        centre = [int(np.searchsorted(v, x)) for v, x in zip(self.values, query)]
-        low, high = list(centre), list(centre)
-        while True:
-            parts = []
-            for j, values in enumerate(self.values):
-                a = int(np.searchsorted(values, query[j] - radius, "left"))
-                b = int(np.searchsorted(values, query[j] + radius, "right"))
-                parts += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            yield radius, np.bincount(np.concatenate(parts), minlength=self.rows)
-            radius *= growth
+    def windows(self, queries: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the windows of all queries, by query, radius and array."""
+        low = np.empty((len(queries), len(radii), len(self.values)), np.int64)
+        high = np.empty_like(low)
+        for j, values in enumerate(self.values):
+            low[:, :, j] = np.searchsorted(values, queries[:, j, None] - radii, "left")
+            high[:, :, j] = np.searchsorted(values, queries[:, j, None] + radii, "right")
+        return low, high
+
+    def rings(self, low: np.ndarray, high: np.ndarray):
+        """For one query, at each radius how often each row newly collides."""
+        inner_low, inner_high = low[0], low[0]
+        for a, b in zip(low, high):
+            parts = [o[x:y] for o, x, y in zip(self.order, a, inner_low)]
+            parts += [o[x:y] for o, x, y in zip(self.order, inner_high, b)]
+            yield np.bincount(np.concatenate(parts), minlength=self.rows)
+            inner_low, inner_high = a, b
+
+
+def radii_of(hashing: Hashing) -> np.ndarray:
+    """The radii of the windows; unit vectors are at most 2 apart, so the last, without
+    end, is rarely reached."""
+    steps = int(np.ceil(np.log(2.5 / hashing.radius) / np.log(hashing.growth)))
+    return np.append(hashing.radius * hashing.growth ** np.arange(steps), np.inf)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, hashing: Hashing = Hashing()) -> DataFrame:
@@ -87,17 +98,21 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, hashing: Hashing = H
         arrays = SortedArrays(np.column_stack([scaled, extra]) @ directions)
         places = (wanted / lengths[:, None]) @ directions[:-1]
         need = int(np.ceil(hashing.share * hashing.projections))
+        radii = radii_of(hashing)
+        low, high = arrays.windows(places, radii)
+        # Products of whole batches are exact up to rounding; the best are worked out once more.
+        slack = 1e-9 * longest
         all_ids, all_scores = [], []
-        for query_id, q, place, length in zip(asked["vec_id"].to_numpy(), wanted, places, lengths):
-            count = np.zeros(len(ids), np.int32)
+        for number, (query_id, q, length) in enumerate(zip(asked["vec_id"].to_numpy(), wanted, lengths)):
+            count = np.zeros(len(ids), np.int64)
             open_rows = ids != query_id
             score = np.full(len(ids), -np.inf)
             left = int(open_rows.sum())
-            for radius, more in arrays.rings(place, hashing.radius, hashing.growth):
+            for radius, more in zip(radii, arrays.rings(low[number], high[number])):
                 count += more
                 new = np.flatnonzero((count >= need) & open_rows)
                 if len(new):
-                    score[new] = (own[new] * q).sum(axis=1)
+                    score[new] = own[new] @ q
                     open_rows[new] = False
                     left -= len(new)
                 if left == 0:
@@ -107,9 +122,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, hashing: Hashing = H
                     if 2.0 - 2.0 * kth / (length * np.sqrt(longest)) <= radius**2:
                         break
             seen = np.flatnonzero(np.isfinite(score))
-            top = seen[best_of(score[seen], ids[seen], k)]
-            all_ids.append(ids[top])
-            all_scores.append(score[top])
+            if len(seen) > k:
+                kth = np.partition(score[seen], len(seen) - k)[len(seen) - k]
+                seen = seen[score[seen] >= kth - slack]
+            exact = (own[seen] * q).sum(axis=1)
+            top = best_of(exact, ids[seen], k)
+            all_ids.append(ids[seen[top]])
+            all_scores.append(exact[top])
         keys = [zlib.crc32(q.tobytes()) for q in wanted]
         return result(asked["vec_id"], keys, all_ids, all_scores)
 
