@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import pin
 from lakewright.llm.vectors import best_of, matrix, result, search, usable
 
-PIVOTS = 16
-STEP = 256
+PIVOTS = 8
+STEP = 512
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -81,16 +81,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivot
             for column, distance in zip(table[others].T, ahead):
                 np.maximum(bound, np.abs(column - distance), out=bound)
             reach = (q @ q + norm2 - bound**2) / 2 + slack
-            order = others[np.argsort(-reach, kind="stable")]
-            reach = -np.sort(-reach)
-            seen, scores, kth = 0, np.empty(0, np.float64 if exact else object), -np.inf
+            by_reach = np.argsort(-reach, kind="stable")
+            order, reach = others[by_reach], reach[by_reach]
+            seen, step, scores, kth = 0, STEP, np.empty(0, np.float64 if exact else object), -np.inf
             while seen < len(order) and (seen < k or reach[seen] >= kth):
-                part = own[order[seen : seen + STEP]]
+                # Not beyond the candidates that can still reach the k-th best.
+                able = int(np.searchsorted(-reach, -kth, side="right"))
+                part = own[order[seen : min(seen + step, max(able, seen + 1))]]
+                step *= 2
                 got = part @ q if exact else np.array([sum(int(a) * int(b) for a, b in zip(v, q)) for v in part], object)
                 scores = np.concatenate([scores, got])
                 seen += len(part)
                 if seen >= k:
-                    kth = float(np.sort(scores)[-k])
+                    kth = float(np.partition(scores, seen - k)[seen - k] if exact else np.sort(scores)[-k])
             ranked = order[:seen]
             top = best_of(scores, ids[ranked], k) if exact else np.array(sorted(range(seen), key=lambda i: (-scores[i], ids[ranked[i]]))[:k], int)
             all_ids.append(ids[ranked[top]])
