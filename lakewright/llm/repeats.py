@@ -10,10 +10,12 @@ that follow one another mostly share an anchor; such a run is one row, not one p
    their windows are put into suffix order, and the longest-previous-factor array,
    from the previous and next smaller positions in that order, tells the windows that
    occur earlier; the same from the other side tells those that occur later.
-4. Where many different runs have one anchor, their windows are counted by hash instead,
-   which no single key can make a large task.
+4. Where many different runs have one anchor, they are cut into blocks of windows at
+   fixed distances from the anchor; the bytes that all windows of a block share take the
+   anchor's place, and steps 2 and 3 begin again. Blocks that still crowd are cut into single
+   windows, which counting settles. So no key can make a large task.
 
-Filters of a fixed size, sent to all tasks, spare shuffles of rows that cannot matter. A
+Filters of a bounded size, sent to all tasks, spare shuffles of rows that cannot matter. A
 false answer of a filter costs work, never a result. Equality in steps 1, 2 and 4 is that of
 two 64-bit hashes; in step 3 it is that of the bytes.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,8 +37,8 @@ from lakewright.llm.common import pin, slices, text_or_empty
 LENGTH, GRAM = 200, 100
 #: Bytes of a long text that are looked at together; runs that it cuts are two runs.
 CHUNK = 1 << 20
-#: Groups of more different runs than this are counted by window.
-GROUP_RUNS = 512
+#: Groups of more different runs than this are cut into blocks of so many windows, then into windows.
+GROUP_RUNS, BLOCK = 512, 16
 FILTER_BITS = 1 << 27
 
 BASE = 0x9E3779B97F4A7C15
@@ -89,13 +92,42 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(left <= right, back_at.ravel()[begin], ahead_at.ravel()[begin + width - 1])
 
 
-def runs_of(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """Runs of windows in texts that lie one after another in `data`.
+@dataclass
+class Runs:
+    """Runs of windows in one byte array: `first` and `last` window and anchor `at` are
+    places in it; `key` and `place` name the anchor in its text, `h` is its hash and `f`
+    that of the whole run with its shape."""
 
-    Gives the hasher and, by run: text number, first and last window, anchor (places in
-    `data`), hash of the anchor and hash of the whole run.
-    """
-    hasher = Hasher(data)
+    key: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    at: np.ndarray
+    h: np.ndarray
+    f: np.ndarray
+
+    def where(self) -> np.ndarray:
+        """Place and reach of the run in one number, in the order of places."""
+        return self.place << 16 | (self.at - self.first) << 8 | (self.at - self.last)
+
+    def chosen(self, keep: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, name)[keep] for name in self.__dataclass_fields__))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _whole(hasher: Hasher, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        shape = ((at - first) << 8 | (last - first)).astype(np.uint64) * np.uint64(BASE)
+    return _mixed(hasher.spans(first, last + length) ^ shape).view(np.int64)
+
+
+def runs_of(hasher: Hasher, data: np.ndarray, keys: np.ndarray, offsets: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Runs:
+    """The runs of texts that lie one after another in `data`."""
     places = np.arange(len(data) - gram + 1)
     grams = hasher.spans(places, places + gram)
     anchor = leftmost_minima(grams, length - gram + 1)
@@ -107,13 +139,26 @@ def runs_of(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | start[1:]
     last = np.flatnonzero(stop)
-    at = anchor[first]
-    h = grams[at]
-    whole = hasher.spans(first, last + length)
+    at, own = anchor[first], text[first]
+    place = at - begins[own] + offsets[own]
+    return Runs(keys[own], place, first, last, at, grams[at].view(np.int64), _whole(hasher, first, last, at, length))
+
+
+def blocks_of(hasher: Hasher, runs: Runs, length: int, size: int) -> Runs:
+    """The runs cut into blocks of `size` windows, by the distance of a window from its
+    anchor; the hash of what all windows of a block share is added to the anchor's."""
+    low, high = (runs.at - runs.last) // size, (runs.at - runs.first) // size
+    each = high - low + 1
+    row = np.repeat(np.arange(len(each)), each)
+    block = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    cut = runs.chosen(row)
+    near, far = block * size, block * size + size - 1
+    first = np.maximum(cut.first, cut.at - far)
+    last = np.minimum(cut.last, cut.at - near)
+    shared = hasher.spans(cut.at - near, cut.at - far + length)
     with np.errstate(over="ignore"):
-        shape = ((at - first) << 8 | (last - first)).astype(np.uint64) * np.uint64(BASE)
-        f = (whole ^ shape) * np.uint64(0x94D049BB133111EB)
-    return hasher, text[first], first, last, at, h, f ^ (f >> np.uint64(32))
+        h = _mixed(shared ^ cut.h.view(np.uint64) ^ (block.astype(np.uint64) * np.uint64(BASE)))
+    return Runs(cut.key, cut.place, first, last, cut.at, h.view(np.int64), _whole(hasher, first, last, cut.at, length))
 
 
 def xxh64_long(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -130,15 +175,16 @@ def xxh64_long(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter of a fixed number of bits with two hash functions."""
+    """A Bloom filter of a bounded number of bits with two hash functions."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
-    def of(cls, values: Column, rows: DataFrame, bits: int) -> Filter:
-        """Holds a bigint column of any number of rows; what comes to the driver is at
-        most one row per 64 bits of the filter."""
+    def of(cls, values: Column, rows: DataFrame, most_bits: int) -> Filter:
+        """Holds a bigint column of any number of rows in 16 to 32 bits each, but never more
+        than `most_bits` in all; what comes to the driver is at most one row per 64 bits."""
+        bits = min(most_bits, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
         at = F.explode(F.array(F.pmod(values, F.lit(bits)), F.pmod(F.xxhash64(values), F.lit(bits))))
         mask = F.expr("shiftleft(1L, cast(bit & 63 as int))")
         words = rows.select(at.alias("bit")).select(F.expr("bit >> 6").alias("word"), mask.alias("mask"))
@@ -191,10 +237,8 @@ def _run_rows(docs: DataFrame, length: int, gram: int, schema: str, make) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, offsets, data, begins, sizes in _segments(batches, length):
-            hasher, text, first, last, at, h, f = runs_of(data, begins, sizes, length, gram)
-            place = at - begins[text] + offsets[text]
-            where = place << 16 | (at - first) << 8 | (at - last) & 0xFF
-            columns = make(hasher, data, keys[text], where, first, last, h.view(np.int64), f.view(np.int64))
+            hasher = Hasher(data)
+            columns = make(hasher, data, runs_of(hasher, data, keys, offsets, begins, sizes, length, gram))
             if len(columns[0]):
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
@@ -274,76 +318,76 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     """
     if not 0 < gram <= length or length - gram > 255:
         raise ValueError("the piece is at most as long as the string, and at most 255 bytes shorter")
-    counts = _run_rows(docs, length, gram, "h long", lambda hasher, data, key, where, first, last, h, f: [h])
-    often = counts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = _run_rows(docs, length, gram, "h long", lambda hasher, data, runs: [runs.h])
+    often = counts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = pin(often, "repeat-anchors")
     twice = Filter.of(F.col("h"), often, filter_bits)
     _release(docs)
-
-    def rows(hasher, data, key, where, first, last, h, f):
-        keep = twice.has(h)
-        return [h[keep], f[keep], key[keep], where[keep]]
-
-    found = pin(_run_rows(docs, length, gram, "h long, f long, key long, place long", rows), "repeat-runs")
-    classes = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("rep"))
-    classes = pin(classes.select("h", "f", "n", F.col("rep.key").alias("rep_key"), F.col("rep.place").alias("rep_place")), "repeat-classes")
-    _release(docs)
-    equal = classes.where("n > 1").select(F.col("h").alias("_h"), F.col("f").alias("_f"), "rep_key", "rep_place")
-    settled = found.join(equal, (F.col("h") == F.col("_h")) & (F.col("f") == F.col("_f")))
-    if keep_first:
-        settled = settled.where("key <> rep_key or place <> rep_place")
-    anchor = F.expr("place >> 16")
-    ranges = [settled.select("key", (anchor - F.expr("(place >> 8) & 255")).alias("lo"), (anchor - F.expr("place & 255")).alias("hi"))]
-
-    groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
-    if not keep_first:
-        groups = groups.where("least = 1")
-    groups = pin(groups, "repeat-groups")
-    open_classes = classes.join(groups.select(F.col("h").alias("_h")), F.col("h") == F.col("_h"), "left_semi")
-    asked = Filter.of(F.xxhash64("rep_key", "rep_place"), open_classes, filter_bits)
-    large = groups.where(F.col("kinds") > group_runs)
-    crowded = Filter.of(F.col("h"), large, filter_bits)
-    some_crowded = not large.isEmpty()
-    _release(docs)
-
-    def chosen(key, where, h, in_crowd):
-        keep = twice.has(h)
-        keep[keep] = asked.has(xxh64_long(where[keep], xxh64_long(key[keep], 42)).view(np.int64))
-        keep[keep] = crowded.has(h[keep]) == in_crowd
-        return np.flatnonzero(keep)
-
-    def contexts(hasher, data, key, where, first, last, h, f):
-        keep = chosen(key, where, h, False)
-        parts = pa.array([data[a : b + length].tobytes() for a, b in zip(first[keep], last[keep])], pa.binary())
-        return [h[keep], key[keep], where[keep], parts]
-
-    met = _run_rows(docs, length, gram, "h long, key long, place long, part binary", contexts)
-    met = met.repartition("h").sortWithinPartitions("h", "key", "place")
-    ranges.append(met.mapInArrow(lambda batches: _settle(batches, length, keep_first), "key long, lo long, hi long"))
-
-    if some_crowded:
-
-        def windows(hasher, data, key, where, first, last, h, f):
-            keep = chosen(key, where, h, True)
-            each = (last - first + 1)[keep]
-            step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            begin = np.repeat(first[keep], each) + step
-            lo = (where >> 16) - ((where >> 8) & 255)
-            w = hasher.spans(begin, begin + length).view(np.int64)
-            return [np.repeat(h[keep], each), w, np.repeat(key[keep], each), np.repeat(lo[keep], each) + step]
-
-        single = _run_rows(docs, length, gram, "h long, w long, key long, lo long", windows)
-        again = single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo")).alias("rep")).where("n > 1")
-        again = again.select(F.col("h").alias("_h"), F.col("w").alias("_w"), "rep")
-        hit = single.join(again, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
+    #: By level: what is asked for, what crowds there, and the size of the blocks it is cut into.
+    cuts: list[tuple[Filter, Filter, int]] = []
+    ranges: list[DataFrame] = []
+
+    def at_level(hasher: Hasher, runs: Runs, steps: list) -> Runs:
+        runs = runs.chosen(twice.has(runs.h))
+        for asked, crowded, size in steps:
+            runs = blocks_of(hasher, _asked(runs, asked, crowded, True), length, size)
+        return runs
+
+    for size in (BLOCK, 1, None):
+        steps = list(cuts)
+
+        def rows(hasher, data, runs, steps=steps):
+            runs = at_level(hasher, runs, steps)
+            return [runs.h, runs.f, runs.key, runs.where()]
+
+        found = pin(_run_rows(docs, length, gram, "h long, f long, key long, place long", rows), "repeat-runs")
+        classes = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("rep"))
+        classes = classes.select("h", "f", "n", F.col("rep.key").alias("rep_key"), F.col("rep.place").alias("rep_place"))
+        classes = pin(classes, "repeat-classes")
+        _release(docs)
+        equal = classes.where("n > 1").select(F.col("h").alias("_h"), F.col("f").alias("_f"), "rep_key", "rep_place")
+        settled = found.join(equal, (F.col("h") == F.col("_h")) & (F.col("f") == F.col("_f")))
         if keep_first:
-            hit = hit.where(F.struct("key", "lo") != F.col("rep"))
-        ranges.append(hit.select("key", "lo", F.col("lo").alias("hi")))
+            settled = settled.where("key <> rep_key or place <> rep_place")
+        anchor = F.expr("place >> 16")
+        ranges.append(settled.select("key", (anchor - F.expr("(place >> 8) & 255")).alias("lo"), (anchor - F.expr("place & 255")).alias("hi")))
+        if size is None:
+            break
+
+        groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
+        if not keep_first:
+            groups = groups.where("least = 1")
+        groups = pin(groups, "repeat-groups")
+        open_classes = classes.join(groups.select(F.col("h").alias("_h")), F.col("h") == F.col("_h"), "left_semi")
+        asked = Filter.of(F.xxhash64("rep_key", "rep_place"), open_classes, filter_bits)
+        large = groups.where(F.col("kinds") > group_runs)
+        crowded = Filter.of(F.col("h"), large, filter_bits)
+        _release(docs)
+
+        def contexts(hasher, data, runs, steps=steps, asked=asked, crowded=crowded):
+            runs = _asked(at_level(hasher, runs, steps), asked, crowded, False)
+            parts = [data[a : b + length].tobytes() for a, b in zip(runs.first, runs.last)]
+            return [runs.h, runs.key, runs.where(), pa.array(parts, pa.binary())]
+
+        met = _run_rows(docs, length, gram, "h long, key long, place long, part binary", contexts)
+        met = met.repartition("h").sortWithinPartitions("h", "key", "place")
+        ranges.append(met.mapInArrow(lambda batches: _settle(batches, length, keep_first), "key long, lo long, hi long"))
+        if large.isEmpty():
+            break
+        cuts.append((asked, crowded, size))
     result = ranges[0]
     for more in ranges[1:]:
         result = result.unionByName(more)
     return result
 
 
+def _asked(runs: Runs, asked: Filter, crowded: Filter, in_crowd: bool) -> Runs:
+    """The runs that are asked for, of crowded anchors or of the others."""
+    where = runs.where()
+    keep = asked.has(xxh64_long(where, xxh64_long(runs.key, 42)).view(np.int64))
+    return runs.chosen(keep & (crowded.has(runs.h) == in_crowd))
+
+
 def _settle(batches: Iterator[pa.RecordBatch], length: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Groups of rows with one anchor, in order, to ranges of repeated windows."""
     group: list[tuple[tuple[int, int], int, bytes]] = []
