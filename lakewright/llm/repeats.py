@@ -25,6 +25,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -323,24 +324,16 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     often = pin(often, "repeat-anchors")
     twice = Filter.of(F.col("h"), often, filter_bits)
     _release(docs)
-    #: By level: what is asked for, what crowds there, and the size of the blocks it is cut into.
-    cuts: list[tuple[Filter, Filter, int]] = []
-    ranges: list[DataFrame] = []
-
-    def at_level(hasher: Hasher, runs: Runs, steps: list) -> Runs:
-        runs = runs.chosen(twice.has(runs.h))
-        for asked, crowded, size in steps:
-            runs = blocks_of(hasher, _asked(runs, asked, crowded, True), length, size)
-        return runs
+    def texts(schema: str, make) -> DataFrame:
+        return _run_rows(docs, length, gram, schema, lambda hasher, data, runs: make(hasher, data, runs.chosen(twice.has(runs.h))))
 
+    source, ranges = texts, []
     for size in (BLOCK, 1, None):
-        steps = list(cuts)
 
-        def rows(hasher, data, runs, steps=steps):
-            runs = at_level(hasher, runs, steps)
+        def rows(hasher, data, runs):
             return [runs.h, runs.f, runs.key, runs.where()]
 
-        found = pin(_run_rows(docs, length, gram, "h long, f long, key long, place long", rows), "repeat-runs")
+        found = pin(source("h long, f long, key long, place long", rows), "repeat-runs")
         classes = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("rep"))
         classes = classes.select("h", "f", "n", F.col("rep.key").alias("rep_key"), F.col("rep.place").alias("rep_place"))
         classes = pin(classes, "repeat-classes")
@@ -364,28 +357,41 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
         crowded = Filter.of(F.col("h"), large, filter_bits)
         _release(docs)
 
-        def contexts(hasher, data, runs, steps=steps, asked=asked, crowded=crowded):
-            runs = _asked(at_level(hasher, runs, steps), asked, crowded, False)
+        def contexts(hasher, data, runs, asked=asked, crowded=crowded):
+            runs = runs.chosen(asked.has(xxh64_long(runs.where(), xxh64_long(runs.key, 42)).view(np.int64)))
             parts = [data[a : b + length].tobytes() for a, b in zip(runs.first, runs.last)]
-            return [runs.h, runs.key, runs.where(), pa.array(parts, pa.binary())]
+            return [runs.h, runs.key, runs.where(), pa.array(parts, pa.binary()), crowded.has(runs.h)]
 
-        met = _run_rows(docs, length, gram, "h long, key long, place long, part binary", contexts)
-        met = met.repartition("h").sortWithinPartitions("h", "key", "place")
-        ranges.append(met.mapInArrow(lambda batches: _settle(batches, length, keep_first), "key long, lo long, hi long"))
+        met = pin(source("h long, key long, place long, part binary, crowd boolean", contexts), "repeat-contexts")
+        quiet = met.where("not crowd").drop("crowd").repartition("h").sortWithinPartitions("h", "key", "place")
+        ranges.append(quiet.mapInArrow(lambda batches: _settle(batches, length, keep_first), "key long, lo long, hi long"))
         if large.isEmpty():
             break
-        cuts.append((asked, crowded, size))
+        source = partial(_block_rows, met.where("crowd"), length, size)
     result = ranges[0]
     for more in ranges[1:]:
         result = result.unionByName(more)
     return result
 
 
-def _asked(runs: Runs, asked: Filter, crowded: Filter, in_crowd: bool) -> Runs:
-    """The runs that are asked for, of crowded anchors or of the others."""
-    where = runs.where()
-    keep = asked.has(xxh64_long(where, xxh64_long(runs.key, 42)).view(np.int64))
-    return runs.chosen(keep & (crowded.has(runs.h) == in_crowd))
+def _block_rows(met: DataFrame, length: int, size: int, schema: str, make) -> DataFrame:
+    """The runs in `met`, cut into blocks of `size` windows; `make` turns them into columns."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole], "part", CHUNK):
+                parts = batch.column("part").to_pylist()
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                first = np.cumsum(sizes) - sizes
+                h, key, place = (batch.column(c).to_numpy() for c in ("h", "key", "place"))
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                hasher = Hasher(data)
+                runs = Runs(key, place >> 16, first, first + sizes - length, first + (place >> 8 & 255), h, h)
+                columns = make(hasher, data, blocks_of(hasher, runs, length, size))
+                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    return met.mapInArrow(run, schema)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
