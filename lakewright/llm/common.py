@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,6 +20,20 @@ from lakewright.session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: What empties the caches that operators keep in a Python worker, and the last operator there.
+CACHES: list[Callable[[], object]] = []
+_LAST: list[str] = []
+
+
+def entering(operator: str) -> None:
+    """Called by a task in its worker: gives back what another operator has cached there."""
+    if _LAST != [operator]:
+        for empty in CACHES:
+            empty()
+        _LAST[:] = [operator]
+        gc.collect()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's code to the Python workers of a running application, once, as
     `spark-submit --py-files` would."""

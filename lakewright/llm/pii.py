@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import slices
+from lakewright.llm.common import entering, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base spans.
@@ -431,6 +431,7 @@ def redacted(text: Column, tagger: Tagger) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entering("pii")
         for texts in batches:
             out = []
             for part in _parts(list(texts)):

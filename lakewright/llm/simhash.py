@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import pin, slices
+from lakewright.llm.common import entering, pin, slices
 from lakewright.llm.components import connected_components
 
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long; a null text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("simhash")
         for batch in slices(batches, "text"):
             values = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
             values = np.array(values, np.uint64).view(np.int64)

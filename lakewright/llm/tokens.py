@@ -8,18 +8,20 @@ so is every text when the tokenizer is of another kind.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-CACHE_UNITS = 500_000
+from lakewright.llm.common import CACHES, entering
+
+CACHE_UNITS = 400_000
 START = "\x01"
-#: A blank at either end of a text or with other white space beside it.
-BESIDE_BLANK = re.compile(r"\A | \Z| \s|\s ")
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s\x01]+)")
+#: Marks that are no letter, digit or white space; the splitting rule keeps a row of them together.
+MARKS = ".,;:!?%&$*#()[]\"-+/<>=@^~|{}"
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,69 +32,92 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
 
 
-class Units(dict):
-    """Ids of units as bytes, worked out when first asked for.
+class Encoder:
+    """One tokenizer file and its cache, which lives as long as the Python worker and is
+    emptied at CACHE_UNITS units; that changes the time taken alone.
 
-    A unit stands for itself behind a blank; a unit that begins with START stands for
-    the rest of it at the beginning of a text. Emptied at CACHE_UNITS entries, which changes
-    the time taken alone.
+    A unit stands for itself behind a blank; one that begins with START stands for the rest
+    of it at the beginning of a text or behind a line feed. A unit that cannot be encoded alone,
+    as it is empty or has white space at an end, stands for None.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer, self.letters = tokenizer, byte_letters()
-        self.marks: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
-        own = self._ids(unit)
-        self[unit] = own
-        return own
-
-    def _ids(self, unit: str) -> bytes:
-        """A word goes straight to the merges, marks behind it apart, since the splitting
-        rule makes just these pieces; so does a line feed between two pieces of a unit."""
-        body = unit.removeprefix(START)
-        lead = "" if body is not unit and len(body) < len(unit) else " "
-        if body.isalpha():
-            word = f"{lead}{body}".encode().decode("latin-1").translate(self.letters)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-        head, line, rest = body.partition("\n")
-        if line and head and rest and not head[-1].isspace() and not rest[0].isspace():
-            return self[unit[: len(unit) - len(rest) - 1]] + self._marks("\n") + self[f"{START}{rest}"]
-        found = WORD_AND_MARKS.fullmatch(body)
-        if found and found[1].isalpha():
-            return self[unit[: len(unit) - len(found[2])]] + self._marks(found[2])
-        return np.array(self.tokenizer.encode(f"{lead}{body}", add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) >= CACHE_UNITS:
-                self.marks.clear()
-            self.marks[marks] = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.marks[marks]
-
-
-class Encoder:
-    """One tokenizer file and its cache, which lives as long as the Python worker."""
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kind = self.tokenizer.pre_tokenizer
         self.by_unit = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space
         self.by_unit = self.by_unit and self.tokenizer.normalizer is None
-        self.units = Units(self.tokenizer)
+        self.letters = {b: letter for b, letter in byte_letters().items() if b != ord("\n")}
+        self.units: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        if not self.by_unit or START in text or BESIDE_BLANK.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        units = text.split(" ")
-        units[0] = f"{START}{units[0]}"
-        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<u4")
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn_words(self, words: set[str]) -> None:
+        """Words go straight to the merges: the splitting rule makes one piece of each."""
+        words = [w for w in words if w not in self.units]
+        plain = "\n".join([w[1:] if w[0] == START else f" {w}" for w in words])
+        spelled = plain.encode().decode("latin-1").translate(self.letters).split("\n") if words else []
+        tokenize = self.tokenizer.model.tokenize
+        self.units.update((word, array("I", [t.id for t in tokenize(letters)]).tobytes()) for word, letters in zip(words, spelled))
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Ids of units that are not known. A word with marks behind it is the word and the
+        marks, since the splitting rule cuts there; so it does around a line feed."""
+        words, split, lines, odd = set(), [], [], []
+        for unit in units:
+            if unit.isalpha():
+                words.add(unit)
+                continue
+            word = unit.rstrip(MARKS)
+            if word.isalpha() or (word[:1] == START and word[1:].isalpha()):
+                split.append((unit, word, unit[len(word) :]))
+                words.add(word)
+                continue
+            body = unit.removeprefix(START)
+            if not body or body[0].isspace() or body[-1].isspace():
+                self.units[unit] = None
+                continue
+            head, line, rest = unit.partition("\n")
+            if line and head.strip(START) and not head[-1].isspace() and not rest[0].isspace():
+                lines.append((unit, head, f"{START}{rest}"))
+            else:
+                odd.append(unit)
+        self.learn_words(words)
+        for unit, word, marks in split:
+            if marks not in self.marks:
+                self.marks[marks] = self.whole(marks) if marks else b""
+            self.units[unit] = self.units[word] + self.marks[marks]
+        for unit in odd:
+            self.units[unit] = self.whole(unit[1:] if unit[0] == START else f" {unit}")
+        if lines:
+            self.learn({p for _, head, rest in lines for p in (head, rest) if p not in self.units})
+            line_feed = self.whole("\n")
+            for unit, head, rest in lines:
+                self.units[unit] = self.units[head] + line_feed + self.units[rest]
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        cut: list[list[str] | None] = []
+        for text in texts:
+            units = text.split(" ") if text and self.by_unit and START not in text else None
+            if units:
+                units[0] = f"{START}{units[0]}"
+            cut.append(units)
+        missing: set[str] = set()
+        for units in cut:
+            missing.update(filterfalse(self.units.__contains__, units or ()))
+        if len(self.units) + len(missing) > CACHE_UNITS:
+            self.units.clear()
+            self.marks.clear()
+            missing = {u for units in cut for u in units or ()}
+        self.learn(missing)
+        for text, units in zip(texts, cut):
+            held = list(map(self.units.__getitem__, units)) if units else [None]
+            if None in held:
+                yield np.frombuffer(self.whole(text) if text else b"", "<u4")
+            else:
+                yield np.frombuffer(b"".join(held), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -100,6 +125,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The file of an installed public tokenizer."""
     import public_tokenizers
@@ -108,5 +136,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encode(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
-    """The ids of each text as unsigned 32-bit integers; null counts as empty."""
-    yield from map(encoder(path).encode, texts)
+    """The ids of each text as unsigned 32-bit integers; null counts as empty.
+
+    The texts are looked at together, so give some megabytes of them at a time.
+    """
+    entering("tokens")
+    yield from encoder(path).encode(list(texts))
