@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `docs` but for all of a component save the one with its smallest doc_id.
 
-    `classes` is what near_duplicates returns for `docs`. Rows without doc_id stay, since
+    `classes` is what near_duplicates or similar_documents returns for `docs`. Rows without doc_id stay, since
     nothing tells them apart. Of repeated rows with one doc_id one stays.
     """
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()

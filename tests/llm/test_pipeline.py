@@ -93,6 +93,31 @@ def test_every_stage_decides_as_plain_python_does(spark, docs, rows):
     assert max(total.values()) <= 1024
 
 
+def test_dedup_stage_links_five_word_similarity_from_eight_tenths(spark):
+    rng = random.Random(7)
+    made, near, far = [], set(), set()
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        made.append((i, " ".join(words)))
+        close, distant = list(words), list(words)
+        for at in rng.sample(range(0, 300, 12), 1 + i % 5):
+            close[at] = "changed"
+        for at in range(0, 300, 25):
+            distant[at] = "changed"
+        made += [(1000 + i, " ".join(close)), (2000 + i, " ".join(distant))]
+        near.add(1000 + i)
+        far.add(2000 + i)
+    group = [f"g{rng.randrange(10**6)}" for _ in range(200)]
+    for i in range(150):
+        group[i % 200] = f"n{i}"
+        made.append((5000 + i, " ".join(group)))
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in run(spark, "simhash_near_dedup", docs.repartition(5)).collect()}
+    assert not kept & near
+    assert far <= kept and set(range(60)) <= kept
+    assert {i for i in kept if i >= 5000} == {5000}
+
+
 def test_stages_take_an_empty_table(spark, docs):
     empty = docs.limit(0)
     for name in STAGES:
