@@ -2,8 +2,8 @@
 
 A text is cut before every single blank that has no white space beside it. There a
 byte-level splitting rule always cuts too, so the ids of the units put together are the
-ids of the whole text. A text with other white space beside a blank is encoded whole, and
-so is every text when the tokenizer is of another kind.
+ids of the whole text. A text with other white space beside a blank or with the content of
+an added token is encoded whole, and so is every text when the tokenizer is of another kind.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = self.tokenizer.pre_tokenizer
         self.by_unit = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space
         self.by_unit = self.by_unit and self.tokenizer.normalizer is None
@@ -100,7 +100,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         cut: list[list[str] | None] = []
         for text in texts:
-            units = text.split(" ") if text and self.by_unit and START not in text else None
+            plain = text and self.by_unit and START not in text and not any(map(text.__contains__, self.added))
+            units = text.split(" ") if plain else None
             if units:
                 units[0] = f"{START}{units[0]}"
             cut.append(units)

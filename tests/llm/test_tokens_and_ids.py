@@ -27,6 +27,17 @@ def test_cached_ids_are_those_of_whole_texts():
     assert next(encode([None], vocabulary_path())).tolist() == []
 
 
+def test_added_tokens_in_a_text_have_their_own_ids(frame):
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c.", "half <|endof text|> two", "<|ENDOFTEXT|> x", "one two"]
+    assert [x.tolist() for x in encode(texts, vocabulary_path())] == whole(texts)
+    assert 50256 in whole(texts)[0]
+    docs = frame(list(enumerate(texts)))
+    starts = {r.doc_id: (r.start, r.n_tokens) for r in binary_ids.documents_in(binary_ids.store_ids(docs), docs.select(F.col("doc_id").alias("key"))).collect()}
+    assert [starts[i][1] for i in range(len(texts))] == [len(ids) + 1 for ids in whole(texts)]
+    pieces = {r.doc_id: r.ids_crc32 for r in packing.pack(docs).collect()}
+    assert pieces == {i: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for i, ids in enumerate(whole(texts))}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 5000])
 def test_perfect_hash_is_minimal_and_perfect(n):
     keys = np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n)
