@@ -264,6 +264,27 @@ def test_language_of_held_out_texts(spark, frame):
     assert all(0 <= f.score <= 1 for f in got.values())
 
 
+def test_pruning_leaves_sums_discounts_and_every_language(frame):
+    rng = random.Random(12)
+    rows = labelled(rng, 200) + [(9000 + i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40)), "flat") for i in range(8)]
+    counts = language.gram_counts(frame(rows), 4).toPandas()
+    plain = language.build_model(counts, 4)
+    whole = language.spark_model(frame(rows).sparkSession.createDataFrame(counts), 4, 10**6, 0)
+    assert whole.languages == plain.languages and np.allclose(whole.floor, plain.floor)
+    for ours, theirs in zip(whole.levels, plain.levels):
+        assert all(np.allclose(a.astype(float), b.astype(float)) for a, b in zip(ours, theirs))
+    small = language.train(frame(rows), least_grams=60, growth=0)
+    for (hashes, chance, _), (all_hashes, all_chance, _) in zip(small.levels, plain.levels):
+        at = np.searchsorted(all_hashes, hashes)
+        assert (all_hashes[at] == hashes).all()
+        held = chance > 0
+        assert np.allclose(chance[held], all_chance[at][held])
+        assert (held.sum(axis=0) > 0).all()
+    assert len(small.levels[3][0]) < len(plain.levels[3][0])
+    assert max((chance > 0).sum(axis=0).max() for _, chance, _ in small.levels) < 120
+    assert len(language.train(frame(rows)).levels[3][0]) == len(plain.levels[3][0])
+
+
 def test_language_without_labels_knows_none(frame):
     model = language.train(frame([(1, "text", None), (2, None, "aa")]))
     docs = frame([(1, "text")]).select(language.identify(F.col("text"), model).alias("f"))
