@@ -27,7 +27,7 @@ class Hashing:
     """Directions, the share of them that must collide, first radius and its growth."""
 
     projections: int = 64
-    share: float = 0.66
+    share: float = 0.55
     radius: float = 0.9
     growth: float = 1.12
     seed: int = 7

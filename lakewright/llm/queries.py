@@ -13,6 +13,7 @@ from lakewright.llm.binary_ids import NO_KEY, documents_in, store_ids
 from lakewright.llm.common import table
 from lakewright.llm.exact_topk import top_k
 from lakewright.llm.language import held_out, identify, train
+from lakewright.llm.merkle import fold, leaf, manifest, proof
 from lakewright.llm.mixing import mix
 from lakewright.llm.packing import pack
 from lakewright.llm.repeats import remove_repeats
@@ -69,6 +70,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents")).drop("loss")
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    values = [F.col(c) for c in names]
+    cut = [F.replace(c, F.lit("\n"), F.lit("")) if name == "text" else c for name, c in zip(names, values)]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf(cut)).otherwise(leaf(values))
+    leaves = manifest(docs, values, F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "tampered": tampered}).leaves
+    folded = leaves.select("*", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), fold(F.col("tampered"), F.col("path")).alias("folded_root"))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_ids": op1_binary_ids,
     "op2_pii": op2_pii,
@@ -80,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
+    "op12_merkle": op12_merkle,
 }
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
@@ -98,4 +112,61 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    # DuckDB has no crc32, hence the list_reduce of bits; levels go up in a recursive table.
+    "op12_merkle": """
+        WITH RECURSIVE rows AS (
+            SELECT row_number() OVER () AS r, * FROM documents
+        ), fields AS (
+            SELECT r, doc_id, coalesce('+' || source, '') AS g, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars::VARCHAR AS d, text AS e,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda h, x: list_reduce(list_prepend(xor(h, x), range(8)),
+                           lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 2 = 0 AS hit
+            FROM rows
+        ), texts AS (
+            SELECT r, doc_id, g,
+                   concat(coalesce(strlen(a) || ':' || a, '-'), coalesce(strlen(b) || ':' || b, '-'), coalesce(strlen(c) || ':' || c, '-'), coalesce(strlen(d) || ':' || d, '-')) AS head,
+                   e, CASE WHEN hit THEN replace(e, chr(10), '') ELSE e END AS cut
+            FROM fields
+        ), leaves AS (
+            SELECT r, doc_id, g, sha256(head || coalesce(strlen(e) || ':' || e, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS tampered
+            FROM texts
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves
+        ), tree AS (
+            SELECT g, 0 AS lvl, pos, n, leaf AS digest FROM placed
+            UNION ALL
+            SELECT g, any_value(lvl) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, pos // 3
+        ), tops AS (
+            SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+        ), forest AS (
+            SELECT 0 AS lvl, pos, n, subroot AS digest FROM tops
+            UNION ALL
+            SELECT any_value(lvl) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)) FROM forest WHERE n > 1 GROUP BY pos // 3
+        ), nodes AS (
+            SELECT g, lvl, pos, n, digest FROM tree WHERE n > 1
+            UNION ALL
+            SELECT t.g, f.lvl + 1000, f.pos, f.n, f.digest FROM forest f CROSS JOIN (SELECT DISTINCT g FROM tops) t WHERE f.n > 1
+        ), own AS (
+            SELECT p.r, s.g, s.lvl, s.pos FROM placed p JOIN tree s ON s.g = p.g AND s.n > 1 AND s.pos = p.pos // pow(3, s.lvl)::BIGINT
+            UNION ALL
+            SELECT p.r, p.g, f.lvl + 1000, f.pos FROM placed p JOIN tops t ON t.g = p.g JOIN forest f ON f.n > 1 AND f.pos = t.pos // pow(3, f.lvl)::BIGINT
+        ), steps AS (
+            SELECT o.r, o.lvl, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos < o.pos), '') AS before,
+                   coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos > o.pos), '') AS after
+            FROM own o JOIN nodes s ON s.g = o.g AND s.lvl = o.lvl AND s.pos // 3 = o.pos // 3 GROUP BY o.r, o.lvl, o.pos
+        ), paths AS (
+            SELECT r, list({'b': before, 'a': after} ORDER BY lvl) AS path FROM steps GROUP BY r
+        ), folds AS (
+            SELECT p.r, 0 AS i, p.tampered AS held, coalesce(path, []) AS path FROM placed p LEFT JOIN paths USING (r)
+            UNION ALL
+            SELECT r, i + 1, sha256(path[i + 1].b || held || path[i + 1].a), path FROM folds WHERE i < len(path)
+        ), ends AS (
+            SELECT r, held AS folded_root, sha256(list_aggregate(list_prepend('', list_transform(path, lambda s: s.b || s.a)), 'string_agg', '')) AS proof_sha256 FROM folds WHERE i = len(path)
+        ), root AS (
+            SELECT digest AS root FROM forest WHERE n = 1
+        )
+        SELECT p.doc_id, p.leaf, t.subroot, root.root, e.proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+        FROM placed p JOIN ends e USING (r) JOIN tops t ON t.g = p.g CROSS JOIN root
+    """,
 }
