@@ -16,8 +16,11 @@ from lakewright.llm.language import held_out, identify, train
 from lakewright.llm.merkle import fold, leaf, manifest, proof
 from lakewright.llm.mixing import mix
 from lakewright.llm.packing import pack
+from lakewright.llm.pieces import encode_documents
+from lakewright.llm.ranked import ranked_search
 from lakewright.llm.repeats import remove_repeats
 from lakewright.llm.simhash import near_duplicates
+from lakewright.llm.tokens import vocabulary_path
 
 
 def op1_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +73,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents")).drop("loss")
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    texts = encode_documents(table(spark, folder, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    tokens = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return texts.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     names = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -82,6 +91,10 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
 
 
+def op13_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_ids": op1_binary_ids,
     "op2_pii": op2_pii,
@@ -93,7 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
+    "op11_pieces": op11_pieces,
     "op12_merkle": op12_merkle,
+    "op13_ranked": op13_ranked,
 }
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
@@ -169,4 +184,28 @@ ORACLES: dict[str, str] = {
         SELECT p.doc_id, p.leaf, t.subroot, root.root, e.proof_sha256, e.folded_root, e.folded_root = root.root AS verified
         FROM placed p JOIN ends e USING (r) JOIN tops t ON t.g = p.g CROSS JOIN root
     """,
+    "op13_ranked": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+            FROM documents WHERE text IS NOT NULL
+        ), sized AS (
+            SELECT *, len(t) AS n FROM docs WHERE len(t) > 0
+        ), whole AS (
+            SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sized
+        ), tf AS (
+            SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM sized) GROUP BY r, term
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term
+        ), items AS (
+            SELECT i, item_id, term, count(*)::BIGINT AS q FROM (
+                SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY i, item_id, term
+        ), scored AS (
+            SELECT i, item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))))::BIGINT AS score
+            FROM items JOIN tf USING (term) JOIN w USING (term) JOIN sized USING (r), whole GROUP BY i, item_id, r, doc_id
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
