@@ -136,19 +136,21 @@ def test_queries_answer_for_every_document(spark):
         assert sorted(r.doc_id for r in QUERIES[name](spark, FOLDER).select("doc_id").collect()) == ids, name
 
 
-def test_approximate_query_finds_nine_in_ten(spark):
-    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_approximate_query_finds_nine_in_ten(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     vectors = np.array([r.embedding for r in rows], float)
     ids = np.array([r.vec_id for r in rows])
     found = {}
-    for r in QUERIES["op7_ann"](spark, FOLDER).collect():
+    for r in QUERIES["op7_ann"](spark, folder).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = 0
+    shares = []
     for q in ids[ids % 20 == 0]:
         score = vectors @ vectors[ids == q][0]
         order = [ids[i] for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
-        hits += len(found[q] & set(order))
-    assert hits >= 0.9 * 20 * len(found)
+        shares.append(len(found[q] & set(order)) / 20)
+    print(folder, "mean", np.mean(shares), "worst", min(shares))
+    assert np.mean(shares) >= 0.97 and min(shares) >= 0.8
 
 
 def test_columns_may_clash_with_internal_names(spark, docs):
