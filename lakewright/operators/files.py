@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.formats import format_mtime, human_size, type_symbol
@@ -13,6 +15,15 @@ from lakewright.functions.formats import format_mtime, human_size, type_symbol
 TARGET_BYTES = 134217728
 RETAIN_HOURS = 168
 
+# Files of one partition that one task packs.
+PACK_FILES = 5_000
+
+# Fixed names: where a write keeps its files until they are complete, at a table's top and in folders of it.
+HIDDEN = (
+    "_temporary/*/_temporary/*", "_temporary/*/task*", ".spark-staging-*",
+    "*/_temporary/*/_temporary/*", "*/_temporary/*/task*", "*/.spark-staging-*",
+)
+
 # How many times larger rows are in a shuffle than in a Parquet file, for tables of numbers and short texts.
 SHUFFLE_PER_FILE = 4.0
 
@@ -67,10 +78,67 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_rows(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows and bytes per Parquet file, from footers and file metadata only."""
+def hidden_files(spark: SparkSession, path: str, patterns: Sequence[str] = HIDDEN) -> DataFrame:
+    """path, bytes, modified of files below `path` under names that a scan leaves out.
+
+    Spark lists what a pattern names itself, so the folders that writers use for files in the
+    making are named by patterns; each is listed like any folder, on the executors when large.
+    """
+    found = None
+    for pattern in patterns:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        try:
+            files = files.load(f"{path}/{pattern}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        files = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+        found = files if found is None else found.unionByName(files)
+    if found is None:
+        return spark.createDataFrame([], "path string, bytes bigint, modified timestamp")
+    return found.distinct()
+
+
+def pack_files(files: DataFrame, target_bytes: int = TARGET_BYTES, chunk: int = PACK_FILES) -> DataFrame:
+    """`files` (partition, path, bytes) with `bin` and `files`, the number of files in that bin.
+
+    First-fit decreasing within a partition: files go by falling size, each into the first bin
+    with room for it. Equal sizes go by path. A partition with many files is dealt to
+    lots of about `chunk` files by hash, packed apart, so no partition is left to one task; at
+    most one bin a lot stays half empty for it. Null sizes count as 0, a null partition is one of its own.
+    """
+    rows = files.select(F.coalesce("partition", F.lit("")).alias("partition"), "path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    counts = rows.groupBy("partition").agg(F.count(F.lit(1)).alias("_files"))
+    lots = F.greatest(F.lit(1), F.ceil(F.col("_files") / F.lit(chunk)))
+    dealt = rows.join(counts, "partition").withColumn("_lot", F.pmod(F.xxhash64("path"), lots).cast("long"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["bytes", "path"], ascending=[False, True])
+        room: list[int] = []
+        bins = []
+        for size in group["bytes"].tolist():
+            place = next((n for n, left in enumerate(room) if left >= size), len(room))
+            if place == len(room):
+                room.append(target_bytes)
+            room[place] -= size
+            bins.append(place)
+        lot = int(group["_lot"].iloc[0])
+        return pd.DataFrame({"partition": group["partition"], "path": group["path"], "bytes": group["bytes"], "bin": [f"{lot}-{b}" for b in bins]})
+
+    packed = dealt.select("partition", "_lot", "path", "bytes").groupBy("partition", "_lot")
+    packed = packed.applyInPandas(pack, "partition string, path string, bytes long, bin string")
+    return packed.withColumn("files", F.count(F.lit(1)).over(Window.partitionBy("partition", "bin")))
+
+
+def file_rows(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """Rows and bytes per Parquet file, from footers and file metadata only.
+
+    `base` is the folder of a table of which `paths` are some folders.
+    """
+    reader = spark.read if base is None else spark.read.option("basePath", base)
     return (
-        spark.read.parquet(*paths)
+        reader.parquet(*paths)
         .groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )

@@ -67,7 +67,48 @@ SELECT o_orderkey AS stage_id, o_orderpriority AS name,
        CAST(CASE WHEN o_orderstatus = 'F' THEN 250 ELSE 1 END AS BIGINT) AS duration_ms
 FROM orders"""
 
+YEARLY = """
+WITH base AS (
+    SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders
+), hit AS (
+    SELECT * FROM base WHERE order_year = 1995 AND o_orderkey % 50 < 2
+), upserted AS (
+    SELECT o_orderkey, o_orderstatus,
+           CASE WHEN o_orderkey IN (SELECT o_orderkey FROM hit) THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, order_year
+    FROM base
+    UNION ALL
+    SELECT o_orderkey + 1000000000, o_orderstatus, o_totalprice, order_year FROM hit
+), kept AS (
+    SELECT * FROM upserted WHERE NOT (order_year = 1997 AND o_orderkey % 3 = 0)
+), touched AS (
+    SELECT DISTINCT order_year FROM hit
+    UNION
+    SELECT DISTINCT order_year FROM upserted WHERE order_year = 1997 AND o_orderkey % 3 = 0
+)"""
+
 ORACLES: dict[str, str] = {
+    "file_level_writes": f"""
+        {YEARLY}
+        SELECT *, order_year NOT IN (SELECT order_year FROM touched) AS untouched FROM kept""",
+    "version_at_commit": f"{YEARLY} SELECT * FROM upserted",
+    "compact_small_files": f"""
+        {YEARLY}
+        SELECT *, TRUE AS untouched FROM base
+        UNION ALL
+        SELECT o_orderkey + 1000000000, o_orderstatus, o_totalprice, order_year, FALSE FROM base
+        WHERE order_year < 1997 AND o_orderkey % 60 < 3""",
+    "versions_by_commit": f"""
+        {YEARLY}, sizes AS (
+            SELECT (SELECT COUNT(DISTINCT order_year) FROM base) AS y, (SELECT COUNT(*) FROM base) AS b,
+                   (SELECT COUNT(*) FROM upserted) AS u, (SELECT COUNT(*) FROM kept) AS k,
+                   (SELECT COUNT(*) FROM base WHERE order_year = 1996) AS more
+        )
+        SELECT CAST(1 AS BIGINT) AS commit_no, 'append' AS operation, y AS live_files, b AS live_rows FROM sizes
+        UNION ALL SELECT 2, 'overwrite', y, u FROM sizes
+        UNION ALL SELECT 3, 'delete', y, k FROM sizes
+        UNION ALL SELECT 4, 'append', y + 1, k + more FROM sizes
+        UNION ALL SELECT 5, 'replace', y, k + more FROM sizes""",
+    "vacuum_live": f"{YEARLY} SELECT order_year, 'removed' AS reason, CAST(1 AS BIGINT) AS candidates FROM touched",
     "gold_daily_revenue": daily("o_orderstatus = 'F'"),
     "silver_orders": """
         SELECT o_orderkey AS id, o_custkey AS user_id, o_orderstatus AS status,

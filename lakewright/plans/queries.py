@@ -19,7 +19,7 @@ from lakewright.operators.timeline import stage_times, timeline
 from lakewright.plans import curate, sync
 from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import export as exports
-from lakewright.sinks import tables
+from lakewright.sinks import tables, versions
 from lakewright.sources import generated, logs, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,6 +348,90 @@ def change_summary(spark, folder):
     return merge.change_summary(before, after, ["o_orderkey"])
 
 
+# Tables with a log of file changes
+
+
+def yearly_orders(spark: SparkSession, folder: str) -> tuple[versions.FileTable, DataFrame]:
+    """Orders in a table with one file a year or more, written as its first commit."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("order_year")
+    )
+    made = versions.FileTable(scratch_path(spark, "versions"), orders.schema, ("order_year",))
+    versions.append_files(spark, made, orders, AS_OF)
+    return made, orders
+
+
+def later(hours: int) -> dt.datetime:
+    return AS_OF + dt.timedelta(hours=hours)
+
+
+def change_orders(spark: SparkSession, made: versions.FileTable, orders: DataFrame) -> None:
+    """Second and third commit: an upsert in one year, a delete in another."""
+    some = orders.filter("order_year = 1995 AND o_orderkey % 50 < 2")
+    doubled = some.withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    new = some.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    versions.upsert_files(spark, made, doubled.unionByName(new), ["o_orderkey"], later(1))
+    versions.delete_files(spark, made, F.expr("order_year = 1997 AND o_orderkey % 3 = 0"), later(2))
+
+
+def first_files(spark: SparkSession, made: versions.FileTable) -> DataFrame:
+    """All rows of the last version, `untouched` where the file is one of the first commit's."""
+    changes = versions.read_changes(spark, made)
+    live, first = versions.live_files(changes), versions.live_files(changes, 1)
+    rows = versions.read_with_file(spark, made, live, "file")
+    marked = rows.join(first.select(F.col("path").alias("file"), F.lit(True).alias("untouched")), "file", "left")
+    return marked.drop("file").withColumn("untouched", F.coalesce("untouched", F.lit(False)))
+
+
+@query
+def file_level_writes(spark, folder):
+    """An upsert and a delete of some keys rewrite the files of their years and no others."""
+    made, orders = yearly_orders(spark, folder)
+    change_orders(spark, made, orders)
+    return first_files(spark, made)
+
+
+@query
+def version_at_commit(spark, folder):
+    """The table as it was after the upsert, read after the delete."""
+    made, orders = yearly_orders(spark, folder)
+    change_orders(spark, made, orders)
+    return versions.read_table(spark, made, 2)
+
+
+@query
+def compact_small_files(spark, folder):
+    """Small files of some years go together; the large ones of the first commit stay as they are."""
+    made, orders = yearly_orders(spark, folder)
+    smallest = versions.live_files(versions.read_changes(spark, made)).agg(F.min("bytes")).first()[0]
+    for n in range(3):
+        extra = orders.filter(f"order_year < 1997 AND o_orderkey % 60 = {n}")
+        versions.append_files(spark, made, extra.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000), later(n))
+    versions.compact_small(spark, made, later(4), target_bytes=smallest)
+    return first_files(spark, made)
+
+
+@query
+def versions_by_commit(spark, folder):
+    """What each commit of a really written history left alive."""
+    made, orders = yearly_orders(spark, folder)
+    change_orders(spark, made, orders)
+    again = orders.filter("order_year = 1996").withColumn("o_orderkey", F.col("o_orderkey") + 2_000_000_000)
+    versions.append_files(spark, made, again, later(3))
+    versions.compact_small(spark, made, later(4))
+    return versions.versions(versions.read_changes(spark, made)).select("commit_no", "operation", "live_files", "live_rows")
+
+
+@query
+def vacuum_live(spark, folder):
+    """Files that the upsert and the delete left behind, found without a list by hand."""
+    made, orders = yearly_orders(spark, folder)
+    change_orders(spark, made, orders)
+    found = versions.vacuum_files(spark, made, dt.datetime(2100, 1, 1))
+    year = F.regexp_extract("path", "order_year=([0-9]+)", 1).cast("int").alias("order_year")
+    return found.groupBy(year, "reason").agg(F.count(F.lit(1)).alias("candidates"))
+
+
 # Commit log
 
 

@@ -56,7 +56,7 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     return read_or_empty(spark, log_path, LOG_SCHEMA)
 
 
-def _evenly(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def evenly(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Rows of one partition value brought together, large values split by AQE.
 
     Without this every task would write a file into every partition directory.
@@ -66,7 +66,7 @@ def _evenly(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Add rows to the table; returns the operation label."""
-    _evenly(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    evenly(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
     return OPERATIONS["append"]
 
 
@@ -74,14 +74,14 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = (), dynami
     """Replace the table, or with `dynamic` only the partitions `df` has rows for."""
     if dynamic and not partition_by:
         raise ValueError("dynamic overwrite needs partition columns")
-    writer = _evenly(df, partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    writer = evenly(df, partition_by).write.mode("overwrite").partitionBy(*partition_by)
     writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(path)
     return OPERATIONS["insert_overwrite"]
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Create the table at `path`, which must be new; the old version stays readable."""
-    _evenly(df, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    evenly(df, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return OPERATIONS["insert_overwrite"]
 
 
