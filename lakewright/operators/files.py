@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakewright.functions.formats import format_mtime, human_size, type_symbol
 
@@ -131,12 +132,13 @@ def pack_files(files: DataFrame, target_bytes: int = TARGET_BYTES, chunk: int =
     return packed.withColumn("files", F.count(F.lit(1)).over(Window.partitionBy("partition", "bin")))
 
 
-def file_rows(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+def file_rows(spark: SparkSession, *paths: str, base: str | None = None, schema: StructType | None = None) -> DataFrame:
     """Rows and bytes per Parquet file, from footers and file metadata only.
 
-    `base` is the folder of a table of which `paths` are some folders.
+    `base` is the folder of a table of which `paths` are some folders; with a `schema` they may be empty.
     """
     reader = spark.read if base is None else spark.read.option("basePath", base)
+    reader = reader if schema is None else reader.schema(schema)
     return (
         reader.parquet(*paths)
         .groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))

@@ -108,6 +108,33 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 3, 'delete', y, k FROM sizes
         UNION ALL SELECT 4, 'append', y + 1, k + more FROM sizes
         UNION ALL SELECT 5, 'replace', y, k + more FROM sizes""",
+    "rows_unchanged": """
+        SELECT unnest(['compacted', 'one_changed']) AS "check", COUNT(*) AS observed, COUNT(*) AS expected,
+               unnest([TRUE, FALSE]) AS passed FROM lineitem""",
+    "changed_rows": """
+        WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), new AS (
+            SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 500 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+            FROM old WHERE o_orderkey % 500 <> 8
+            UNION ALL SELECT * FROM old WHERE o_orderkey % 500 = 9
+        ), counted AS (
+            SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(SUM(b) AS BIGINT) AS rows_before, CAST(SUM(a) AS BIGINT) AS rows_after
+            FROM (SELECT *, 1 AS b, 0 AS a FROM old UNION ALL SELECT *, 0, 1 FROM new) GROUP BY ALL
+        )
+        SELECT * FROM counted WHERE rows_before <> rows_after""",
+    "differing_keys": """
+        SELECT o_orderkey, 'gone' AS change FROM orders WHERE o_orderkey % 300 = 5
+        UNION ALL SELECT o_orderkey + 1000000000, 'new' FROM orders WHERE o_orderkey % 300 = 6""",
+    "sync_with_deletions": """
+        WITH base AS (
+            SELECT *, CAST(year(o_orderdate) AS INTEGER) AS order_year, max(o_orderdate) OVER () AS mark FROM orders
+        ), marked AS (
+            SELECT *, order_year = 1996 AND o_orderkey % 40 = 3 AS is_deleted,
+                   CASE WHEN o_orderkey % 100 = 1 THEN o_orderdate + INTERVAL 4000 DAYS ELSE o_orderdate END AS moved FROM base
+        )
+        SELECT o_orderkey, order_year, is_deleted,
+               CASE WHEN o_orderkey % 100 = 1 AND NOT is_deleted AND moved >= mark THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+               CASE WHEN NOT is_deleted AND moved >= mark THEN moved ELSE o_orderdate END AS o_orderdate
+        FROM marked""",
     "vacuum_live": f"{YEARLY} SELECT order_year, 'removed' AS reason, CAST(1 AS BIGINT) AS candidates FROM touched",
     "gold_daily_revenue": daily("o_orderstatus = 'F'"),
     "silver_orders": """

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions import formats
-from lakewright.operators import aggregates, checks, files, merge, ordering, skew, snapshots
+from lakewright.operators import aggregates, checks, files, fingerprint, merge, ordering, skew, snapshots
 from lakewright.operators.timeline import stage_times, timeline
-from lakewright.plans import curate, sync
+from lakewright.plans import curate, reconcile, sync
 from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import export as exports
 from lakewright.sinks import tables, versions
@@ -782,6 +782,60 @@ def row_count_check(spark, folder):
     return checks.row_count_check(shop, curate.silver_orders(shop))
 
 
+@query
+def rows_unchanged(spark, folder):
+    """Line items through many small files and a compaction, and with one price changed."""
+    items = table(spark, folder, "lineitem")
+    src, dst = scratch_path(spark, "small"), scratch_path(spark, "packed")
+    write_small_files(items, src, "l_returnflag")
+    packed = files.compact_files(spark, src, dst)
+    first = items.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("f")).select("f.*")
+    odd = items.join(F.broadcast(first.withColumn("_odd", F.lit(1.0))), ["l_orderkey", "l_linenumber"], "left")
+    odd = odd.withColumn("l_tax", F.col("l_tax") + F.coalesce("_odd", F.lit(0.0))).select(*items.columns)
+    return fingerprint.rows_unchanged(items, packed, "compacted").unionByName(
+        fingerprint.rows_unchanged(items, odd, "one_changed")
+    )
+
+
+@query
+def changed_rows(spark, folder):
+    """Orders of one status with a new price, some rows twice and some gone."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 500 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    after = orders.withColumn("o_totalprice", price).filter("o_orderkey % 500 <> 8")
+    after = after.unionByName(orders.filter("o_orderkey % 500 = 9"))
+    return fingerprint.changed_rows(orders, after)
+
+
+@query
+def differing_keys(spark, folder):
+    """Order keys at the source, where some went and some came, against those held."""
+    held = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    there = held.filter("o_orderkey % 300 <> 5")
+    new = held.filter("o_orderkey % 300 = 6").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    return reconcile.differing_keys(there.unionByName(new), held, ["o_orderkey"])
+
+
+@query
+def sync_with_deletions(spark, folder):
+    """Two runs of a keyed sync: between them orders change, come and go at the source."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderdate", F.year("o_orderdate").alias("order_year"), F.lit(False).alias("is_deleted")
+    )
+    source = orders.drop("is_deleted")
+    made = versions.FileTable(scratch_path(spark, "synced"), orders.schema, ("order_year",))
+    reconcile.sync_files(spark, made, source, ["o_orderkey"], "o_orderdate", "is_deleted", later(0))
+    moved = F.col("o_orderdate") + F.expr("INTERVAL 4000 DAYS")
+    second = source.filter("NOT (order_year = 1996 AND o_orderkey % 40 = 3)").withColumns(
+        {
+            "o_totalprice": F.when(F.col("o_orderkey") % 100 == 1, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")),
+            "o_orderdate": F.when(F.col("o_orderkey") % 100 == 1, moved).otherwise(F.col("o_orderdate")),
+        }
+    )
+    reconcile.sync_files(spark, made, second, ["o_orderkey"], "o_orderdate", "is_deleted", later(1))
+    return versions.read_table(spark, made)
+
+
 @query
 def increase_check(spark, folder):
     orders = table(spark, folder, "orders")

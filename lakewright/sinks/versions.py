@@ -138,7 +138,7 @@ def _new_commit() -> str:
 
 def _added(spark: SparkSession, table: FileTable, commit: str) -> DataFrame:
     """Files of a commit that hold rows."""
-    return file_rows(spark, f"{table.data}/{commit}")
+    return file_rows(spark, f"{table.data}/{commit}", base=table.data, schema=table.schema)
 
 
 def append_files(spark: SparkSession, table: FileTable, rows: DataFrame, as_of: dt.datetime) -> Written:
@@ -257,7 +257,7 @@ def compact_small(
     rows = read_with_file(spark, table, chosen, name).join(bins.select(F.col("path").alias(name), place.alias(COMMIT)), name)
     rows = rows.drop(name).repartition(count, COMMIT)
     rows.write.mode("append").partitionBy(COMMIT, *table.partition_by).parquet(table.data)
-    added = file_rows(spark, f"{table.data}/{COMMIT}={group}*", base=table.data)
+    added = file_rows(spark, f"{table.data}/{COMMIT}={group}*", base=table.data, schema=table.schema)
     return _record(spark, table, OPERATIONS["compaction"], as_of, live, added, chosen)
 
 
