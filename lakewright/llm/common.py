@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import zipfile
@@ -32,6 +33,10 @@ def entering(operator: str) -> None:
             empty()
         _LAST[:] = [operator]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakewright.llm import pii, simhash
+from lakewright.llm import pii, similar
 from lakewright.llm.queries import ORACLES, QUERIES
 from lakewright.llm.tokens import encode, vocabulary_path
 from tests.oracle import compare, connect
@@ -59,11 +59,12 @@ def test_every_stage_decides_as_plain_python_does(spark, docs, rows):
     assert all(r.lang == truth[r.doc_id] for r in kept.collect() if r.doc_id in truth)
 
     single = run(spark, "simhash_near_dedup", kept)
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in kept.collect() if r.doc_id is not None}
-    root = {i: i for i in prints}
-    for _ in prints:
-        root = {i: min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
-    assert {r.doc_id for r in single.collect()} == {i for i in prints if root[i] == i} | {None}
+    sets = {r.doc_id: similar.shingle_set(r.text) for r in kept.collect() if r.doc_id is not None}
+    root = {i: i for i in sets}
+    for _ in sets:
+        root = {i: min(root[j] for j in sets if similar.similarity(sets[i], sets[j]) >= 0.8) for i in sets}
+    assert len(set(root.values())) < len(sets)
+    assert {r.doc_id for r in single.collect()} == {i for i in sets if root[i] == i} | {None}
 
     clean = run(spark, "pii", single)
     before, after = ({r.doc_id: r for r in df.collect()} for df in (single, clean))
@@ -154,4 +155,9 @@ def test_approximate_query_finds_nine_in_ten(spark, folder):
 
 
 def test_columns_may_clash_with_internal_names(spark, docs):
-    assert docs.where(F.col("_found") == 1).count() == docs.count()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name in ("language_id", "simhash_near_dedup", "pii", "mixing"):
+        with_more, without = run(spark, name, docs), run(spark, name, plain)
+        assert with_more.columns == docs.columns and without.columns == plain.columns
+        assert sorted(with_more.select("doc_id", "text", "lang").collect(), key=repr) == sorted(without.select("doc_id", "text", "lang").collect(), key=repr)
+        assert with_more.where("_found = 1 and _copy = 'x' and fp = 2 and key = 'k'").count() == without.count()
