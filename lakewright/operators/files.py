@@ -171,7 +171,7 @@ def vacuum_candidates(
     return old.join(live.select("path").distinct(), "path", "left_anti")
 
 
-def _private_session(spark: SparkSession, settings: dict[str, object]) -> SparkSession:
+def private_session(spark: SparkSession, settings: dict[str, object]) -> SparkSession:
     """A session with the caller's SQL settings and some of its own, which stay out of the caller's."""
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
@@ -209,7 +209,7 @@ def compact_files(
     """
     cols = partition_columns(spark, src) if partition_by is None else list(partition_by)
     if not cols:
-        packing = _private_session(
+        packing = private_session(
             spark,
             {
                 "spark.sql.files.maxPartitionBytes": target_bytes,
@@ -220,7 +220,7 @@ def compact_files(
         packing.read.parquet(src).write.mode("errorifexists").parquet(dst)
         return spark.read.parquet(dst)
     size = max(1, int(target_bytes * shuffle_per_file))
-    balancing = _private_session(
+    balancing = private_session(
         spark,
         {
             "spark.sql.adaptive.enabled": "true",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
 KNOWN = """
 known AS (
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
@@ -67,6 +72,12 @@ SELECT o_orderkey AS stage_id, o_orderpriority AS name,
        CAST(CASE WHEN o_orderstatus = 'F' THEN 250 ELSE 1 END AS BIGINT) AS duration_ms
 FROM orders"""
 
+HOT = """
+WITH hot AS (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+           CASE WHEN l_linenumber <= 2 THEN (SELECT min(l_orderkey) FROM lineitem) ELSE l_orderkey END AS o_orderkey FROM lineitem
+)"""
+
 YEARLY = """
 WITH base AS (
     SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders
@@ -108,6 +119,24 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 3, 'delete', y, k FROM sizes
         UNION ALL SELECT 4, 'append', y + 1, k + more FROM sizes
         UNION ALL SELECT 5, 'replace', y, k + more FROM sizes""",
+    "log_records": """
+        WITH traces AS (
+            SELECT l_orderkey, COUNT(*) AS n, string_agg(chr(10) || chr(9) || 'at part ' || l_partkey || ' of ' || l_suppkey, ''
+                   ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem GROUP BY 1
+        )
+        SELECT o_orderdate + INTERVAL 10 YEARS AS ts, 'ERROR' AS level, 'Order' AS component, 'key ' || o_orderkey || coalesce(t, '') AS message,
+               coalesce(n, 0) + 1 AS line_count
+        FROM orders LEFT JOIN traces ON l_orderkey = o_orderkey""",
+    "salted_join": f"{HOT} SELECT hot.*, o_orderstatus FROM hot JOIN orders USING (o_orderkey)",
+    "salted_totals": f"""
+        {HOT} SELECT o_orderkey, COUNT(*) AS items, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, MAX(l_linenumber) AS last_line,
+                     COUNT(DISTINCT l_partkey) AS parts FROM hot GROUP BY 1""",
+    "balanced_reads": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1000.0 WHEN o_orderkey % 10 <> 1 THEN o_totalprice END::DOUBLE AS price, TRUE AS even
+        FROM orders""",
+    "log_page": """
+        SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, lpad(event_id::VARCHAR, 12, '0') || ' ' || event_type AS value
+        FROM events ORDER BY event_id LIMIT 500 OFFSET (SELECT COUNT(*) // 2 FROM events)""",
     "rows_unchanged": """
         SELECT unnest(['compacted', 'one_changed']) AS "check", COUNT(*) AS observed, COUNT(*) AS expected,
                unnest([TRUE, FALSE]) AS passed FROM lineitem""",
@@ -406,11 +435,9 @@ ORACLES: dict[str, str] = {
         )
         SELECT l_orderkey, l_linenumber, l_partkey FROM items l
         WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)""",
-    "file_inventory": """
-        SELECT unnest([
-            'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
-            'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'
-        ]) || '.parquet' AS file_name, TRUE AS has_bytes""",
+    "file_inventory": " UNION ALL ".join(
+        f"SELECT '{name}.parquet' AS file_name, COUNT(*) AS row_count, TRUE AS same_bytes FROM {name}" for name in TABLES
+    ),
     "sync_updated": """
         SELECT o_orderkey, o_orderstatus,
                CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,

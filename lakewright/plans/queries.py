@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions import formats
-from lakewright.operators import aggregates, checks, files, fingerprint, merge, ordering, skew, snapshots
+from lakewright.operators import aggregates, checks, files, fingerprint, merge, ordering, salting, skew, snapshots
 from lakewright.operators.timeline import stage_times, timeline
 from lakewright.plans import curate, reconcile, sync
+from lakewright.plans.oracles import TABLES
 from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import export as exports
 from lakewright.sinks import tables, versions
-from lakewright.sources import generated, logs, metrics
+from lakewright.sources import generated, logs, metrics, ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,6 +436,34 @@ def vacuum_live(spark, folder):
 # Commit log
 
 
+@query
+def balanced_reads(spark, folder):
+    """Orders read in parts of about equal size by a skewed column with nulls; every row comes once."""
+    orders = table(spark, folder, "orders")
+    price = F.when(F.col("o_orderkey") % 3 == 0, 1000.0).when(F.col("o_orderkey") % 10 != 1, F.col("o_totalprice"))
+    skewed = orders.select("o_orderkey", price.alias("price"))
+    found = ranges.plan_ranges(skewed, "price", 16)
+    parts = ranges.read_ranges(skewed, found, "part")
+    rows = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    hot = skewed.filter("price = 1000").count()
+    most = rows.agg(F.max("n")).first()[0]
+    even = F.lit(most <= max(hot, 2 * skewed.count() / 16))
+    return parts.select("o_orderkey", "price", even.alias("even"))
+
+
+@query
+def log_page(spark, folder):
+    """A page deep in a log of several files, found by an index of lines; only its files are read."""
+    events = table(spark, folder, "events")
+    line = F.concat(F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit(" "), "event_type")
+    path = scratch_path(spark, "lines")
+    ordered = events.select("event_id", line.alias("value")).repartitionByRange(20, "event_id").sortWithinPartitions("event_id")
+    ordered.select("value").write.text(path)
+    index = logs.line_index(spark, path)
+    total = index.agg(F.sum("lines")).first()[0]
+    return logs.line_page(spark, index, total // 2, 500)
+
+
 @query
 def recent_snapshots(spark, folder):
     return snapshots.recent_snapshots(events_log(table(spark, folder, "events")))
@@ -614,6 +643,44 @@ def parse_driver_log(spark, folder):
     return logs.parse_driver_log(lines)
 
 
+@query
+def log_records(spark, folder):
+    """Orders as log records, one stack-trace line for each item, read back from text files in blocks."""
+    place = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    items = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(place.alias("items"))
+    trace = F.transform("items", lambda i: F.concat(F.lit("\n\tat part "), i["l_partkey"].cast("string"), F.lit(" of "), i["l_suppkey"].cast("string")))
+    orders = table(spark, folder, "orders").join(items, "o_orderkey", "left")
+    # Years have two digits there, of this century.
+    moment = F.col("o_orderdate") + F.expr("INTERVAL 10 YEARS")
+    line = F.concat(
+        F.date_format(moment, "yy/MM/dd HH:mm:ss"), F.lit(" ERROR Order: key "), F.col("o_orderkey").cast("string"),
+        F.coalesce(F.array_join(trace, ""), F.lit("")),
+    )
+    path = scratch_path(spark, "logs")
+    orders.select(line.alias("value")).write.text(path)
+    small = files.private_session(spark, {"spark.sql.files.maxPartitionBytes": 64 * 1024, "spark.sql.files.openCostInBytes": 0})
+    return logs.log_records(small, path).drop("file")
+
+
+def hot_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with a third or so of them under one order."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    first = items.agg(F.min("l_orderkey")).first()[0]
+    return items.withColumn("o_orderkey", F.when(F.col("l_linenumber") <= 2, F.lit(first)).otherwise(F.col("l_orderkey")))
+
+
+@query
+def salted_join(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    return salting.salted_join(hot_items(spark, folder), orders, ["o_orderkey"], task_rows=2_000)
+
+
+@query
+def salted_totals(spark, folder):
+    totals = {"items": ("count", F.lit(1)), "quantity": ("sum", F.col("l_quantity").cast("long")), "last_line": ("max", F.col("l_linenumber"))}
+    return salting.salted_aggregate(hot_items(spark, folder), ["o_orderkey"], totals, ("parts", "l_partkey"))
+
+
 # Files and partitions
 
 
@@ -632,9 +699,15 @@ def rows_per_file(spark, folder):
 
 @query
 def file_inventory(spark, folder):
-    """Name and presence of bytes for the files of the folder; sizes and times are the writer's."""
-    found = files.file_inventory(spark, folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), (F.col("bytes") > 0).alias("has_bytes"))
+    """Name and rows of the files of the folder, listed and read; sizes and times are the writer's."""
+    found = files.file_inventory(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "bytes")
+    counted = None
+    for name in TABLES:
+        part = files.file_rows(spark, f"{folder}/{name}.parquet")
+        counted = part if counted is None else counted.unionByName(part)
+    counted = counted.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("bytes").alias("_read"), "row_count")
+    same = (F.col("bytes") == F.col("_read")).alias("same_bytes")
+    return found.join(counted, "file_name", "left").select("file_name", "row_count", same)
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions.literals import typed_literal
 from lakewright.operators.merge import merge_upsert
-from lakewright.sinks.tables import OPERATIONS, append, publish, read_or_empty, record_commit, replace_table
+from lakewright.sinks.tables import OPERATIONS, append, merge_partitions, publish, read_or_empty, record_commit, replace_table
 from lakewright.sources.relational import jdbc_from_dsn, read_source
 
 
@@ -112,6 +112,10 @@ def sync_one(spark: SparkSession, job: SyncJob, log_path: str, as_of: dt.datetim
     elif job.keys:
         existing = read_or_empty(spark, job.target, rows.schema)
         fresh = incremental_extract(rows, existing, job.watermark_column, inclusive=True)
+        if job.partition_by and set(job.partition_by) <= set(job.keys) and not existing.isEmpty():
+            merge_partitions(spark, job.target, fresh, job.keys, job.partition_by)
+            record_commit(spark, log_path, job.name, OPERATIONS["merge"], as_of)
+            return
         replace_table(merge_upsert(existing, fresh, job.keys), staged, job.partition_by)
         publish(spark, staged, job.target)
         operation = OPERATIONS["merge"]
