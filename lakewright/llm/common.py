@@ -39,10 +39,18 @@ def entering(operator: str) -> None:
             trim(0)
 
 
+#: Bytes of an Arrow batch between Spark and Python; Spark's own limit is 64 MiB, which a task
+#: holds several times over on both sides.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's code to the Python workers of a running application, once, as
-    `spark-submit --py-files` would."""
+    `spark-submit --py-files` would, and bounds its Arrow batches unless the application does."""
     context = spark.sparkContext
+    if BATCH_SETTING not in dict(context.getConf().getAll()):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if getattr(context, "_lakewright_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
