@@ -423,3 +423,23 @@ def test_a_session_without_checkpoint_folder_gets_one_only_locally():
         scratch_path(Session("yarn"), "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session("local-cluster[2,1,1024]"), "x")
+
+
+def test_keyed_sync_rewrites_only_partitions_of_new_marks(spark, tmp_path):
+    src, dst, log = (str(tmp_path / n) for n in ("src", "dst", "log"))
+    schema = "id bigint, p string, mark bigint"
+    data = [(i, f"p{i % 3}", i) for i in range(9)]
+    spark.createDataFrame(data, schema).write.parquet(src)
+    job = sync.SyncJob(
+        "t", "parquet", {"path": src}, dst, mode="incremental", watermark_column="mark", keys=["id", "p"], partition_by=["p"]
+    )
+    sync.sync_one(spark, job, log, NOW)
+    before = set(parts(dst))
+    spark.createDataFrame([(1, "p1", 20), (30, "p2", 21)], schema).write.mode("append").parquet(src)
+    sync.sync_one(spark, job, log, NOW)
+    want = [r for r in data if r[0] != 1] + [(1, "p1", 20), (30, "p2", 21)]
+    assert rows(spark.read.parquet(dst).select("id", "p", "mark")) == sorted(want, key=repr)
+    same = before & set(parts(dst))
+    assert same and all("p=p0" in path for path in same)
+    sync.sync_one(spark, job, log, NOW)
+    assert rows(spark.read.parquet(dst).select("id", "p", "mark")) == sorted(want, key=repr)
