@@ -39,7 +39,7 @@ class Limits:
 
 @dataclass
 class Item:
-    """A piece of a document; `ids` and `loss` are its own, `start` its place there."""
+    """A piece of a document; `ids` and `loss` (0 or 1 each) are its own, `start` its place there."""
 
     doc: object
     start: int
@@ -47,8 +47,12 @@ class Item:
     loss: np.ndarray
     doc_tokens: int
 
+    def bearing(self) -> int:
+        """Its loss-bearing tokens."""
+        return int(np.count_nonzero(self.loss))
+
     def demand(self) -> tuple[int, int, int]:
-        return len(self.ids), 1, int(self.loss.sum())
+        return len(self.ids), 1, self.bearing()
 
     def cut(self, length: int) -> tuple[Item, Item]:
         return (
@@ -62,6 +66,8 @@ def fitting_prefix(item: Item, room: np.ndarray) -> int:
     if room[1] < 1:
         return 0
     longest = min(len(item.ids), int(room[0]))
+    if np.count_nonzero(item.loss[:longest]) <= room[2]:
+        return longest
     spent = np.cumsum(item.loss[:longest])
     return int(np.searchsorted(spent, room[2], side="right")) if longest else 0
 
@@ -154,7 +160,7 @@ def _pieces(sequences: Iterator[list[Item]], first: int) -> Iterator[tuple]:
         offset = 0
         for item in sequence:
             crc = zlib.crc32(np.ascontiguousarray(item.ids, "<u4").tobytes())
-            yield item.doc, item.start, len(item.ids), crc, item.doc_tokens, number, offset, int(item.loss.sum())
+            yield item.doc, item.start, len(item.ids), crc, item.doc_tokens, number, offset, item.bearing()
             offset += len(item.ids)
 
 

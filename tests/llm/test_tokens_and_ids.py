@@ -12,6 +12,7 @@ from lakewright.llm import binary_ids, packing
 from lakewright.llm.tokens import encode, vocabulary_path
 
 AWKWARD = ["", " ", "  a", "a b", "a  b\n c", "don't  stop", "x" * 5000, "日本語 テスト", "café, naïve. 12²", "a \tb", "\x01odd", "end\nof. line"]
+AWKWARD += ["A, b; c.\nD", "a,\n\nb", "a.\n b", "\x02, a", "x_, y", ". a.\n", "it's, 'tis", "12. 3,\n4", "a.b. c", "\n.\na"]
 
 
 def whole(texts):
@@ -21,7 +22,7 @@ def whole(texts):
 
 def test_cached_ids_are_those_of_whole_texts():
     rng = random.Random(1)
-    letters = "ab é日'’s.,!?_-\n\t  12²ⅧÄ́ \x01\x85%*"
+    letters = "ab é日'’s.,!?_-\n\t  12²ⅧÄ́ \x01\x02\x85%*;:"
     texts = AWKWARD + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
     assert [x.tolist() for x in encode(texts, vocabulary_path())] == whole(texts)
     assert next(encode([None], vocabulary_path())).tolist() == []
