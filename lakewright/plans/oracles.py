@@ -197,6 +197,15 @@ ORACLES: dict[str, str] = {
                CASE WHEN s.o_orderkey IS NULL THEN t.o_orderstatus ELSE s.o_orderstatus END AS o_orderstatus,
                CASE WHEN t.o_orderkey IS NULL THEN s.o_totalprice ELSE t.o_totalprice END AS o_totalprice
         FROM known t FULL JOIN changed s ON t.o_orderkey = s.o_orderkey""",
+    "merge_bucketed": f"""
+        WITH {KNOWN}, {CHANGED}
+        SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey,
+               CASE WHEN t.o_orderkey IS NULL THEN s.o_custkey ELSE t.o_custkey END AS o_custkey,
+               CASE WHEN e.o_orderkey IS NOT NULL THEN 'Y'
+                    WHEN s.o_orderkey IS NULL THEN t.o_orderstatus ELSE s.o_orderstatus END AS o_orderstatus,
+               CASE WHEN t.o_orderkey IS NULL THEN s.o_totalprice ELSE t.o_totalprice END AS o_totalprice
+        FROM known t FULL JOIN changed s ON t.o_orderkey = s.o_orderkey
+        LEFT JOIN orders e ON e.o_orderkey = t.o_orderkey AND e.o_orderdate < TIMESTAMP '1998-01-01'""",
     "merge_daily_idempotent": daily("o_orderstatus = 'F'"),
     "merge_partitions": """
         SELECT o_orderkey,

@@ -20,7 +20,7 @@ from lakewright.plans import curate, reconcile, sync
 from lakewright.plans.oracles import TABLES
 from lakewright.session import ensure_checkpoint_dir, scratch_path
 from lakewright.sinks import export as exports
-from lakewright.sinks import tables, versions
+from lakewright.sinks import bucketed, tables, versions
 from lakewright.sources import generated, logs, metrics, ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,19 @@ def merge_upsert(spark, folder):
     return merge.merge_upsert(known_orders(orders), changed_orders(orders), ["o_orderkey"], ["o_orderstatus"])
 
 
+@query
+def merge_bucketed(spark, folder):
+    """Two merges in a row into a table in buckets, which shuffle their sources only."""
+    orders = table(spark, folder, "orders")
+    own = scratch_path(spark, "bucketed")
+    names = [f"orders_{own.rsplit('-', 1)[1]}_{step}" for step in range(3)]
+    held = bucketed.write_bucketed(known_orders(orders), names[0], f"{own}/0", ["o_orderkey"], 16)
+    held = bucketed.merge_bucketed(spark, held, changed_orders(orders), names[1], f"{own}/1", ["o_orderstatus"])
+    early = orders.filter(F.col("o_orderdate") < ntz(FIRST_CHANGE)).withColumn("o_orderstatus", F.lit("Y"))
+    held = bucketed.merge_bucketed(spark, held, early, names[2], f"{own}/2", ["o_orderstatus"])
+    return spark.table(held.name)
+
+
 @query
 def merge_daily_idempotent(spark, folder):
     """The gold table after merging the same day totals twice."""
