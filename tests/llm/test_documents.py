@@ -396,3 +396,20 @@ def test_licences_are_named_and_other_lines_left_alone(frame):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert licences.scan(frame([]), licences.train(table)).count() == 0
+
+
+def test_background_lines_are_distinct_and_least_by_hash(spark, frame):
+    texts = ["one line that is long enough\n" * 40, None, "", "\n".join(f"line number {i} of some text" for i in range(50))]
+    lines = licences.paragraphs(frame(list(enumerate(texts)))).where(F.length("line").between(15, 2000))
+    got = [r.line for r in licences.background_lines(lines, 20).collect()]
+    every = {r.line: r.hash for r in lines.select("line", F.xxhash64("line").alias("hash")).collect()}
+    assert len(every) == 51
+    assert got == sorted(every, key=every.get)[:20]
+    assert licences.background_lines(lines, 500).count() == 51
+    assert licences.background_lines(lines.limit(0), 20).count() == 0
+
+
+def test_licences_without_corpus(frame):
+    model = licences.train(frame([]))
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    assert [r.doc_id for r in licences.scan(frame([(1, text), (2, "some other words in a row here")]), model).collect()] == [1]
