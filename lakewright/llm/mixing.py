@@ -5,8 +5,10 @@ the source. Its whole part is taken outright; the fraction is an inclusion
 probability. The flight phase moves these probabilities along the null space of two
 constraints, the number of documents and their tokens, until each is 0 or 1 or too
 few are left to move. Documents are dealt to blocks of one source, so a source of any
-size is spread; a block leaves two undecided documents at most, which meet in the
-next level. The last level lands: it tries every choice for the few documents left.
+size is spread; a block leaves a few undecided documents, large ones and some of all
+sizes, which meet in the next level. The last level lands: every choice for the few
+largest documents is tried, the probabilities of the others make up for what is
+missing, and the last of these land likewise.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import WORD, free_name, pin, text_or_empty
 
 BLOCK_ROWS = 4096
-LANDING = 12
+LANDING = 16
+#: Equal rows numbered by one task; a number of that many is one element of a second series.
+LOT = 1 << 16
 NEAR = 1e-9
 
 
@@ -77,21 +81,34 @@ def _step(p: list[float], s: list[float], pick: random.Random) -> None:
             p[i] = float(p[i] > 0.5)
 
 
+def _spared(units: list[int], size: np.ndarray, count: int) -> set[int]:
+    """`count` of the units: half of them the largest, the others evenly spread below."""
+    by_size = sorted(units, key=lambda i: -size[i])
+    large, spread = by_size[: count - count // 2], count // 2
+    rest = by_size[len(large) :]
+    return {*large, *(rest[j * len(rest) // spread] for j in range(spread))}
+
+
 def flight(prob: np.ndarray, size: np.ndarray, seed: int, left: int = LANDING) -> np.ndarray:
     """Probabilities after the flight phase: all 0 or 1 but for `left` units at most.
 
     Both the sum of the probabilities and the expected tokens stay as they were, up to
-    rounding. Empty input gives empty output.
+    rounding. Units of the largest sizes, and as many of all sizes below, take no part and
+    stay open: a landing with small units alone could not make up for one large unit.
+    Empty input gives empty output.
     """
     prob = prob.astype(float).copy()
     prob[prob < NEAR] = 0.0
     prob[prob > 1 - NEAR] = 1.0
     pick = random.Random(seed)
     open_units = [int(i) for i in np.flatnonzero((prob > 0) & (prob < 1))]
+    if len(open_units) <= left:
+        return prob
+    spared = _spared(open_units, size, max(0, left - 2))
     held: list[int] = []
-    waiting = iter(open_units)
-    remaining = len(open_units)
-    while remaining > max(2, left):
+    waiting = iter(i for i in open_units if i not in spared)
+    remaining = len(open_units) - len(spared)
+    while remaining > 2:
         while len(held) < 3:
             held.append(next(waiting))
         p = [prob[i] for i in held]
@@ -118,14 +135,45 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return prob
 
 
-def _fly(pdf: pd.DataFrame, left: int, final: bool) -> pd.DataFrame:
+def _shifted(prob: np.ndarray, size: np.ndarray, gap: float) -> np.ndarray:
+    """Probabilities moved together until the expected tokens have grown by `gap`, or as far
+    as they can within 0 and 1. Unchanged without a gap."""
+    if not len(prob) or abs(gap) < NEAR:
+        return prob
+    want, low, high = prob @ size + gap, -1.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.clip(prob + middle, 0, 1) @ size < want else (low, middle)
+    return np.clip(prob + high, 0.0, 1.0)
+
+
+def settle(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """The flight and landing that decide all units of a source.
+
+    The largest land first, and the probabilities of the others make up for the tokens that
+    this adds or takes; then the others fly and land. Empty input gives empty output.
+    """
+    prob = flight(prob, size, seed, len(prob))
+    rest = np.flatnonzero((prob > 0) & (prob < 1))
+    by_size = rest[np.argsort(-size[rest], kind="stable")]
+    large, others = by_size[: LANDING - 2], by_size[LANDING - 2 :]
+    expected = prob[large] @ size[large]
+    prob[large] = land(prob[large], size[large])
+    moved = _shifted(prob[others], size[others], expected - prob[large] @ size[large])
+    prob[others] = land(flight(moved, size[others], seed), size[others])
+    return prob
+
+
+def _fly(pdf: pd.DataFrame, final: bool) -> pd.DataFrame:
+    """One block; that of a source without others waits for the final level."""
+    if not final and pdf["_blocks"].iloc[0] == 1:
+        return pdf
     pdf = pdf.sort_values(["_key", "size"], kind="stable").reset_index(drop=True)
     seed = int(pdf["_key"].iloc[0]) & 0xFFFFFFFF
     order = np.random.default_rng(seed).permutation(len(pdf))
     prob, size = pdf["_p"].to_numpy()[order], pdf["size"].to_numpy()[order]
-    prob = flight(prob, size, seed, left)
     back = np.empty(len(pdf))
-    back[order] = land(prob, size) if final else prob
+    back[order] = settle(prob, size, seed) if final else flight(prob, size, seed)
     pdf["_p"] = back
     return pdf
 
@@ -146,16 +194,19 @@ def mix(
     their layout: blocks and seeds come from hashes of doc_id and text.
     An empty table gives an empty result.
     """
-    rows = pin(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            F.xxhash64("text").alias("text_key"),
-            F.xxhash64("doc_id", "text").alias("_key"),
-            count_words(text_or_empty()).alias("size"),
-        ),
-        "mix-sizes",
+    sized = docs.select(
+        F.col("doc_id"),
+        F.col("source"),
+        F.xxhash64("text").alias("text_key"),
+        count_words(text_or_empty()).alias("size"),
     )
+    # Equal rows are counted before the shuffle and then numbered, so that each is a unit with a
+    # key of its own and copies of one row are spread over the blocks.
+    equal = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_equal"))
+    lots = equal.select("*", F.explode(F.expr(f"sequence(0L, (_equal - 1) div {LOT})")).alias("_lot"))
+    numbers = F.explode(F.expr(f"sequence(_lot * {LOT}, least(_equal, (_lot + 1) * {LOT}) - 1)")).alias("_number")
+    rows = lots.select(*sized.columns, numbers)
+    rows = pin(rows.select(*sized.columns, F.xxhash64("doc_id", "text_key", "_number").alias("_key")), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sources = pin(sources, "mix-sources")
     targets = source_targets(sources, weights, repeat).withColumnRenamed("source", "_source")
@@ -177,7 +228,7 @@ def mix(
         block = F.pmod(F.xxhash64("_key", F.lit(level)), F.col("_blocks"))
         units = units.withColumn("_block", block)
         flown = pin(
-            units.groupBy("source", "_block").applyInPandas(lambda pdf: _fly(pdf, LANDING, False), units.schema),
+            units.groupBy("source", "_block").applyInPandas(lambda pdf: _fly(pdf, False), units.schema),
             f"mix-flight-{level}",
         )
         decided = F.col("_p").isin(0.0, 1.0)
@@ -191,7 +242,7 @@ def mix(
         units = rest.drop("_block", "_blocks").join(counts, F.col("source").eqNullSafe(F.col("_counted"))).drop("_counted")
         units = units.select(*[c for c in flown.columns if c != "_block"])
         level += 1
-    done.append(rest.groupBy("source").applyInPandas(lambda pdf: _fly(pdf, LANDING, True), rest.schema))
+    done.append(rest.groupBy("source").applyInPandas(lambda pdf: _fly(pdf, True), rest.schema))
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
@@ -204,11 +255,35 @@ def mix(
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as `mixed` takes it.
 
-    Rows are found by doc_id and text; rows equal in both share one decision.
+    Rows are found by doc_id and text. Rows equal in both share the copies that the mix
+    gives them together: as many each, and one more for the first of them by their other
+    columns. A null text is a text like any other, a null doc_id an id. An empty table gives
+    no rows. Other columns stay as they are.
     """
-    own, text, copies, copy = (free_name(docs, name) for name in ("_id", "_text", "_copies", "_copy"))
-    chosen = mixed.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(text)).agg(F.max("copies").alias(copies))
-    chosen = chosen.where(F.col(copies) > 0)
+    own, text, copies, rows = (free_name(docs, name) for name in ("_id", "_text", "_copies", "_rows"))
+    chosen = mixed.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(text))
+    chosen = chosen.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0)
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text))
-    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)
-    return docs.join(chosen, same).select(*docs.columns, each).drop(copy)
+    single = docs.join(chosen.where(F.col(rows) == 1), same)
+    taken = _repeated(single, docs.columns, F.col(copies))
+    repeated = pin(chosen.where(F.col(rows) > 1), "mix-repeated")
+    if repeated.isEmpty():
+        return taken
+    # Equal rows are counted before the shuffle; the window orders what differs, a row each.
+    equal, before = free_name(docs, "_equal"), free_name(docs, "_before")
+    parts = docs.join(repeated, same).groupBy(*docs.columns, own, text, copies, rows).agg(F.count(F.lit(1)).alias(equal))
+    order = Window.partitionBy(own, text).orderBy(F.xxhash64(*docs.columns), *docs.columns)
+    parts = parts.withColumn(before, F.sum(equal).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(equal))
+    over = F.greatest(F.lit(0), F.least(F.col(equal), F.col(copies) % F.col(rows) - F.col(before)))
+    number = F.col(equal) * F.floor(F.col(copies) / F.col(rows)) + over
+    return taken.unionByName(_repeated(parts.where(number > 0), docs.columns, number))
+
+
+def _repeated(df: DataFrame, columns: list[str], number: Column) -> DataFrame:
+    """`columns` of the rows, each `number` times; `number` is at least 1."""
+    lots, lot, copy = (free_name(df, name) for name in ("_n", "_lot", "_copy"))
+    most = F.lit(LOT)
+    each = df.withColumn(lots, number.cast("long"))
+    each = each.select(*columns, lots, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(lots) - 1) / most))).alias(lot))
+    left = F.least(most, F.col(lots) - F.col(lot) * most).cast("int")
+    return each.select(*columns, F.explode(F.sequence(F.lit(1), left)).alias(copy)).drop(copy)

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import entering, slices
+from lakewright.llm.common import entering, pin, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base spans.
@@ -370,20 +371,31 @@ def parse(spans: str) -> list[Span]:
 
 
 def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger:
-    """A tagger fitted on `windows` windows at most, chosen by hash from all texts: half
-    with spans, half without. Without any window it stays untrained and tags nothing."""
+    """A tagger fitted on `windows` different windows at most, chosen by hash from all texts:
+    half with spans, half without. Copies of a window count once, so no text fills the
+    sample. Without any window it stays untrained and tags nothing."""
+    half = windows // 2
 
     def run(batches):
-        for batch in batches:
-            for part in slices([batch], "text"):
-                rows = [w for t in part.column("text").to_pylist() for w in labelled_windows(t)]
-                if rows:
-                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=["part", "spans"])
+        # Of each sort a task hands on those with the smallest hashes, each once: no other can be
+        # among the smallest of all.
+        least: dict[bool, set[tuple[int, str, str]]] = {True: set(), False: set()}
+        for part in slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                for window, spans in labelled_windows(text):
+                    least[spans != ""].add((xxhash.xxh64_intdigest(window) >> 1, window, spans))
+            for sort, held in least.items():
+                if len(held) > 4 * half:
+                    least[sort] = set(sorted(held)[:half])
+        rows = [row for held in least.values() for row in sorted(held)[:half]]
+        if rows:
+            order, *texts = zip(*rows)
+            yield pa.record_batch([pa.array(order, pa.int64()), *(pa.array(c, pa.string()) for c in texts)], names=["order", "part", "spans"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = texts.mapInArrow(run, "part string, spans string").withColumn("order", F.xxhash64("part"))
-    some = found.where("spans <> ''").orderBy("order", "part").limit(windows // 2)
-    none = found.where("spans = ''").orderBy("order", "part").limit(windows // 2)
+    found = pin(texts.mapInArrow(run, "order long, part string, spans string").distinct(), "pii-windows")
+    some = found.where("spans <> ''").orderBy("order", "part", "spans").limit(half)
+    none = found.where("spans = ''").orderBy("order", "part").limit(half)
     rows = [*some.collect(), *none.collect()]
     tagger = Tagger.fresh()
     if not rows:
@@ -403,6 +415,7 @@ def report(text: Column, tagger: Tagger) -> Column:
 
     @F.pandas_udf(REPORT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        entering("pii")
         for texts in batches:
             rows = []
             for part in _parts(list(texts)):

@@ -197,6 +197,40 @@ def test_taking_a_mix_repeats_rows(frame):
     assert mixing.mix(frame([])).count() == 0
 
 
+def test_equal_rows_are_units_of_their_own(frame):
+    copies = [(7, "one two three", "en", "s", 13)] * 500 + [(None, "four five", "en", "s", 9)] * 300
+    docs = frame(copies + [(100 + i, f"a{i} " * (1 + i % 9), "en", "tu"[i % 2], i) for i in range(400)])
+    mixed = mixing.mix(docs, block_rows=64)
+    rows = mixed.collect()
+    assert len(rows) == 1200 and sum(r.doc_id == 7 for r in rows) == 500
+    for s in "stu":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+    want = Counter()
+    for r in rows:
+        want[r.doc_id] += r.copies
+    taken = Counter(r.doc_id for r in mixing.take(docs, mixed).collect())
+    assert taken == +want
+
+
+def test_equal_rows_share_their_copies_by_other_columns(frame):
+    docs = frame([(1, "a b", "x", "s", 1)] * 3 + [(1, "a b", "y", "s", 2)] * 4 + [(2, "c", "x", "s", 3)])
+    mixed = docs.selectExpr("doc_id", "xxhash64(text) AS text_key", "CASE WHEN doc_id = 2 THEN 0L WHEN lang = 'x' THEN 2L ELSE 1L END AS copies")
+    taken = Counter(r.lang for r in mixing.take(docs, mixed).collect())
+    assert sum(taken.values()) == 10 and 3 <= taken["x"] <= 6 and 4 <= taken["y"] <= 7
+    assert mixing.take(docs.limit(0), mixed).count() == 0
+
+
+def test_large_documents_do_not_keep_a_source_from_its_target():
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        size = np.concatenate([rng.integers(1, 60, 400), [6000, 5000, 900]])
+        prob = np.full(len(size), 0.05 + 0.04 * trial)
+        settled = mixing.settle(prob, size, trial)
+        assert set(settled) <= {0.0, 1.0} and abs(settled @ size - prob @ size) <= 2
+    assert len(mixing.settle(np.empty(0), np.empty(0), 1)) == 0
+
+
 def test_flight_keeps_sums_and_leaves_few():
     rng = np.random.default_rng(1)
     size, prob = rng.integers(0, 500, 300), np.full(300, 0.37)
@@ -374,7 +408,16 @@ def test_windows_agree_where_they_overlap():
     text = "abc 12 " * 60
     (scores,) = pii.region_scores(tagger, [text])
     assert scores.shape == (len(text), pii.TAGS) and np.isfinite(scores).all()
-    assert pii.train is not None and pii.regions("no digits") == []
+    assert pii.regions("no digits") == []
+
+
+def test_copies_of_a_window_count_once_in_training(frame, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, chars, tags, epochs: seen.append(chars) or self)
+    texts = ["call +1 (555) 201-1000 now"] * 300 + [f"mail u{i}@mail.example.com soon" for i in range(40)] + ["room 12"] * 300 + [f"room {i}" for i in range(200, 240)]
+    pii.train(frame([(i, t) for i, t in enumerate(texts)]).repartition(4), windows=60)
+    (chars,) = seen
+    assert len(chars) == len(np.unique(chars, axis=0)) == 60
 
 
 def test_licences_are_named_and_other_lines_left_alone(frame):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.llm.ann import Hashing, nearest
-from lakewright.llm.exact_topk import top_k
+from lakewright.llm.exact_topk import Pivots, choose_pivots, top_k
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -45,13 +45,33 @@ def test_exact_search_matches_brute_force(spark):
 def test_exact_search_with_few_rows_zero_vectors_and_large_numbers(spark):
     data = [(0, [0.0, 0.0], 1), (20, [1e9, -1e9], 1), (1, [1e9, 1e9], 1), (2, [1e30, 0.0], 1)]
     got = top_k(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 20), (20, 2), (20, 0), (20, 1)] or [
-        r.score for r in got if r.query_id == 0
-    ] == [0, 0, 0]
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 20), (20, 2), (20, 0), (20, 1)]
+    assert [r.score for r in got] == [0, 0, 0, (1 << 63) - 1, 0, 0]
     assert max(r.score for r in got) == (1 << 63) - 1
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_bounds_hold_and_eliminate_rows_of_other_clusters():
+    whole = np.floor(vectors(1500, dim=12, seed=4).astype(float) * 64)
+    pivots = Pivots(whole[::10], float((whole**2).sum(axis=1).max()))
+    table = np.ascontiguousarray(pivots.of_rows(whole).T)
+    left = []
+    for query in range(0, 1500, 50):
+        reach, score = pivots.reach(whole[query], table), whole @ whole[query]
+        assert (reach >= score).all()
+        left.append((reach >= np.sort(score)[-20]).mean())
+    assert np.mean(left) < 0.9
+    assert np.isinf(pivots.reach(np.zeros(12), table)).all()
+
+
+def test_pivots_are_of_the_most_frequent_dimensions(spark):
+    data = [(i, [float(i % 7)] * (2 + i % 3 if i < 90 else 9)) for i in range(100)]
+    clean = spark.createDataFrame(data, "vec_id bigint, v array<double>").withColumn("dim", F.size("v"))
+    chosen = choose_pivots(clean, 64, pivots=5, dims=2)
+    assert len(chosen) == 2 and set(chosen) <= {2, 3, 4} and all(len(p.marks) <= 5 for p in chosen.values())
+    assert choose_pivots(clean.limit(0), 64, 5) == {}
+
+
 @pytest.mark.parametrize("hashing", [Hashing(), Hashing(query_block=10, row_block=300)])
 def test_approximate_search_finds_nine_in_ten(spark, hashing):
     rows = vectors(900, seed=3)
