@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -16,6 +17,10 @@ from lakewright.functions.formats import format_mtime, human_size, type_symbol
 TARGET_BYTES = 134217728
 RETAIN_HOURS = 168
 
+# Partition values a task writes side by side before it sorts what is left by them.
+OPEN_WRITERS = 4
+WRITERS_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
+
 # Files of one partition that one task packs.
 PACK_FILES = 5_000
 
@@ -182,6 +187,20 @@ def private_session(spark: SparkSession, settings: dict[str, object]) -> SparkSe
     return own
 
 
+@contextmanager
+def open_writers(spark: SparkSession) -> Iterator[None]:
+    """Partitioned writes inside keep a file open for each of OPEN_WRITERS values, unless the session
+    allows another number, and so do not sort a task's rows in memory."""
+    if spark.conf.get(WRITERS_SETTING, "0") != "0":
+        yield
+        return
+    spark.conf.set(WRITERS_SETTING, str(OPEN_WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(WRITERS_SETTING)
+
+
 def partition_columns(spark: SparkSession, path: str) -> list[str]:
     """The partition columns that the directory layout of the table at `path` shows."""
     columns = spark.read.parquet(path).columns
@@ -205,7 +224,8 @@ def compact_files(
     execution brings small ones together and splits large ones, so no partition is left to
     one task and the number of tasks follows the bytes; `shuffle_per_file` sets their size.
     A file ends at the number of rows that fill the target, as footers and sizes of the
-    old files tell. Returns the rewritten table.
+    old files tell. Rows are written as they come, with a file open for each of some values, so a
+    task does not hold them sorted. Returns the rewritten table.
     """
     cols = partition_columns(spark, src) if partition_by is None else list(partition_by)
     if not cols:
@@ -232,5 +252,6 @@ def compact_files(
     held = file_rows(spark, src).agg(F.sum("bytes").alias("bytes"), F.sum("row_count").alias("row_count")).first()
     per_file = max(1, round((held.row_count or 0) * target_bytes / (held.bytes or 1)))
     rows = balancing.read.parquet(src).hint("rebalance", *cols)
-    rows.write.mode("errorifexists").option("maxRecordsPerFile", per_file).partitionBy(*cols).parquet(dst)
+    with open_writers(balancing):
+        rows.write.mode("errorifexists").option("maxRecordsPerFile", per_file).partitionBy(*cols).parquet(dst)
     return spark.read.parquet(dst)

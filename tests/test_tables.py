@@ -322,6 +322,20 @@ def test_compaction_spreads_a_large_partition(spark, tmp_path):
     assert len(parts(f"{dst}/p=0")) == 1
 
 
+def test_compaction_by_partition_sorts_nothing_in_memory(spark, tmp_path):
+    src, dst = str(tmp_path / "small"), str(tmp_path / "packed")
+    table = spark.range(0, 2000, 1, 4).withColumn("p", F.col("id") % 11)
+    table.write.partitionBy("p").parquet(src)
+    with files.open_writers(spark):
+        assert spark.conf.get(files.WRITERS_SETTING) == str(files.OPEN_WRITERS)
+    assert spark.conf.get(files.WRITERS_SETTING, "0") == "0"
+    with mock.patch.object(files, "open_writers", wraps=files.open_writers) as opened:
+        packed = files.compact_files(spark, src, dst)
+    assert opened.called
+    # More values than open files, none lost.
+    assert rows(packed.groupBy("p").count()) == rows(table.groupBy("p").count())
+
+
 def test_inventories(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(0, 100, 1, 5).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(path)
