@@ -22,7 +22,7 @@ from lakewright.sinks.versions import FileTable, Written
 
 def _keys(df: DataFrame, keys: Sequence[str], like: DataFrame) -> DataFrame:
     cast = [F.col(k).cast(like.schema[k].dataType).alias(k) for k in keys]
-    return df.select(*cast).dropna().distinct()
+    return df.select(*cast).dropna()
 
 
 def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
@@ -33,7 +33,7 @@ def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], bu
     """
     keys = list(keys)
     sides = [_keys(source, keys, target), _keys(target, keys, target)]
-    prints = [bucket_prints(side, keys, buckets) for side in sides]
+    prints = [bucket_prints(side.distinct(), keys, buckets) for side in sides]
     both = prints[0].withColumn("_side", F.lit(0)).unionByName(prints[1].withColumn("_side", F.lit(1)))
     same = both.groupBy("bucket", "row_count", "print_a", "print_b").agg(F.count_distinct("_side").alias("_sides"))
     wanted = [r.bucket for r in same.filter("_sides < 2").select("bucket").distinct().collect()]
@@ -41,8 +41,11 @@ def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], bu
         return target.select(*keys, F.lit("gone").alias("change")).limit(0)
     bucket = F.pmod(row_hash(sides[1], keys, SEEDS[0]), F.lit(buckets))
     here, there = (side if len(wanted) == buckets else side.filter(bucket.isin(*wanted)) for side in sides)
-    gone = there.join(here, keys, "left_anti").withColumn("change", F.lit("gone"))
-    return gone.unionByName(here.join(there, keys, "left_anti").withColumn("change", F.lit("new")))
+    # Repeated keys count once, as only their sides matter; one pass adds these up, on either side of the shuffle.
+    held = here.withColumn("_new", F.lit(True)).unionByName(there.withColumn("_new", F.lit(False)))
+    held = held.groupBy(*keys).agg(F.bool_and("_new").alias("_all"), F.bool_or("_new").alias("_any"))
+    change = F.when(F.col("_all"), "new").otherwise("gone")
+    return held.filter(F.col("_all") == F.col("_any")).select(*keys, change.alias("change"))
 
 
 def mark_deletions(

@@ -105,3 +105,10 @@ def test_tombstones_rewrite_only_their_files_and_go_when_a_key_comes_back(spark,
     sync_files(spark, table, back, ["id"], "mark", "is_deleted", NOW)
     rows = versions.read_table(spark, table)
     assert rows.where("is_deleted").count() == 0 and rows.count() == 40 and rows.where("mark = 99").count() == 1
+
+
+def test_differing_keys_joins_nothing(spark, capsys):
+    found = differing_keys(spark.range(5, 40), spark.range(0, 30), ["id"])
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert found.count() == 15
