@@ -38,9 +38,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Learns from the rows with a lang. Texts without a letter and those whose entropy is
     unusual for the language go; without any labelled row none can be recognised.
     """
-    model = language.train(docs)
     name = free_name(docs, "_found")
-    found = docs.withColumn(name, language.identify(F.col("text"), model))
+    found = language.recognise(docs, F.lit(True), name)
     kept = found.where(F.col(name)["accepted"]).withColumn("lang", F.col(name)["lang_pred"])
     return kept.select(*docs.columns)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import entering, pin, slices
+from lakewright.llm.common import entering, free_name, pin, slices
 
 BEGIN, END = "\x02", "\x03"
 RUN = re.compile(r"[^\W\d_]+")
@@ -34,7 +34,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose scores a worker remembers, and n-grams it counts before it passes them on.
 CACHE_WORDS = 300_000
 HELD_GRAMS = 150_000
-RESULT = "lang_pred string, score double, entropy double, accepted boolean"
+RESULT = "lang_pred string, score double, entropy double, letters long"
+#: Steps of one unit of the excess in which texts are counted for the rejection.
+STEPS = 1024
 
 
 def letter_runs(text: str) -> list[str]:
@@ -60,23 +62,45 @@ def text_codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+@dataclass
+class Usual:
+    """What entropies are usual. `spreads`: for each language the mean entropy, the spread between texts and
+    the spread by letter; `limit`: the largest excess over the mean, in units of these spreads, at
+    which a text is accepted."""
+
+    spreads: dict[str, tuple[float, float, float]]
+    limit: float = float("inf")
+
+    def excess(self, language: Column, entropy: Column, letters: Column) -> Column:
+        """Null for a language without spreads."""
+        if not self.spreads:
+            return F.lit(None).cast("double")
+        pairs = [x for lang, own in self.spreads.items() for x in (F.lit(lang), F.array(*map(F.lit, own)))]
+        held = F.create_map(*pairs)
+        mean, between, by_letter = (held[language][i] for i in range(3))
+        wide = between * between + by_letter * by_letter / F.greatest(letters, F.lit(1)) + F.lit(1e-9)
+        return (entropy - mean) / F.sqrt(wide)
+
+    def accepts(self, found: Column) -> Column:
+        """Whether the entropy in the struct `found`, as identify gives it, is usual; false for `und`."""
+        far = self.excess(found["lang_pred"], found["entropy"], found["letters"])
+        return (found["lang_pred"] != UNKNOWN) & (F.coalesce(far, F.lit(0.0)) <= self.limit)
+
+
 @dataclass
 class Model:
     """Sorted hash arrays, one entry per order, and what calibration has found.
 
     `levels[k]`: hashes of the n-grams of order k + 1, their probabilities and the weights
     they leave as contexts, both of shape (n-grams, languages). `floor`: the probability of a
-    letter never seen. `usual`: mean entropy, spread between texts and spread by letter of
-    each language; `limit`: the largest excess over the mean, in units of these spreads, at
-    which a text is accepted.
+    letter never seen. `usual`: what calibration has found.
     """
 
     languages: list[str]
     order: int
     floor: np.ndarray
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    usual: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
-    limit: float = float("inf")
+    usual: Usual = field(default_factory=lambda: Usual({}))
     _cache: dict[str, int] = field(default_factory=dict, repr=False)
     _scores: np.ndarray | None = field(default=None, repr=False)
 
@@ -129,10 +153,6 @@ class Model:
                 letters[i] = sum(map(len, words)) + len(words)
         return -total / np.maximum(letters, 1)[:, None], letters
 
-    def excess(self, entropy: np.ndarray, letters: np.ndarray, language: np.ndarray) -> np.ndarray:
-        mean, between, by_letter = self.usual[language].T
-        return (entropy - mean) / np.sqrt(between**2 + by_letter**2 / np.maximum(letters, 1) + 1e-9)
-
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         entropy, letters = self.entropies(texts)
         with_letter = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
@@ -142,15 +162,12 @@ class Model:
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(texts)), best]
         sure = np.exp(-(entropy - least[:, None]) * np.minimum(letters, 50)[:, None])
-        accepted = good.copy()
-        if len(self.usual):
-            accepted &= self.excess(least, letters, best) <= self.limit
         return pd.DataFrame(
             {
                 "lang_pred": np.where(good, np.array([*self.languages, UNKNOWN], object)[np.where(good, best, len(self.languages))], UNKNOWN),
                 "score": np.where(good, 1.0 / sure.sum(axis=1), 0.0),
                 "entropy": np.where(good, least, np.nan),
-                "accepted": accepted,
+                "letters": letters,
             }
         )
 
@@ -287,53 +304,60 @@ def spark_model(counts: DataFrame, order: int, least_grams: int, growth: float)
     return assemble(tables, kinds, sorted(limits))
 
 
-def calibrate(model: Model, sample: DataFrame, share: float, margin: float) -> Model:
-    """Sets what entropies are usual, and the excess within which `share` of the sample's
-    rightly recognised texts lie, times `margin`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            entropy, letters = model.entropies(list(pdf["text"]))
-            own = pdf["lang"].map({lang: i for i, lang in enumerate(model.languages)}).fillna(-1).astype(int).to_numpy()
-            right = (entropy.argmin(axis=1) == own) & (letters > 0)
-            yield pd.DataFrame({"language": own[right], "entropy": entropy.min(axis=1)[right], "letters": letters[right]})
-
-    found = sample.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = found.mapInPandas(run, "language int, entropy double, letters long").toArrow().to_pandas()
-    usual = np.tile([0.0, 100.0, 100.0], (len(model.languages), 1))
-    for language, own in found.groupby("language"):
-        long_enough = own["letters"] >= own["letters"].median()
-        mean = own.loc[long_enough, "entropy"].mean()
-        between = own.loc[long_enough, "entropy"].std(ddof=0)
-        by_letter = ((own["entropy"] - mean) * np.sqrt(own["letters"]))[~long_enough].std(ddof=0)
-        usual[language] = [mean, max(between, 0.02), 1.0 if np.isnan(by_letter) else max(by_letter, 1.0)]
-    model.usual = usual
-    if len(found):
-        excess = model.excess(found["entropy"].to_numpy(), found["letters"].to_numpy(), found["language"].to_numpy())
-        model.limit = max(3.0, float(np.quantile(excess, share)) * margin)
-    return model
-
-
-def train(
-    labelled: DataFrame, order: int = 4, least_grams: int = 100_000, growth: float = 8.0, sample_rows: int = 4000, share: float = 0.999, margin: float = 3.0
-) -> Model:
-    """A model of all rows of `labelled` (doc_id, text, lang) with a text and a lang.
+def calibrate(found: DataFrame, share: float = 0.999, margin: float = 3.0) -> Usual:
+    """What is usual among all rows of `found` (lang, lang_pred, entropy, letters) that are rightly recognised.
 
-    About `sample_rows` of them (twice as many at most are expected), chosen by hash,
-    calibrate the rejection. `least_grams` and `growth` set how many n-grams of an order a
-    language keeps. Without labelled rows the model knows no language.
+    `limit` is `margin` times the excess within which `share` of them lie, at least 3; it is counted
+    in steps of 1 / STEPS. Only numbers come to the driver: some for each language, and the counts of steps.
+    """
+    right = found.where("lang_pred = lang and letters > 0").select("lang", "entropy", F.col("letters").cast("long").alias("letters"))
+    middle = right.groupBy("lang").agg(F.median("letters").alias("median"))
+    sided = right.join(F.broadcast(middle), "lang").withColumn("long", F.col("letters") >= F.col("median"))
+    means = sided.where("long").groupBy("lang").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("between"))
+    scaled = (F.col("entropy") - F.col("mean")) * F.sqrt("letters")
+    short = F.stddev_pop(F.when(~F.col("long"), scaled)).alias("by_letter")
+    rows = sided.join(F.broadcast(means), "lang").groupBy("lang", "mean", "between").agg(short).collect()
+    usual = Usual({r.lang: (r.mean, max(r.between, 0.02), max(r.by_letter or 0.0, 1.0)) for r in rows})
+    # All excesses that leave the limit at its least count as one.
+    step = F.ceil(F.greatest(usual.excess(F.col("lang"), F.col("entropy"), F.col("letters")), F.lit(3.0 / margin)) * STEPS)
+    steps = right.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect()
+    if steps:
+        reached = np.cumsum([r.n for r in steps])
+        usual.limit = max(3.0, steps[int(np.searchsorted(reached, share * reached[-1]))].step / STEPS * margin)
+    return usual
+
+
+def train(labelled: DataFrame, order: int = 4, least_grams: int = 100_000, growth: float = 8.0, share: float = 0.999, margin: float = 3.0) -> Model:
+    """A model of all rows of `labelled` (text, lang) with a text and a lang.
+
+    All that are rightly recognised calibrate the rejection, too. `least_grams` and `growth`
+    set how many n-grams of an order a language keeps. Without labelled rows the model knows no language.
     """
     model = spark_model(pin(gram_counts(labelled, order), "language-grams"), order, least_grams, growth)
-    if not model.languages:
-        return model
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    every = max(1, rows.count() // sample_rows)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-    return calibrate(model, sample, share, margin)
+    if model.languages:
+        rows = labelled.where("text is not null and lang is not null")
+        scored = rows.select(F.col("lang").cast("string").alias("lang"), identify(F.col("text"), model).alias("found"))
+        model.usual = calibrate(pin(scored.select("lang", "found.*"), "language-entropies"), share, margin)
+    return model
+
+
+def recognise(
+    docs: DataFrame, learn: Column, name: str, keep: Sequence[str] | None = None, order: int = 4, least_grams: int = 100_000, growth: float = 8.0, share: float = 0.999, margin: float = 3.0
+) -> DataFrame:
+    """The columns `keep` of `docs` (text, lang, ...), by default all, and the struct `name` that identify
+    gives with what train finds in the rows for which `learn` is true; each text is scored once, for
+    calibration and for the result."""
+    counts = pin(gram_counts(docs.where(learn), order), "language-grams")
+    model = spark_model(counts, order, least_grams, growth)
+    keep, label = list(docs.columns if keep is None else keep), free_name(docs, "_label")
+    own = F.when(learn & F.col("text").isNotNull(), F.col("lang").cast("string")).alias(label)
+    scored = pin(docs.select(*keep, own, identify(F.col("text"), model).alias(name)), "language-scored")
+    usual = calibrate(scored.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), f"{name}.*"), share, margin)
+    return scored.select(*keep, F.col(name).withField("accepted", usual.accepts(F.col(name))).alias(name))
 
 
 def identify(text: Column, model: Model) -> Column:
-    """A struct of lang_pred, score, entropy and accepted for a column of texts.
+    """A struct of lang_pred, score, entropy, letters and accepted for a column of texts.
 
     A null text or one without a letter is `und` with score 0 and not accepted. `score` is
     the share of the best language among all, as their entropies tell over 50 letters at
@@ -355,7 +379,8 @@ def identify(text: Column, model: Model) -> Column:
                 parts.append(model.predict(values[begin:]))
             yield pd.concat(parts, ignore_index=True)
 
-    return run(text)
+    found = run(text)
+    return found.withField("accepted", model.usual.accepts(found))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -12,7 +12,7 @@ from lakewright.llm.ann import nearest
 from lakewright.llm.binary_ids import NO_KEY, documents_in, store_ids
 from lakewright.llm.common import table
 from lakewright.llm.exact_topk import top_k
-from lakewright.llm.language import held_out, identify, train
+from lakewright.llm.language import held_out, recognise
 from lakewright.llm.merkle import fold, leaf, manifest, proof
 from lakewright.llm.mixing import mix
 from lakewright.llm.packing import pack
@@ -42,9 +42,8 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = train(docs.where(~held_out(F.col("doc_id"))))
-    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), model).alias("found"))
-    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.accepted", "found.entropy")
+    found = recognise(docs, ~held_out(F.col("doc_id")), "found", ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.accepted", "found.entropy")
 
 
 def op5_licences(spark: SparkSession, folder: str) -> DataFrame:

@@ -319,6 +319,35 @@ def test_pruning_leaves_sums_discounts_and_every_language(frame):
     assert len(language.train(frame(rows)).levels[3][0]) == len(plain.levels[3][0])
 
 
+def test_rejection_counts_every_labelled_text(frame):
+    schema = "lang string, lang_pred string, entropy double, letters long"
+    spark = frame([]).sparkSession
+    texts = [("aa", "aa", 2.0 + i % 7 / 10, 40 + i % 90) for i in range(9000)]
+    far = [("aa", "aa", 9.0, 100) for _ in range(60)]
+    plain = language.calibrate(spark.createDataFrame(texts + far[:1], schema))
+    moved = language.calibrate(spark.createDataFrame(texts + far, schema))
+    own = np.array([r[2:] for r in texts + far])
+    long_enough = own[:, 1] >= np.median(own[:, 1])
+    mean, between = own[long_enough, 0].mean(), own[long_enough, 0].std()
+    by_letter = ((own[:, 0] - mean) * np.sqrt(own[:, 1]))[~long_enough].std()
+    assert moved.spreads["aa"] == pytest.approx((mean, max(between, 0.02), max(by_letter, 1.0)))
+    excess = (own[:, 0] - mean) / np.sqrt(between**2 + max(by_letter, 1.0) ** 2 / own[:, 1] + 1e-9)
+    assert moved.limit == pytest.approx(max(3.0, 3 * np.quantile(excess, 0.999, method="inverted_cdf")), abs=3 / language.STEPS)
+    assert plain.limit < moved.limit
+
+
+def test_one_scoring_gives_what_train_and_identify_give(frame):
+    rng = random.Random(5)
+    rows = [*labelled(rng, 120), (9001, None, "aa"), (9002, "", None), (9003, "123", "aa")]
+    docs = frame(rows)
+    learn = F.col("doc_id") % 3 != 0
+    model = language.train(docs.where(learn))
+    want = docs.select("doc_id", language.identify(F.col("text"), model).alias("f"))
+    got = language.recognise(docs, learn, "f").select("doc_id", "f")
+    key = lambda r: (r.doc_id, r.f.lang_pred, round(r.f.score, 9), r.f.accepted)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
 def test_language_without_labels_knows_none(frame):
     model = language.train(frame([(1, "text", None), (2, None, "aa")]))
     docs = frame([(1, "text")]).select(language.identify(F.col("text"), model).alias("f"))
