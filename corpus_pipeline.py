@@ -48,9 +48,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id.
 
-    Links are similarities of 0.8 and more between sets of five-word shingles.
+    Links are SimHash fingerprints that differ in two bits at most, met by ball hashing, and
+    similarities of 0.8 and more between sets of five-word shingles.
     """
-    return keep_one(docs, similar_documents(docs))
+    return keep_one(docs, similar_documents(docs, radius=2))
 
 
 @stage

@@ -1,4 +1,7 @@
-"""Near-duplicates by the similarity of word shingles: banded min-hashes propose, exact sets decide.
+"""Near-duplicates by SimHash and by the similarity of word shingles.
+
+SimHash fingerprints of three-word shingles link by ball hashing, as in `simhash`. Where
+fingerprints differ by more than the radius, banded min-hashes propose and exact sets decide:
 
 Every distinct text has BANDS keys, each of ROWS min-hashes of its shingle set; two texts of
 similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9997 at 0.8. Texts with
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm.common import entering, pin, slices, text_or_empty
 from lakewright.llm.components import connected_components
-from lakewright.llm.simhash import shingle_hashes
+from lakewright.llm.simhash import ball_links, fingerprint, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -60,18 +63,20 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, tid, n (shingles in the set) and keys of each row."""
+    """doc_id, tid, fp (SimHash fingerprint), n (shingles in the set) and keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entering("near duplicates")
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            marks = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            sets = [shingle_set(t, width) for t in texts]
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tid"), n, keys], names=["doc_id", "tid", "n", "keys"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tid"), marks, n, keys], names=["doc_id", "tid", "fp", "n", "keys"])
 
     source = numbered(docs)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tid long, n long, keys array<long>")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tid long, fp long, n long, keys array<long>")
 
 
 def proposed(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -148,12 +153,32 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int = WIDTH, least: floa
     return pin(sent.select("u", "first", "tid", "text").mapInArrow(compare, "u long, v long"), "similar-links")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+def fingerprint_links(rows: DataFrame, radius: int = 2) -> DataFrame:
+    """Links u, v between texts (`tid`, `fp`): those of one component of fingerprints, at most `radius`
+    bits apart each, are tied to one of them."""
+    marks = pin(rows.groupBy("fp").agg(F.min("tid").alias("least")), "similar-fingerprints")
+    roots = connected_components(ball_links(marks.select("fp"), radius))
+    rooted = marks.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "least", F.coalesce("root", "fp").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("u"))
+    ties = rooted.join(heads, "root").select("_fp", "u")
+    return rows.join(ties, F.col("fp") == F.col("_fp")).select("u", F.col("tid").alias("v")).where("u <> v").distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are in different components."""
+    left = roots.select(F.col("node").alias("_u"), F.col("root").alias("ru"))
+    right = roots.select(F.col("node").alias("_v"), F.col("root").alias("rv"))
+    met = pairs.join(left, F.col("u") == F.col("_u"), "left").join(right, F.col("v") == F.col("_v"), "left")
+    return met.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """doc_id, tid and component_id, one row per input row.
 
-    component_id is the smallest doc_id that can be reached over links between texts whose
-    sets of `width`-word shingles have a Jaccard similarity of `least` or more. A first
-    round checks one pair of each text; a second one all pairs that are not together then.
+    component_id is the smallest doc_id that can be reached over links between texts whose sets of
+    `width`-word shingles have a Jaccard similarity of `least` or more, or, with a `radius`, whose
+    SimHash fingerprints differ in so many bits at most. Of the latter a first round checks one pair of each text
+    that the fingerprints leave apart; a second one all pairs that are not together then.
     Null and empty texts and those of blanks alone have the empty set of shingles and are one group; a text of
     fewer words than `width` is one shingle. Repeated rows, and rows without doc_id, are like any
     other: equal texts are together, and a group without any doc_id has none as its component_id.
@@ -164,13 +189,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
     texts = numbered(docs).select("tid", "text").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
     texts = pin(texts, "similar-texts")
-    links = verified(texts, pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), width, least)
+    marked = rows.select(F.col("tid").alias("u"), F.col("tid").alias("v")).limit(0) if radius is None else fingerprint_links(rows, radius)
+    links = pin(marked, "similar-marked")
     roots = pin(connected_components(links), "similar-roots")
-    left = roots.select(F.col("node").alias("_u"), F.col("root").alias("ru"))
-    right = roots.select(F.col("node").alias("_v"), F.col("root").alias("rv"))
-    apart = pairs.join(left, F.col("u") == F.col("_u"), "left").join(right, F.col("v") == F.col("_v"), "left")
-    apart = apart.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    links = links.unionByName(verified(texts, pin(apart, "similar-apart"), width, least))
+    first = apart(pairs, roots).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = links.unionByName(verified(texts, pin(first, "similar-first"), width, least))
+    roots = pin(connected_components(links), "similar-roots")
+    links = links.unionByName(verified(texts, pin(apart(pairs, roots), "similar-apart"), width, least))
     roots = pin(connected_components(links), "similar-roots")
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("least")).join(roots, F.col("tid") == F.col("node"), "left")
     rooted = pin(texts.select("tid", "least", F.coalesce("root", "tid").alias("root")), "similar-rooted")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lakewright.llm import similar
+from lakewright.llm.simhash import fingerprint
 from lakewright.llm.similar import shingle_set, similar_documents, similarity
 
 
@@ -72,3 +73,19 @@ def test_a_large_group_whose_members_are_not_all_close(frame, monkeypatch, lot):
     got, want = dict(answer(frame, rows)), dict(exact(rows))
     assert len({want[i] for i in range(400)}) < 400
     assert got == want
+
+
+def test_fingerprints_link_what_similarity_leaves_apart(frame):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        text = words(rng, 200)
+        rows.append((i, " ".join(text)))
+        text[100] = text[101] = f"x{i}"
+        rows.append((100 + i, " ".join(text)))
+    close = {(a, b): bin(fingerprint(s) ^ fingerprint(t)).count("1") <= 2 for a, s in rows for b, t in rows if a < b}
+    docs = frame(rows)
+    got = {r.doc_id: r.component_id for r in similar_documents(docs, least=1.0, radius=2).collect()}
+    assert any(close.values())
+    assert {pair for pair, near in close.items() if near} <= {(a, b) for a, b in close if got[a] == got[b]}
+    assert {r.component_id for r in similar_documents(docs, least=1.0).collect()} == {d for d, _ in rows}
