@@ -54,17 +54,25 @@ def log_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
     )
     ensure_checkpoint_dir(spark)
-    # The numbers of lines must not change between the two uses below.
-    lines = lines.withColumn("head", F.when(F.col("value").rlike(LINE), F.struct("block", "at"))).checkpoint()
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("value").rlike(LINE), F.struct("block", "at"))
+    owned = lines.withColumn("own", F.max(head).over(inside))
+    # Lines of one block are together already, so their records need no second shuffle.
+    texts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    pieces = owned.groupBy("file", "block", "own").agg(texts.alias("lines")).checkpoint()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.max("head").alias("last"))
+    blocks = pieces.groupBy("file", "block").agg(F.max("own").alias("last"))
     carried = blocks.select("file", "block", F.max("last").over(before).alias("carried"))
-    owned = lines.withColumn("own", F.max("head").over(inside)).join(carried, ["file", "block"])
-    alone = F.struct("block", "at")
-    owned = owned.withColumn("record", F.coalesce("own", "carried", alone))
-    texts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
-    records = owned.groupBy("file", "record").agg(texts.alias("lines"))
+    fronts = pieces.filter("own IS NULL").join(F.broadcast(carried), ["file", "block"])
+    alone = fronts.filter("carried IS NULL").select("file", F.explode("lines").alias("line")).select("file", F.array("line").alias("lines"))
+    more = fronts.filter("carried IS NOT NULL").select("file", F.col("carried").alias("record"), "lines")
+    heads = pieces.filter("own IS NOT NULL").select("file", F.col("own").alias("record"), "lines")
+    # One row a block at most: the records that run into it from a block before.
+    split = F.broadcast(more.select("file", "record").distinct())
+    parts = heads.join(split, ["file", "record"], "left_semi").unionByName(more)
+    joined = parts.groupBy("file", "record").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+    whole = heads.join(split, ["file", "record"], "left_anti")
+    records = whole.select("file", "lines").unionByName(joined.select("file", "lines")).unionByName(alone)
     values = F.transform("lines", lambda line: line["value"])
     parsed = parse_driver_log(records.select("file", "lines", values.alias("values"), F.col("lines")[0]["value"].alias("value")), keep=["file", "values"])
     rest = F.slice("values", 2, F.size("values"))

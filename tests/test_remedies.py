@@ -40,6 +40,15 @@ def test_stack_traces_join_their_header_across_blocks(spark, tmp_path, block):
     assert got.select("file").distinct().count() == 2
 
 
+def test_only_records_across_blocks_are_shuffled_again(spark, tmp_path, capsys):
+    (tmp_path / "a.log").write_text("".join(f"26/01/02 03:04:05 WARN Part: n {n}\n\tat place {n}\n" for n in range(90)))
+    got = log_records(blocks_of(spark, 200), str(tmp_path))
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+    assert rows(got.select("message", "line_count")) == sorted([(f"n {n}\n\tat place {n}", 2) for n in range(90)], key=repr)
+
+
 def test_records_of_empty_files_and_lines_without_header(spark, tmp_path):
     (tmp_path / "a").write_text("")
     assert log_records(spark, str(tmp_path)).count() == 0
