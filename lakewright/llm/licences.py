@@ -2,7 +2,7 @@
 
 A paragraph is a line of a text. Its features are words and pairs of words that occur in
 licence wording and are rare in the corpus. A multinomial logistic regression, fitted on
-licence notices in whole and in parts and on paragraphs of the corpus, gives the family.
+licence notices in whole and in parts and on all paragraphs of the corpus, gives the family.
 The scan is relational: words that are features let a paragraph through, its features meet
 their weights in a join, and sums per paragraph are the scores. A paragraph is reported if
 its family is likelier than a threshold calibrated on paragraphs that are no licence, and
@@ -20,10 +20,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.llm.common import pin
 from lakewright.llm.licence_texts import FAMILIES, OTHERS
 
 UNKNOWN = "unknown"
-#: Bounds of training: corpus paragraphs, chosen by hash, and how common a feature may be among them.
+#: What all corpus paragraphs weigh together at most, and how common a feature may be among them.
 BACKGROUND = 600
 COMMON = 0.01
 
@@ -83,10 +84,29 @@ class Classifier:
     pairs: list[dict]
 
 
+def background_sets(docs: DataFrame, grams: set[str]) -> DataFrame:
+    """grams, n: the sets of `grams` that lines of `docs` hold, and how many distinct lines hold just those.
+
+    Every line with a word counts once, however often it is repeated. A line that shares three pairs
+    of words with a notice may be one; it is no background. Hashes and grams are shuffled, no lines.
+    """
+    words, pairs = (sorted(g for g in grams if (" " in g) == pair) for pair in (False, True))
+    lines = paragraphs(docs).select(F.xxhash64("line").alias("hash"), words_of(F.col("line")).alias("words"))
+    met = F.filter(pairs_of(F.col("words")), lambda g: g.isin(pairs)).alias("pairs")
+    held = lines.select("hash", F.size("words").alias("size"), F.array_distinct(F.filter("words", lambda w: w.isin(words))).alias("single"), met)
+    taken = F.when((F.col("size") > 0) & (F.size("pairs") < 3), F.array_sort(F.concat("single", "pairs")))
+    each = held.select("hash", taken.alias("grams")).distinct()
+    # Lines left out are one group until it is written: a filter before would work the words out again.
+    return pin(each.groupBy("grams").agg(F.count(F.lit(1)).alias("n")), "licence-lines").where("grams is not null")
+
+
 def train(docs: DataFrame, background: int = BACKGROUND, common: float = COMMON) -> Classifier:
-    """Fits the classifier; of `docs` it takes `background` distinct paragraphs at most, those
-    with the smallest hashes among paragraphs of 15 to 2000 characters. Null and empty texts
-    give none, repeated rows count once, and an empty table leaves the notices alone."""
+    """Fits the classifier on the notices and on every distinct paragraph of `docs`.
+
+    All paragraphs count for what is rare, for the fit and for the threshold. They weigh the same, 1 each
+    and `background` together at most, so that the notices keep their share in a corpus of any size.
+    Null and empty texts give none, repeated rows count once, and an empty table leaves the
+    notices alone."""
     spark = docs.sparkSession
     labelled = [{"line": v, "family": family} for family, texts in FAMILIES.items() for t in texts for v in variants(t)]
     labelled += [{"line": t, "family": UNKNOWN} for t in OTHERS]
@@ -95,26 +115,24 @@ def train(docs: DataFrame, background: int = BACKGROUND, common: float = COMMON)
     found = known.where(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).distinct().collect()
     licence_grams = {r.gram for r in found}
 
-    lines = paragraphs(docs).where(F.length("line").between(15, 2000))
-    chosen = background_lines(lines, background).withColumn("words", words_of(F.col("line")))
-    other = chosen.withColumn("grams", F.concat(F.array_distinct("words"), pairs_of(F.col("words")))).select("grams").collect()
-    other = [list(r.grams) for r in other]
-    # A line that shares three pairs of words with a notice may be one; it is no background.
-    other = [g for g in other if sum(" " in x and x in licence_grams for x in g) < 3]
-    seen: dict[str, int] = {}
-    for grams in other:
-        for g in grams:
-            seen[g] = seen.get(g, 0) + 1
-    rare = {g for g in licence_grams if seen.get(g, 0) <= common * max(1, len(other))}
+    other = background_sets(docs, licence_grams)
+    total = other.agg(F.sum("n")).first()[0] or 0
+    seen = other.select(F.explode("grams").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = {r.gram for r in seen.where(F.col("n") > common * max(1, total)).collect()}
+    rare = licence_grams - often
     vocabulary = sorted(g for g in rare if " " not in g or any(w in rare for w in g.split(" ")))
 
     rows = [{"grams": list(r.grams), "family": r.family} for r in known.select("grams", "family").collect()]
-    rows += [{"grams": g, "family": UNKNOWN} for g in other]
     families = [*FAMILIES, UNKNOWN]
     number = {f: i for i, f in enumerate(families)}
     table = literal_rows(spark, [{"grams": r["grams"], "label": float(number[r["family"]])} for r in rows], "grams array<string>, label double")
-    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").transform(table.coalesce(1))
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=60).fit(counted.cache())
+    kept = F.filter("grams", lambda g: g.isin(vocabulary)).alias("grams")
+    other = other.select(kept, "n").groupBy("grams").agg(F.sum("n").alias("n"))
+    each = F.lit(min(1.0, background / max(1, total)))
+    other = pin(other.select("grams", F.lit(float(number[UNKNOWN])).alias("label"), (F.col("n") * each).alias("weight")), "licence-background")
+    table = table.coalesce(1).withColumn("weight", F.lit(1.0)).unionByName(other)
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").transform(table).cache()
+    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, elasticNetParam=0.2, maxIter=60).fit(counted)
     matrix = fitted.coefficientMatrix.toArray()
     weights = [
         {"gram": g, "w": [round(float(x), 6) for x in matrix[:, i]]}

@@ -485,3 +485,17 @@ def test_licences_without_corpus(frame):
     model = licences.train(frame([]))
     text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     assert [r.doc_id for r in licences.scan(frame([(1, text), (2, "some other words in a row here")]), model).collect()] == [1]
+
+
+def test_every_distinct_line_counts_in_licence_training(spark, frame):
+    rng = random.Random(9)
+    lines = [words(rng, 8) for _ in range(900)]
+    for i in range(30):
+        lines[i * 30] += " granted"
+    lines += ["someone hereby said so"] * 60 + ["ok", "", " - ", "granted " + words(rng, 900)]
+    rng.shuffle(lines)
+    docs = frame([(i, "\n".join(lines[i::40])) for i in range(40)] + [(100, None)])
+    sets = {tuple(r.grams): r.n for r in licences.background_sets(docs, {"granted", "hereby", "hereby granted"}).collect()}
+    assert sets == {(): 871, ("granted",): 31, ("hereby",): 1}
+    held = {x["gram"] for x in licences.train(docs, background=5).weights}
+    assert "hereby" in held and "granted" not in held
