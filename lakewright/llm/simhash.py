@@ -22,6 +22,8 @@ from lakewright.llm.components import connected_components
 
 SEED = 42
 CHUNK = 1 << 18
+#: Ids that are sent to all tasks at most, and their bytes as text.
+SENT_ROWS, SENT_BYTES = 1 << 21, 64 << 20
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -113,14 +115,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return rows.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def sendable(ids: DataFrame) -> DataFrame:
+    """The ids, written once; up to SENT_ROWS and SENT_BYTES of them go to all tasks, so that no texts are
+    shuffled to meet them. More are joined as Spark plans it."""
+    ids = pin(ids, "simhash-ids")
+    known = ids.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col("doc_id").cast("string"))).alias("bytes")).first()
+    return F.broadcast(ids) if known.n <= SENT_ROWS and (known.bytes or 0) <= SENT_BYTES else ids
+
+
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `docs` but for all of a component save the one with its smallest doc_id.
 
     `classes` is what near_duplicates or similar_documents returns for `docs`. Rows without doc_id stay, since
     nothing tells them apart. Of repeated rows with one doc_id one stays.
     """
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = classes.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    gone = sendable(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = sendable(classes.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept

@@ -487,6 +487,21 @@ def test_licences_without_corpus(frame):
     assert [r.doc_id for r in licences.scan(frame([(1, text), (2, "some other words in a row here")]), model).collect()] == [1]
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_keep_one_sends_ids_instead_of_shuffling_texts(frame, settings, monkeypatch, most):
+    settings({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    monkeypatch.setattr(simhash, "SENT_ROWS", most)
+    docs = frame([(i, f"text {i}") for i in range(40)] + [(None, "no id")])
+    classes = docs.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("component_id"))
+    kept = simhash.keep_one(docs, classes)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*range(0, 40, 4), None], key=repr)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most > 0)
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    again = simhash.keep_one(docs, docs.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("component_id")))
+    assert sorted((r.doc_id for r in again.collect()), key=repr) == sorted([*range(0, 40, 4), None], key=repr)
+
+
 def test_every_distinct_line_counts_in_licence_training(spark, frame):
     rng = random.Random(9)
     lines = [words(rng, 8) for _ in range(900)]
