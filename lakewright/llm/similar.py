@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm.common import entering, pin, slices, text_or_empty
 from lakewright.llm.components import connected_components
+from lakewright.llm.repeats import FILTER_BITS, Filter
 from lakewright.llm.simhash import ball_links, fingerprint, shingle_hashes
 
 WIDTH = 5
@@ -121,6 +123,23 @@ def proposed(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return found.where("v is not null").select("u", "v").unionByName(over).where("u <> v").distinct()
 
 
+def texts_of(docs: DataFrame, pairs: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+    """tid and text, each once, of the texts of `pairs` (u, v) and of those few others that a filter of a
+    bounded size lets through by mistake.
+
+    The filter goes to all tasks and copies are put together before the shuffle, so that of a corpus
+    only the texts that are looked at are sent, each copied one once a task.
+    """
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
+    held = Filter.of(F.col("tid"), wanted, most_bits)
+
+    @F.pandas_udf("boolean")
+    def is_held(tids: pd.Series) -> pd.Series:
+        return pd.Series(held.has(tids.to_numpy(np.int64)))
+
+    return numbered(docs).select("tid", "text").where(is_held("tid")).groupBy("tid").agg(F.min("text").alias("text"))
+
+
 def verified(texts: DataFrame, pairs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """Those of the pairs (u, v) of `texts` (tid, text) whose shingle sets have at least the similarity.
 
@@ -178,7 +197,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     component_id is the smallest doc_id that can be reached over links between texts whose sets of
     `width`-word shingles have a Jaccard similarity of `least` or more, or, with a `radius`, whose
     SimHash fingerprints differ in so many bits at most. Of the latter a first round checks one pair of each text
-    that the fingerprints leave apart; a second one all pairs that are not together then.
+    that the fingerprints leave apart; a second one all other pairs that are not together then.
     Null and empty texts and those of blanks alone have the empty set of shingles and are one group; a text of
     fewer words than `width` is one shingle. Repeated rows, and rows without doc_id, are like any
     other: equal texts are together, and a group without any doc_id has none as its component_id.
@@ -186,16 +205,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     """
     rows = pin(banded(docs, width), "similar-rows")
     pairs = pin(proposed(rows, least), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
-    texts = numbered(docs).select("tid", "text").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
-    texts = pin(texts, "similar-texts")
     marked = rows.select(F.col("tid").alias("u"), F.col("tid").alias("v")).limit(0) if radius is None else fingerprint_links(rows, radius)
     links = pin(marked, "similar-marked")
     roots = pin(connected_components(links), "similar-roots")
     first = apart(pairs, roots).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = links.unionByName(verified(texts, pin(first, "similar-first"), width, least))
+    first = pin(first, "similar-first")
+    links = links.unionByName(verified(texts_of(docs, first), first, width, least))
     roots = pin(connected_components(links), "similar-roots")
-    links = links.unionByName(verified(texts, pin(apart(pairs, roots), "similar-apart"), width, least))
+    others = pin(apart(pairs, roots).join(first, ["u", "v"], "left_anti"), "similar-apart")
+    links = links.unionByName(verified(texts_of(docs, others), others, width, least))
     roots = pin(connected_components(links), "similar-roots")
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("least")).join(roots, F.col("tid") == F.col("node"), "left")
     rooted = pin(texts.select("tid", "least", F.coalesce("root", "tid").alias("root")), "similar-rooted")

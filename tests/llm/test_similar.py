@@ -89,3 +89,41 @@ def test_fingerprints_link_what_similarity_leaves_apart(frame):
     assert any(close.values())
     assert {pair for pair, near in close.items() if near} <= {(a, b) for a, b in close if got[a] == got[b]}
     assert {r.component_id for r in similar_documents(docs, least=1.0).collect()} == {d for d, _ in rows}
+
+
+def test_only_texts_of_pairs_are_shuffled_and_no_pair_is_checked_twice(frame, settings, monkeypatch):
+    settings({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, 40))) for i in range(200)]
+    for i in range(30):
+        text = words(rng, 100)
+        close, distant = list(text), list(text)
+        close[50] = distant[20] = distant[50] = distant[80] = "changed"
+        rows += [(1000 + i, " ".join(text)), (2000 + i, " ".join(close)), (3000 + i, " ".join(distant))]
+    plans, looked, pin, verified = [], [], similar.pin, similar.verified
+
+    def noting(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return pin(df, name)
+
+    def counting(texts, pairs, *more):
+        looked.extend((r.u, r.v) for r in pairs.collect())
+        return verified(texts, pairs, *more)
+
+    monkeypatch.setattr(similar, "pin", noting)
+    monkeypatch.setattr(similar, "verified", counting)
+    assert answer(frame, rows) == exact(rows)
+    assert not [p for p in plans if "LeftSemi" in p]
+    assert len(looked) > 30 and len(looked) == len(set(looked))
+
+
+def test_texts_of_pairs_are_whole_whatever_the_filter_lets_through(frame):
+    docs = frame([(i, f"text {i % 500}") for i in range(2000)] + [(None, None), (3000, "")])
+    tids = {r.tid: r.text for r in similar.numbered(docs).collect()}
+    ends = sorted(tids)[:20]
+    pairs = docs.sparkSession.createDataFrame(list(zip(ends[::2], ends[1::2])), "u long, v long")
+    for bits in (64, similar.FILTER_BITS):
+        got = [(r.tid, r.text) for r in similar.texts_of(docs, pairs, bits).collect()]
+        assert len(got) == len(dict(got)) and set(ends) <= dict(got).keys() and dict(got).items() <= tids.items()
+    assert len(got) < 40
+    assert similar.texts_of(docs, pairs.limit(0)).count() == 0
